@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, pii, token_counts, url_filter
+from . import exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
 from .common import table, tokenizer_path
 
 
@@ -18,6 +18,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, key="protean public demonstration key")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -31,7 +39,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op7_token_counts, op8_url_filter, op9_licenses)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
