@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
+from . import bpe, exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
 from .common import table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_bpe, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
