@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
+from . import ann, bpe, exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
 from .common import table, tokenizer_path
 
 
@@ -42,8 +43,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_bpe, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_bpe, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
