@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, licenses, mixing, pii, token_counts, url_filter
+from . import ann, bpe, exact_dedup, language_id, licenses, mixing, near_dedup, pii, token_counts, url_filter
 from .common import table, tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_bpe, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses, op10_ann)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_bpe, op5_near_dedup, op6_mixing, op7_token_counts, op8_url_filter, op9_licenses, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
