@@ -149,7 +149,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, whole and with their own columns."""
     src = _sorted(docs, id_col, text_col, True)
-    schema = src.select("row", F.lit(0).alias("part"), F.lit(True).alias("opens"), F.lit(True).alias("closes"), F.col("norm").alias("edge_text")).schema
+    schema = src.select("row", F.lit(0).alias("part"), F.lit(True).alias("opens"), F.lit(True).alias("closes"), F.lit(None).cast("string").alias("edge_text")).schema
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, last, opened = TaskContext.get().partitionId(), None, None, False

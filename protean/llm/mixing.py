@@ -45,9 +45,9 @@ def permuted(x: str, n: str, seed: str, rounds: int = ROUNDS, inverse: bool = Fa
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size): what the mix is computed from."""
+    """(id, h, source, size): what the mix is computed from; h is a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(source_col).cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -77,7 +77,7 @@ def placed(sizes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("all"))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*key, F.coalesce(F.sum("all").over(w), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source", "bucket").orderBy(F.asc_nulls_last("id"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy(F.asc_nulls_last("id"), "h").rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).withColumn("k", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     return within.join(starts, ["k", "none", "bucket"]).withColumn("offset", F.col("base") + F.col("inner")).drop("k", "none", "bucket", "base", "inner")
 
@@ -144,3 +144,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # documents of size 0 share a place with the next one; they take nothing
     out = at.withColumn("real", F.col("size") > 0).join(taken.withColumn("real", F.lit(True)), ["s", "offset", "real"], "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, block: int = BLOCK, **options) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``.
+
+    A document has a row for each epoch that takes words of it: its text as it is where the epoch
+    takes it whole, else the words taken, in order, with a space between. ``n_chars``, if there is
+    such a column, is the new length. Rows equal in identifier, text and source share the place of
+    the first of them.
+    """
+    at, plan = _with_plan(stored(sized(docs, id_col, text_col, source_col), "mix-sizes"), **options)
+    owner = at.where("size > 0").groupBy("id", "h", "source").agg(F.min(F.struct("s", "offset")).alias("at")).select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("source").alias("o_source"), "at.s", "at.offset")
+    parts = _segments(at, slots(plan, seed, block), block).groupBy("s", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("parts"), F.sum("n").alias("got"))
+    found = owner.join(parts, ["s", "offset"]).select("o_id", "o_h", "o_source", "parts", "got")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text).alias("k_h"), F.col(source_col).cast("string").alias("k_source"), text.alias("k_text"))
+    met = keyed.join(found, F.col("k_id").eqNullSafe(F.col("o_id")) & (F.col("k_h") == F.col("o_h")) & F.col("k_source").eqNullSafe(F.col("o_source")))
+    met = met.withColumn("w", F.regexp_extract_all("k_text", F.lit(WORD), F.lit(0)))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("w", (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    new = F.when(F.col("got") == F.size("w"), F.col("k_text")).otherwise(some)
+    met = met.select("row", new.alias("k_text"))
+    cols = []
+    for f in docs.schema.fields:
+        c = F.col("row")[f.name]
+        if f.name == text_col:
+            c = F.col("k_text")
+        elif f.name == "n_chars":
+            c = F.length("k_text").cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return met.select(*cols)

@@ -126,7 +126,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     pair = f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(bands[i], bands[j]))))"
     rows = nodes.select("node", "n", F.explode(F.expr(pair)).alias("key"))
     many = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
-    return rows.join(many, "key")
+    return rows.join(many.hint("merge"), "key")  # sizes are underrated behind an explode: not to be broadcast
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
