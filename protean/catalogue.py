@@ -1,11 +1,750 @@
-"""Registered queries of the structural operators and their SQL twins."""
+"""Registered queries of the structural operators, each with its SQL twin.
+
+A query projects the driver's tables onto the molecular model and applies an operator to all rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import compare, crystal, dataset, geometry, interactions, sequence, spatial, surface, trajectory, validation
+from .plans import model, selection
+from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+D2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
+PAIRS = f"q as (select a.atom as first, b.atom as second, a.residue as ra, b.residue as rb, a.chain as ca, b.chain as cb, sqrt({D2}) as distance from p a join p b on a.atom < b.atom and {D2} <= 0.15::double * 0.15::double)"
+
+# --- selections -------------------------------------------------------------------------------
+
+
+def _selector(spark: SparkSession, sf_dir: str) -> selection.Selector:
+    return selection.Selector(model.atoms(spark, sf_dir), model.bonds(spark, sf_dir))
+
+
+def _selection(name: str, text: str, where: str, ctes: str = ATOMS) -> None:
+    """A selection query: how many atoms, and a checksum of which."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _selector(spark, sf_dir).select(text).select("atom_index", "residue_index")
+
+    _QUERIES[name] = run
+    _SQL[name] = f"with {ctes} select atom_index, residue_index from a where {where}"
+
+
+_HUB = "(select avg(x) as mx, avg(y) as my, avg(z) as mz from a where residue_index between 1 and 20)"
+_selection("select_all", "all", "true")
+_selection("select_none", "none", "false")
+_selection("select_name", "name CA CB", "name in ('CA', 'CB')")
+_selection("select_name_glob", "name C*", "name like 'C%'")
+_selection("select_name_class", "name C[AG]", "regexp_full_match(name, 'C[AG]')")
+_selection("select_resname", "resname ALA LYS", "resname in ('ALA', 'LYS')")
+_selection("select_chain", "chain A B and not name CA", "chain in ('A', 'B') and name <> 'CA'")
+_selection("select_element", "element n O", "substr(name, 1, 1) in ('N', 'O')")
+_selection("select_resid_range", "resid 5 10:20 40", "resid = 5 or resid between 10 and 20 or resid = 40")
+_selection("select_index", "index 65:1600", "atom_index between 65 and 1600")
+_selection("select_bynum", "bynum 66:1601", "atom_index + 1 between 66 and 1601")
+_selection("select_compare", "bfactor > 20 and prop x <= 30", "b_factor > 20 and x <= 30")
+_selection("select_compare_reversed", "20 < bfactor", "b_factor > 20")
+_selection("select_abs", "prop abs z >= 50", "abs(z) >= 50")
+_selection("select_or", "(name CA or name CB) and chain A", "name in ('CA', 'CB') and chain = 'A'")
+_selection("select_not", "not (protein or water)", "not (resname in ('ALA', 'GLY', 'SER', 'LYS') or resname = 'HOH')")
+_selection("select_altloc_none", "altloc none", "altloc = ''")
+_selection("select_altloc", "altloc A R", "altloc in ('A', 'R')")
+_selection("select_protein", "protein", "resname in ('ALA', 'GLY', 'SER', 'LYS')")
+_selection("select_backbone", "backbone", "resname in ('ALA', 'GLY', 'SER', 'LYS') and name in ('N', 'CA', 'C', 'O')")
+_selection("select_sidechain", "sidechain", "resname in ('ALA', 'GLY', 'SER', 'LYS') and name not in ('N', 'CA', 'C', 'O')")
+_selection("select_water", "water", "resname = 'HOH'")
+_selection("select_ion", "ion", "resname = 'ZN'")
+_selection("select_hetero", "hetero", "resname in ('HOH', 'ZN')")
+_selection("select_segid", "segid F", "segid = 'F'")
+_selection("select_point", "point 30 50 20 10", "(x-30)*(x-30)+(y-50)*(y-50)+(z-20)*(z-20) <= 100")
+_selection("select_byres", "byres bfactor >= 50", "residue_index in (select residue_index from a where b_factor >= 50)")
+_selection("select_same_residue", "same residue as occupancy < 0.05", "residue_index in (select residue_index from a where occupancy < 0.05)")
+_selection("select_same_chain", "same chain as (index 65:320)", "chain_index in (select chain_index from a where atom_index between 65 and 320)")
+_selection("select_same_entity", "same entity as (index 65:70)", "entity_index in (select entity_index from a where atom_index between 65 and 70)")
+_selection("select_same_column", "same resname as (index 65:70)", "resname in (select resname from a where atom_index between 65 and 70)")
+_selection("select_within", "within 5 of resindex 1:20", f"exists (select 1 from a b where b.residue_index between 1 and 20 and {D2} <= 25)")
+_selection("select_around", "around 5 resindex 1:20", f"not (residue_index between 1 and 20) and exists (select 1 from a b where b.residue_index between 1 and 20 and {D2} <= 25)")
+_selection("select_beyond", "beyond 60 of resindex 1:20", f"not exists (select 1 from a b where b.residue_index between 1 and 20 and {D2} <= 3600)")
+_selection("select_within_and", "within 8 of resindex 1:20 and name CA", f"name = 'CA' and exists (select 1 from a b where b.residue_index between 1 and 20 and {D2} <= 64)")
+_selection("select_negated_universe", "not name CA and within 8 of resindex 1:20", f"name <> 'CA' and exists (select 1 from a b where b.name <> 'CA' and b.residue_index between 1 and 20 and {D2} <= 64)")
+_selection("select_global", "not name CA and global within 8 of resindex 1:20", f"name <> 'CA' and exists (select 1 from a b where b.residue_index between 1 and 20 and {D2} <= 64)")
+_selection("select_sphzone", "sphzone 12 resindex 1:20", f"exists (select 1 from {_HUB} where (x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz) <= 144)")
+_selection("select_sphlayer", "sphlayer 10 20 resindex 1:20", f"exists (select 1 from {_HUB} where (x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz) between 100 and 400)")
+_selection("select_cyzone", "cyzone 15 10 -10 resindex 1:20", f"exists (select 1 from {_HUB} where (x-mx)*(x-mx)+(y-my)*(y-my) <= 225 and z-mz between -10 and 10)")
+_selection("select_cylayer", "cylayer 10 25 10 -10 resindex 1:20", f"exists (select 1 from {_HUB} where (x-mx)*(x-mx)+(y-my)*(y-my) between 100 and 625 and z-mz between -10 and 10)")
+_selection("select_isolayer", "isolayer 3 6 resindex 1:20", f"(select min({D2}) from a b where b.residue_index between 1 and 20) between 9 and 36")
+_selection("select_bonded", "bonded 2 index 65:320", "atom_index in (with s as (select atom_index as i from a where atom_index between 65 and 320), e as (select atom_a as u, atom_b as v from b union select atom_b, atom_a from b), s1 as (select i from s union select v from s join e on i = u) select i from s1 union select v from s1 join e on i = u)", ATOMS + ", " + BONDS)
+_selection("select_same_fragment", "same fragment as index 65:320", "residue_index in (select residue_index from a where atom_index between 65 and 320)")
+
+# --- spatial joins ------------------------------------------------------------------------------
+
+
+@_query(f"with {CLOUD}, {PAIRS} select first, second, round(distance, 6) as distance from q")
+def pairs_within(spark, sf):
+    return spatial.pairs_within(model.cloud(spark, sf), 0.15).select("first", "second", _r("distance"))
+
+
+@_query(f"with {CLOUD}, {PAIRS} select count(*) as pairs from q")
+def count_pairs(spark, sf):
+    return spatial.pairs_within(model.cloud(spark, sf), 0.15).agg(F.count("*").alias("pairs"))
+
+
+@_query(f"with {CLOUD} select a.atom as first, b.atom as second, round(sqrt({D2}), 6) as distance from p a join p b on a.chain = 0 and b.chain = 1 and {D2} <= 0.1::double * 0.1::double")
+def cross_pairs(spark, sf):
+    c = model.cloud(spark, sf)
+    return spatial.cross_pairs(c.where("chain = 0"), c.where("chain = 1"), 0.1).select("first", "second", _r("distance"))
+
+
+_IMAGE = "least(abs((a.{c} - 0.4 * floor(a.{c} / 0.4)) - (b.{c} - 0.4 * floor(b.{c} / 0.4))), 0.4 - abs((a.{c} - 0.4 * floor(a.{c} / 0.4)) - (b.{c} - 0.4 * floor(b.{c} / 0.4))))"
+
+
+@_query(f"with {CLOUD.replace('0.4', '0.4')}, w as (select atom, x - 0.4::double * floor(x / 0.4::double) as x, y - 0.4::double * floor(y / 0.4::double) as y, z - 0.4::double * floor(z / 0.4::double) as z from p), i as (select a.atom as first, b.atom as second, least(abs(a.x-b.x), 0.4::double-abs(a.x-b.x)) as dx, least(abs(a.y-b.y), 0.4::double-abs(a.y-b.y)) as dy, least(abs(a.z-b.z), 0.4::double-abs(a.z-b.z)) as dz from w a join w b on a.atom < b.atom) select first, second, round(sqrt(dx*dx+dy*dy+dz*dz), 6) as distance from i where dx*dx+dy*dy+dz*dz <= 0.1::double * 0.1::double")
+def pairs_within_periodic(spark, sf):
+    return spatial.pairs_within_periodic(model.cloud(spark, sf), 0.1, (0.4, 0.4, 0.4)).select("first", "second", _r("distance"))
+
+
+@_query(f"with {CLOUD}, n as (select a.atom as query, b.atom as target, sqrt({D2}) as distance, row_number() over (partition by a.atom order by sqrt({D2}), b.atom) as rank from p a join p b on a.atom <> b.atom) select query, rank, target, round(distance, 6) as distance from n where rank <= 5")
+def knn(spark, sf):
+    c = model.cloud(spark, sf)
+    return spatial.knn(c, c, 5, 0.1).select("query", "rank", "target", _r("distance"))
+
+
+@_query(f"with {CLOUD}, n as (select a.atom as query, b.atom as target, sqrt({D2}) as distance, row_number() over (partition by a.atom order by sqrt({D2}), b.atom) as rank from p a join p b on a.chain = 0 and b.chain = 1) select query, target, round(distance, 6) as distance from n where rank = 1")
+def nearest(spark, sf):
+    c = model.cloud(spark, sf)
+    return spatial.knn(c.where("chain = 0"), c.where("chain = 1"), 1, 0.1).select("query", "target", _r("distance"))
+
+
+@_query(f"with {CLOUD}, {PAIRS} select least(ra, rb) as res_a, greatest(ra, rb) as res_b, round(min(distance), 6) as min_distance, count(*) as pairs from q where ra <> rb group by 1, 2")
+def contact_map(spark, sf):
+    return spatial.contact_map(model.cloud(spark, sf), 0.15).select("res_a", "res_b", _r("min_distance"), "pairs")
+
+
+@_query(f"with {CLOUD}, {PAIRS} select least(ra, rb) as res_a, greatest(ra, rb) as res_b, round(min(distance), 6) as min_distance, count(*) as pairs from q where ra <> rb and (ca <> cb or abs(ra - rb) > 2) group by 1, 2")
+def contact_map_separated(spark, sf):
+    return spatial.contact_map(model.cloud(spark, sf), 0.15, 2).select("res_a", "res_b", _r("min_distance"), "pairs")
+
+
+@_query(f"with {CLOUD}, {PAIRS}, e as (select first as atom from q union all select second from q) select p.atom, count(e.atom) as neighbours from p left join e on p.atom = e.atom group by 1")
+def coordination_numbers(spark, sf):
+    return spatial.coordination_numbers(model.cloud(spark, sf), 0.15)
+
+
+@_query(f"with {CLOUD}, {PAIRS}, h as (select floor(distance / 0.01::double) as bin, count(*) as pairs from q where distance < 0.15 group by 1), n as (select count(*) as n from p) select cast(bin as bigint) as bin, pairs, round(pairs / (n * (n - 1) / 2.0::double * (4.0::double * pi() * (power((bin + 1) * 0.01::double, 3) - power(bin * 0.01::double, 3)) / 3)), 4) as g from h, n")
+def radial_distribution(spark, sf):
+    return spatial.radial_distribution(model.cloud(spark, sf), 0.15, 0.01, 1.0).select("bin", "pairs", F.round("g", 4).alias("g"))
+
+
+@_query(f"with {CLOUD} select cast(floor((x + 0.4::double) / 0.1::double) as bigint) as bin, round(sum(mass), 6) as weight, round(sum(mass) / 0.1::double, 6) as density from p where x >= -0.4::double and x < 0.4::double group by 1")
+def linear_density(spark, sf):
+    return spatial.linear_density(model.cloud(spark, sf), "x", -0.4, 0.4, 8, "mass").select("bin", _r("weight"), _r("density"))
+
+
+@_query(f"with {CLOUD} select cast(floor(x / 0.1::double) as bigint) as ix, cast(floor(y / 0.1::double) as bigint) as iy, cast(floor(z / 0.1::double) as bigint) as iz, round(sum(mass) / 0.001::double, 4) as density from p group by 1, 2, 3")
+def density_map(spark, sf):
+    return spatial.density_map(model.cloud(spark, sf), 0.1, weight="mass").select("ix", "iy", "iz", F.round("density", 4).alias("density"))
+
+
+@_query(f"with {CLOUD} select a.atom, round(sum(b.charge * 332.0637 / (4 * greatest({D2}, 1.0))), 5) as potential from p a join p b on {D2} <= 0.2::double * 0.2::double group by 1")
+def contact_potential(spark, sf):
+    c = model.cloud(spark, sf)
+    return spatial.contact_potential(c.drop("charge"), c, 0.2).select("atom", F.round("potential", 5).alias("potential"))
+
+
+@_query(f"with {CLOUD}, n as (select a.atom, (b.x-a.x)*a.vx+(b.y-a.y)*a.vy+(b.z-a.z)*a.vz as d from p a join p b on a.atom <> b.atom and {D2} <= 0.15::double * 0.15::double) select p.atom, count(case when d > 0 then 1 end) as up, count(case when d <= 0 then 1 end) as down from p left join n on p.atom = n.atom group by 1")
+def half_sphere_exposure(spark, sf):
+    return spatial.half_sphere_exposure(model.cloud(spark, sf), 0.15)
+
+
+@_query(f"with {CLOUD}, q as (select a.residue as ra, b.residue as rb from p a join p b on a.chain = 0 and b.chain = 1 and {D2} <= 0.05::double * 0.05::double) select 0 as chain, ra as residue from q union select 1, rb from q")
+def chain_interface(spark, sf):
+    return spatial.interface(model.cloud(spark, sf), 0, 1, 0.05)
+
+
+@_query(f"with {CLOUD}, {MOVED}, {PAIRS}, t as (select q.first, sqrt({D2}) as d from q join m a on q.first = a.atom join m b on q.second = b.atom) select count(*) as native, cast(sum(case when d <= 0.16::double then 1 else 0 end) as bigint) as kept, round(sum(case when d <= 0.16::double then 1 else 0 end) / count(*), 6) as fraction from t")
+def native_contacts(spark, sf):
+    c = model.cloud(spark, sf)
+    return spatial.native_contacts(c, model.moved(c), 0.15, 0.01).select("native", "kept", _r("fraction"))
+
+
+# --- geometry -----------------------------------------------------------------------------------
+
+
+@_query(f"with {CLOUD} select residue, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z, count(*) as n from p group by 1")
+def centroid(spark, sf):
+    return geometry.centroid(model.cloud(spark, sf), ["residue"]).select("residue", _r("x"), _r("y"), _r("z"), "n")
+
+
+@_query(f"with {CLOUD} select residue, round(sum(mass*x)/sum(mass), 6) as x, round(sum(mass*y)/sum(mass), 6) as y, round(sum(mass*z)/sum(mass), 6) as z from p group by 1")
+def centre_of_mass(spark, sf):
+    return geometry.centre_of_mass(model.cloud(spark, sf), "mass", ["residue"]).select("residue", _r("x"), _r("y"), _r("z"))
+
+
+_CENTRED = "c as (select residue, sum(mass*x)/sum(mass) as cx, sum(mass*y)/sum(mass) as cy, sum(mass*z)/sum(mass) as cz from p group by 1), d as (select p.residue, mass, x-cx as dx, y-cy as dy, z-cz as dz from p join c on p.residue = c.residue)"
+
+
+@_query(f"with {CLOUD}, {_CENTRED} select residue, round(sqrt(sum(mass*(dx*dx+dy*dy+dz*dz))/sum(mass)), 6) as radius_of_gyration from d group by 1")
+def radius_of_gyration(spark, sf):
+    return geometry.radius_of_gyration(model.cloud(spark, sf), "mass", ["residue"]).select("residue", _r("radius_of_gyration"))
+
+
+@_query(f"with {CLOUD}, {_CENTRED} select residue, round(sum(mass*(dy*dy+dz*dz)), 6) as ixx, round(sum(mass*(dx*dx+dz*dz)), 6) as iyy, round(sum(mass*(dx*dx+dy*dy)), 6) as izz, round(-sum(mass*dx*dy), 6) as ixy, round(-sum(mass*dx*dz), 6) as ixz, round(-sum(mass*dy*dz), 6) as iyz from d group by 1")
+def inertia_tensor(spark, sf):
+    t = geometry.inertia_tensor(model.cloud(spark, sf), "mass", ["residue"])
+    return t.select("residue", *[_r(c) for c in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")])
+
+
+@_query(f"with {CLOUD}, {_CENTRED} select residue, round(sum(mass*(dx*dx+dy*dy+dz*dz))/sum(mass), 6) as trace from d group by 1")
+def gyration_trace(spark, sf):
+    g = geometry.gyration_shape(model.cloud(spark, sf), "mass", ["residue"])
+    return g.select("residue", F.round(F.col("a") + F.col("b") + F.col("c"), 6).alias("trace"))
+
+
+@_query()
+def gyration_shape(spark, sf):
+    return geometry.gyration_shape(model.cloud(spark, sf), "mass", ["residue"])
+
+
+@_query()
+def best_plane(spark, sf):
+    return geometry.best_plane(model.cloud(spark, sf), ["residue"])
+
+
+_LEADS = "s as (select atom, residue, x, y, z, lead(x) over w as x2, lead(y) over w as y2, lead(z) over w as z2, lead(x, 2) over w as x3, lead(y, 2) over w as y3, lead(z, 2) over w as z3, lead(x, 3) over w as x4, lead(y, 3) over w as y4, lead(z, 3) over w as z4 from p window w as (partition by residue order by atom))"
+
+
+def _four(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("residue").orderBy("atom")
+    c = model.cloud(spark, sf)
+    return c.select("atom", "residue", geometry.vec("x", "y", "z").alias("a"), *[F.lead(geometry.vec("x", "y", "z"), i).over(w).alias(n) for i, n in ((1, "b"), (2, "c"), (3, "d"))])
+
+
+@_query(f"with {CLOUD}, {_LEADS} select atom, round(sqrt((x2-x)*(x2-x)+(y2-y)*(y2-y)+(z2-z)*(z2-z)), 6) as distance from s where x2 is not null")
+def distances(spark, sf):
+    return _four(spark, sf).where("b is not null").select("atom", F.round(geometry.distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@_query(f"with {CLOUD}, {_LEADS} select atom, round(acos(((x-x2)*(x3-x2)+(y-y2)*(y3-y2)+(z-z2)*(z3-z2)) / (sqrt((x-x2)*(x-x2)+(y-y2)*(y-y2)+(z-z2)*(z-z2)) * sqrt((x3-x2)*(x3-x2)+(y3-y2)*(y3-y2)+(z3-z2)*(z3-z2)))), 6) as angle from s where x3 is not null")
+def angles(spark, sf):
+    return _four(spark, sf).where("c is not null").select("atom", F.round(geometry.angle(F.col("a"), F.col("b"), F.col("c")), 6).alias("angle"))
+
+
+_TORSION = "t as (select atom, residue, x2-x as ux, y2-y as uy, z2-z as uz, x3-x2 as vx, y3-y2 as vy, z3-z2 as vz, x4-x3 as wx, y4-y3 as wy, z4-z3 as wz from s where x4 is not null), n as (select *, uy*vz-uz*vy as ax, uz*vx-ux*vz as ay, ux*vy-uy*vx as az, vy*wz-vz*wy as bx, vz*wx-vx*wz as by_, vx*wy-vy*wx as bz from t), o as (select atom, residue, atan2(((ay*bz-az*by_)*vx+(az*bx-ax*bz)*vy+(ax*by_-ay*bx)*vz)/sqrt(vx*vx+vy*vy+vz*vz), ax*bx+ay*by_+az*bz) as dihedral from n)"
+
+
+@_query(f"with {CLOUD}, {_LEADS}, {_TORSION} select atom, round(dihedral, 6) as dihedral from o")
+def dihedrals(spark, sf):
+    return _four(spark, sf).where("d is not null").select("atom", F.round(geometry.dihedral(*[F.col(c) for c in "abcd"]), 6).alias("dihedral"))
+
+
+@_query(f"with {CLOUD}, {_LEADS}, {_TORSION} select residue, count(*) as n, round(atan2(sum(sin(dihedral)), sum(cos(dihedral))), 5) as mean, round(sqrt(sum(sin(dihedral))*sum(sin(dihedral))+sum(cos(dihedral))*sum(cos(dihedral)))/count(*), 6) as resultant from o group by 1")
+def circular_mean(spark, sf):
+    t = _four(spark, sf).where("d is not null").select("residue", geometry.dihedral(*[F.col(c) for c in "abcd"]).alias("t"))
+    return geometry.circular_summary(t, "t", ["residue"]).select("residue", "n", F.round("mean", 5).alias("mean"), _r("resultant"))
+
+
+@_query(f"with {CLOUD}, {_LEADS} select atom, 0.15 as length from s where x3 is not null")
+def place_atom(spark, sf):
+    """The placed atom's distance from its reference is the one asked for."""
+    l = geometry.place_atom(F.col("a"), F.col("b"), F.col("c"), F.lit(0.15), F.lit(1.9), F.lit(0.7))  # noqa: E741
+    return _four(spark, sf).where("c is not null").select("atom", F.round(geometry.distance(l, F.col("c")), 6).alias("length"))
+
+
+@_query(f"with {CLOUD} select a.atom as first, b.atom as second, round(sqrt({D2}), 6) as distance from p a join p b on a.atom < b.atom and a.residue = 3 and b.residue = 3")
+def distance_matrix(spark, sf):
+    return geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3")).select("first", "second", _r("distance"))
+
+
+_AB = "sqrt(sum({w}((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)))/{n})"
+
+
+@_query(f"with {CLOUD}, {MOVED} select a.residue, round({_AB.format(w='', n='count(*)')}, 6) as rmsd, count(*) as atoms from p a join m b on a.atom = b.atom group by 1")
+def rmsd(spark, sf):
+    c = model.cloud(spark, sf)
+    return geometry.rmsd(c, model.moved(c), ["residue"]).select("residue", _r("rmsd"), "atoms")
+
+
+@_query(f"with {CLOUD}, {MOVED} select a.residue, round({_AB.format(w='a.mass*', n='sum(a.mass)')}, 6) as rmsd, count(*) as atoms from p a join m b on a.atom = b.atom group by 1")
+def weighted_rmsd(spark, sf):
+    c = model.cloud(spark, sf)
+    return geometry.rmsd(c, model.moved(c), ["residue"], "mass").select("residue", _r("rmsd"), "atoms")
+
+
+@_query()
+def superpose(spark, sf):
+    c = model.cloud(spark, sf)
+    return geometry.superpose(model.moved(c), c, ["residue"])
+
+
+# --- trajectories -------------------------------------------------------------------------------
+
+
+@_query(f"with {FRAMES}, l as (select unnest(generate_series(0, 5)) as lag) select a.series, cast(l.lag as integer) as lag, round(avg((b.value - a.value) * (b.value - a.value)), 5) as msd, count(*) as origins from f a join l on true join f b on a.series = b.series and b.frame = a.frame + l.lag group by 1, 2")
+def mean_squared_displacement(spark, sf):
+    return trajectory.mean_squared_displacement(model.frames(spark, sf), 5).select("series", "lag", F.round("msd", 5).alias("msd"), "origins")
+
+
+@_query(f"with {FRAMES}, b as (select series, frame // 10 as block, count(*) as n, sum(value) as s from f group by 1, 2) select series, block, n, round(s / n, 6) as block_mean, round(sum(s) over w / sum(n) over w, 6) as cumulative_mean from b window w as (partition by series order by block)")
+def block_convergence(spark, sf):
+    return trajectory.block_convergence(model.frames(spark, sf), 10).select("series", "block", "n", _r("block_mean"), _r("cumulative_mean"))
+
+
+@_query(f"with {FRAMES} select series, round(stddev_pop(value), 6) as rmsf, count(*) as frames from f group by 1")
+def fluctuation(spark, sf):
+    return trajectory.fluctuation(model.frames(spark, sf)).select("series", _r("rmsf"), "frames")
+
+
+@_query(f"with {FRAMES} select series, frame, round(abs(value - first_value(value) over (partition by series order by frame)), 6) as deviation from f")
+def deviation_from_first(spark, sf):
+    return trajectory.deviation_from_first(model.frames(spark, sf)).select("series", "frame", _r("deviation"))
+
+
+@_query(f"with {FRAMES}, d as (select series, frame, value - avg(value) over (partition by series) as d from f), l as (select unnest(generate_series(0, 3)) as lag), s as (select a.series, cast(l.lag as integer) as lag, sum(a.d * b.d) as s from d a join l on true join d b on a.series = b.series and b.frame = a.frame + l.lag group by 1, 2) select s.series, s.lag, round(s.s / nullif(z.s, 0), 6) as c from s join s z on s.series = z.series and z.lag = 0")
+def autocorrelation(spark, sf):
+    return trajectory.autocorrelation(model.frames(spark, sf), 3).select("series", "lag", _r("c"))
+
+
+@_query(f"with {FRAMES}, j as (select series, frame, value, coalesce(-round((value - lag(value) over (partition by series order by frame)) / 50.0::double), 0) as i from f) select series, frame, round(value + sum(i) over (partition by series order by frame) * 50, 6) as value from j")
+def unwrap(spark, sf):
+    return trajectory.unwrap(model.frames(spark, sf), 50.0).select("series", "frame", _r("value"))
+
+
+@_query(f"with {FRAMES} select series, frame, value from f where frame >= 2 and frame < 20 and (frame - 2) % 3 = 0")
+def frame_slice(spark, sf):
+    return trajectory.frame_slice(model.frames(spark, sf), 2, 20, 3).select("series", "frame", "value")
+
+
+@_query(f"with {FRAMES}, i as (select series, frame + 0.5::double as frame, (value + lead(value) over (partition by series order by frame)) / 2 as value from f) select series, frame, round(value, 6) as value from i where value is not null")
+def interpolate(spark, sf):
+    return trajectory.interpolate(model.frames(spark, sf)).select("series", "frame", _r("value"))
+
+
+@_query(f"with {FRAMES}, p as (select series as id, frame from f where event_type = 'click' or value > 20), r as (select *, frame - row_number() over (partition by id order by frame) as run, max(frame) over () as last from p), l as (select unnest(generate_series(0, 4)) as lag), j as (select l.lag, r.run, e.run as end_run from r join l on r.frame + l.lag <= r.last left join r e on e.id = r.id and e.frame = r.frame + l.lag) select cast(lag as integer) as lag, round(count(end_run) / count(*), 6) as survival, round(count(case when run = end_run then 1 end) / count(*), 6) as residence from j group by 1")
+def water_survival(spark, sf):
+    p = model.frames(spark, sf).where("event_type = 'click' or value > 20").select(F.col("series").alias("id"), "frame")
+    return trajectory.survival(p, 4).select("lag", _r("survival"), _r("residence"))
+
+
+@_query()
+def kmeans(spark, sf):
+    return trajectory.kmeans(model.cloud(spark, sf), [[-0.2, 0.0, 0.0], [0.2, 0.0, 0.0], [0.0, 0.2, 0.1]], tolerance=1e-8)
+
+
+@_query(f"with recursive {CLOUD}, q as (select a.atom as u, b.atom as v from p a join p b on {D2} <= 0.06::double * 0.06::double), n as (select u, count(*) as c from q group by 1), k as (select u as atom from n where c >= 4), e as (select u, v from q where u in (select atom from k) and v in (select atom from k)), r as (select atom, atom as root from k union select e.v, r.root from r join e on e.u = r.atom), m as (select atom, min(root) as cluster from r group by 1), o as (select q.u as atom, min(m.cluster) as near from q join m on q.v = m.atom group by 1) select p.atom, m.cluster is not null as core, coalesce(m.cluster, o.near) as cluster from p left join m on p.atom = m.atom left join o on p.atom = o.atom")
+def dbscan(spark, sf):
+    return trajectory.dbscan(model.cloud(spark, sf), 0.06, 4)
+
+
+@_query(f"with {CLOUD}, d as (select a.atom as item, sum(sqrt({D2})) as total from p a join p b on a.atom <> b.atom and a.residue = 3 and b.residue = 3 group by 1) select item, round(total, 5) as total from d order by round(total, 9), item limit 1")
+def medoid(spark, sf):
+    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3"))
+    return trajectory.medoid(d).select("item", F.round("total", 5).alias("total"))
+
+
+@_query("with a as (select event_type, count(*) as n from events where user_id % 2 = 0 group by 1), b as (select event_type, count(*) as n from events where user_id % 2 = 1 group by 1), j as (select coalesce(a.n, 0) / (select sum(n) from a) as p, coalesce(b.n, 0) / (select sum(n) from b) as q from a full join b on a.event_type = b.event_type) select round(1 - sum((case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2) / ln(2), 6) as similarity from j")
+def population_similarity(spark, sf):
+    e = read(spark, sf, "events")
+    n = lambda k: e.where(F.col("user_id") % 2 == k).groupBy("event_type").agg(F.count("*").alias("n"))
+    return trajectory.population_similarity(n(0), n(1), "event_type").select(_r("similarity"))
+
+
+@_query()
+def principal_components(spark, sf):
+    d = read(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(8)])
+    return trajectory.principal_components(d, [f"c{i}" for i in range(8)], 3)
+
+
+@_query()
+def diffusion_map(spark, sf):
+    c = model.cloud(spark, sf).where("residue = 3")
+    items = [r.atom for r in c.select("atom").orderBy("atom").collect()]
+    return trajectory.diffusion_map(geometry.distance_matrix(c), items, 0.1, 2)
+
+
+# --- validation ---------------------------------------------------------------------------------
+
+
+@_query(f"with {ATOMS} select atom_index, 'zero_occupancy' as flag from a where occupancy = 0 union all select atom_index, 'occupancy_range' from a where occupancy < 0 or occupancy > 1 union all select atom_index, 'negative_b' from a where b_factor < 0")
+def quality_flags(spark, sf):
+    return validation.quality_flags(model.atoms(spark, sf))
+
+
+@_query(f"with {ATOMS} select residue_index, name as atom_name, round(sum(occupancy), 6) as total from a where altloc <> '' group by 1, 2 having abs(sum(occupancy) - 1) > 0.01")
+def altloc_occupancy_sums(spark, sf):
+    return validation.altloc_occupancy_sums(model.atoms(spark, sf)).select("residue_index", "atom_name", _r("total"))
+
+
+@_query(f"with {ATOMS} select chain_index, count(b_factor) as n, round(avg(b_factor), 6) as mean, round(var_pop(b_factor), 5) as variance, min(b_factor) as minimum, max(b_factor) as maximum, median(b_factor) as median from a group by 1")
+def b_factor_distribution(spark, sf):
+    d = validation.b_factor_distribution(model.atoms(spark, sf), ["chain_index"])
+    return d.select("chain_index", "n", _r("mean"), F.round("variance", 5).alias("variance"), "minimum", "maximum", "median")
+
+
+@_query(f"with {ATOMS}, s as (select avg(b_factor) as m, stddev_pop(b_factor) as s from a) select atom_index, round((b_factor - m) / s, 6) as z from a, s where abs((b_factor - m) / s) > 1.6")
+def b_factor_outliers(spark, sf):
+    return validation.b_factor_outliers(model.atoms(spark, sf), 1.6).select("atom_index", _r("z"))
+
+
+@_query("with e as (select o_custkey as chain, o_orderkey as position from orders), o as (select distinct l_orderkey as position from lineitem where l_quantity > 40) select chain, count(*) as expected, count(o.position) as observed, count(*) - count(o.position) as missing from e left join o on e.position = o.position group by 1")
+def completeness(spark, sf):
+    e = read(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("position"))
+    o = read(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("position")).distinct().join(e, "position").select("chain", "position")
+    return validation.completeness(e, o)
+
+
+@_query(f"with {ATOMS}, {BONDS}, e as (select atom_a as atom from b union all select atom_b from b), n as (select atom, count(*) as bonds from e group by 1) select n.atom, bonds, case when name like 'C%' then 1 when name = 'N' then 1 else 1 end as limit from n join a on n.atom = a.atom_index where bonds > 1")
+def overvalent_atoms(spark, sf):
+    e = model.atoms(spark, sf).select(F.col("atom_index").alias("atom"), F.col("element_symbol").alias("element"))
+    return validation.overvalent_atoms(model.bonds(spark, sf), e, {"C": 1, "N": 1, "O": 1})
+
+
+_LEN = f"with {ATOMS}, {BONDS}, l as (select atom_a, atom_b, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) as length, p.name as na, q.name as nb from b join a p on atom_a = p.atom_index join a q on atom_b = q.atom_index)"
+
+
+@_query(_LEN + " select atom_a, atom_b, round(length, 6) as length from l")
+def bond_lengths(spark, sf):
+    p = model.atoms(spark, sf).select(F.col("atom_index").alias("atom"), "x", "y", "z")
+    return validation.bond_lengths(model.bonds(spark, sf), p).select("atom_a", "atom_b", _r("length"))
+
+
+@_query(_LEN + ", e as (select *, case substr(na, 1, 1) when 'C' then 20.0::double when 'N' then 15.0::double else 10.0::double end + case substr(nb, 1, 1) when 'C' then 20.0::double when 'N' then 15.0::double else 10.0::double end as expected from l) select atom_a, atom_b, round(length, 6) as length, expected from e where abs(length - expected) > 60")
+def bond_length_deviations(spark, sf):
+    p = model.atoms(spark, sf).select(F.col("atom_index").alias("atom"), "x", "y", "z", F.col("element_symbol").alias("element"))
+    return validation.bond_length_deviations(model.bonds(spark, sf), p, {"C": 20.0, "N": 15.0, "O": 10.0}, 60.0).select("atom_a", "atom_b", _r("length"), "expected")
+
+
+_NEXT = "e as (select atom - 1 as atom_a, atom as atom_b from p where atom > 0)"
+_CLASH = f"with {CLOUD}, c as (select a.atom as first, b.atom as second, 0.02::double * (a.mass + b.mass) - sqrt({D2}) as overlap from p a join p b on a.atom < b.atom and b.atom - a.atom > 3 and 0.02::double * (a.mass + b.mass) - sqrt({D2}) > 0.01::double)"
+
+
+def _clashes(spark, sf):
+    c = model.cloud(spark, sf).withColumn("radius", F.col("mass") * 0.02)
+    chain = c.where("atom > 0").select((F.col("atom") - 1).alias("atom_a"), F.col("atom").alias("atom_b"))
+    return c, validation.clashes(c, chain, 0.06, 0.01)
+
+
+@_query(_CLASH + " select first, second, round(overlap, 6) as overlap from c")
+def clashes(spark, sf):
+    return _clashes(spark, sf)[1].select("first", "second", _r("overlap"))
+
+
+@_query(_CLASH + " select round(1000.0::double * (select count(*) from c) / (select count(*) from p), 6) as clash_score")
+def clash_score(spark, sf):
+    c, hit = _clashes(spark, sf)
+    return validation.clash_score(hit, c).select(_r("clash_score"))
+
+
+@_query(f"with {CLOUD}, {_LEADS}, {_TORSION} select atom, round(dihedral, 6) as omega from o where abs(dihedral) < 1.5707963267948966")
+def cis_peptides(spark, sf):
+    w = _four(spark, sf).where("d is not null").select("atom", geometry.dihedral(*[F.col(c) for c in "abcd"]).alias("omega"))
+    return validation.cis_peptides(w).select("atom", _r("omega"))
+
+
+@_query("with r as (select distinct o_custkey as chain, o_orderkey as resid from orders), g as (select chain, lag(resid) over (partition by chain order by resid) as before, resid as after from r) select chain, before, after from g where after - before > 1")
+def chain_gaps(spark, sf):
+    return validation.gaps(read(spark, sf, "orders").select(F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("resid")))
+
+
+# --- interactions -------------------------------------------------------------------------------
+
+
+@_query(f"with {CLOUD}, h as (select atom as donor, atom * 10 + 1 as hydrogen, x + vx * 0.1 as x, y + vy * 0.1 as y, z + vz * 0.1 as z from p where chain = 0), q as (select a.atom as donor, h.hydrogen, b.atom as acceptor, sqrt({D2}) as distance, ((a.x-h.x)*(b.x-h.x)+(a.y-h.y)*(b.y-h.y)+(a.z-h.z)*(b.z-h.z)) / (sqrt((a.x-h.x)*(a.x-h.x)+(a.y-h.y)*(a.y-h.y)+(a.z-h.z)*(a.z-h.z)) * sqrt((b.x-h.x)*(b.x-h.x)+(b.y-h.y)*(b.y-h.y)+(b.z-h.z)*(b.z-h.z))) as c from p a join p b on a.chain = 0 and b.chain = 1 and {D2} <= 0.1::double * 0.1::double join h on h.donor = a.atom) select donor, hydrogen, acceptor, round(distance, 6) as distance, round(acos(greatest(-1, least(1, c))), 5) as angle from q where acos(greatest(-1, least(1, c))) >= 2.0")
+def hydrogen_bonds(spark, sf):
+    c = model.cloud(spark, sf)
+    d = c.where("chain = 0")
+    h = d.select(F.col("atom").alias("donor"), (F.col("atom") * 10 + 1).alias("atom"), *[(F.col(k) + F.col(f"v{k}") * 0.1).alias(k) for k in "xyz"])
+    return interactions.hydrogen_bonds(d, c.where("chain = 1"), h, 0.1, 2.0).select("donor", "hydrogen", "acceptor", _r("distance"), F.round("angle", 5).alias("angle"))
+
+
+@_query(f"with {CLOUD} select a.atom as anion, b.atom as cation, round(sqrt({D2}), 6) as distance from p a join p b on a.charge < 0 and b.charge > 0 and a.residue <> b.residue and abs(a.atom - b.atom) > 1 and {D2} <= 0.1::double * 0.1::double")
+def salt_bridges(spark, sf):
+    c = model.cloud(spark, sf).withColumn("altloc", F.lit(""))
+    chain = c.where("atom > 0").select((F.col("atom") - 1).alias("atom_a"), F.col("atom").alias("atom_b"))
+    return interactions.salt_bridges(c.where("charge < 0"), c.where("charge > 0"), chain, 0.1).select("anion", "cation", _r("distance"))
+
+
+@_query()
+def pi_stacking(spark, sf):
+    return interactions.pi_stacking(model.cloud(spark, sf), 0.2, 0.6, 1.0, 0.05, 0.15, 0.15)
+
+
+@_query()
+def cation_pi(spark, sf):
+    c = model.cloud(spark, sf)
+    return interactions.cation_pi(c.where("chain = 0"), c.where("chain = 1 and charge > 0"), 0.2, 0.6)
+
+
+@_query(f"with {CLOUD}, q as (select a.atom as u, b.atom as v from p a join p b on a.atom <> b.atom and {D2} <= 0.08::double * 0.08::double), e as (select distinct u as water, v as partner from q where u in (select atom from p where residue = 0) and v not in (select atom from p where residue = 0)) select a.water, a.partner as first, b.partner as second from e a join e b on a.water = b.water and a.partner < b.partner")
+def water_bridges(spark, sf):
+    c = model.cloud(spark, sf)
+    b = spatial.pairs_within(c, 0.08).select(F.col("first").alias("donor"), F.col("second").alias("acceptor"))
+    return interactions.water_bridges(b, c.where("residue = 0"))
+
+
+@_query(f"with {CLOUD}, s as (select atom, x * 10 as x, y * 10 as y, z * 10 as z, case when atom % 3 = 0 then 'H' when atom % 3 = 1 then 'C' else 'O' end as element, case when atom % 3 = 0 then 0.9::double when atom % 3 = 1 then 1.5::double else 1.3::double end as r from p) select a.atom as atom_a, b.atom as atom_b from s a join s b on a.atom < b.atom and not (a.element = 'H' and b.element = 'H') and {D2} >= 0.16 and {D2} <= ((a.r + b.r) / 1.95::double) * ((a.r + b.r) / 1.95::double)")
+def perceived_bonds(spark, sf):
+    c = model.cloud(spark, sf).select("atom", *[(F.col(k) * 10).alias(k) for k in "xyz"], F.when(F.col("atom") % 3 == 0, "H").when(F.col("atom") % 3 == 1, "C").otherwise("O").alias("element"), F.lit("").alias("altloc"))
+    return interactions.perceived_bonds(c, {"H": 0.9, "C": 1.5, "O": 1.3})
+
+
+# --- surface ------------------------------------------------------------------------------------
+
+
+def _spheres(spark, sf):
+    return model.cloud(spark, sf).select("atom", "residue", *[(F.col(k) * 30).alias(k) for k in "xyz"], (F.col("mass") * 0.4 + 0.8).alias("radius"))
+
+
+@_query()
+def accessible_area(spark, sf):
+    return surface.accessible_area(_spheres(spark, sf), 2.0, samples=200)
+
+
+@_query(f"with {CLOUD} select atom, round(4 * pi() * (mass * 0.4::double + 0.8::double + 1.4::double) * (mass * 0.4::double + 0.8::double + 1.4::double), 5) as area from p")
+def sphere_area(spark, sf):
+    return surface.sphere_area(_spheres(spark, sf)).select("atom", F.round("area", 5).alias("area"))
+
+
+# --- comparison ---------------------------------------------------------------------------------
+
+
+@_query(f"with {CLOUD}, {MOVED}, d as (select sqrt({D2}) as d from p a join m b on a.atom = b.atom), n as (select count(*) as n from p) select round(sum(1 / (1 + (d / d0) * (d / d0))) / max(n), 6) as tm, count(*) as atoms from (select d, n, case when n > 21 then greatest(0.5, 1.24 * cbrt(n - 15) - 1.8) else 0.5 end as d0 from d, n)")
+def tm_score(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.tm_score(c, model.moved(c)).select(_r("tm"), "atoms")
+
+
+@_query(f"with {CLOUD}, {MOVED}, d as (select sqrt({D2}) as d from p a join m b on a.atom = b.atom), c as (select unnest([0.01::double, 0.02::double, 0.03::double]) as cutoff) select cutoff, round(avg(case when d <= cutoff then 1.0::double else 0.0::double end), 6) as fraction from c, d group by 1")
+def gdt(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.gdt(c, model.moved(c), (0.01, 0.02, 0.03)).select("cutoff", _r("fraction"))
+
+
+@_query(f"with {CLOUD}, {MOVED}, {PAIRS}, t as (select abs(sqrt({D2}) - q.distance) as o from q join m a on q.first = a.atom join m b on q.second = b.atom where q.distance > 0) select round((avg((o < 0.005::double)::int) + avg((o < 0.01::double)::int) + avg((o < 0.02::double)::int)) / 3, 6) as score, count(*) as pairs from t")
+def distance_difference(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.distance_difference(c, model.moved(c), 0.15, tolerances=(0.005, 0.01, 0.02)).select(_r("score"), "pairs")
+
+
+@_query(f"with {CLOUD}, {MOVED}, u as (select a.atom as first, b.atom as second from p a join p b on a.atom < b.atom and {D2} <= 0.1::double * 0.1::double), v as (select a.atom as first, b.atom as second from m a join m b on a.atom < b.atom and {D2} <= 0.1::double * 0.1::double) select round((select count(*) from (select * from u intersect select * from v)) / (select count(*) from (select * from u union select * from v)), 6) as jaccard")
+def contact_similarity(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.contact_similarity(spatial.pairs_within(c, 0.1), spatial.pairs_within(model.moved(c), 0.1)).select(_r("jaccard"))
+
+
+@_query("with r as (select l_orderkey as first, l_partkey as second, sum(l_quantity) as ra from lineitem where l_linenumber <= 3 group by 1, 2), m as (select l_orderkey as first, l_partkey as second, sum(l_quantity * (1 - l_discount)) as ma from lineitem where l_linenumber >= 2 group by 1, 2) select round(1 - sum(least(abs(ra - coalesce(ma, 0)), ra)) / sum(ra), 6) as cad from r left join m on r.first = m.first and r.second = m.second")
+def contact_area_difference(spark, sf):
+    l = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("first"), F.col("l_partkey").alias("second"), "l_quantity", "l_discount", "l_linenumber")  # noqa: E741
+    r = l.where("l_linenumber <= 3").groupBy("first", "second").agg(F.sum("l_quantity").alias("area"))
+    m = l.where("l_linenumber >= 2").groupBy("first", "second").agg(F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("area"))
+    return compare.contact_area_difference(r, m).select(_r("cad"))
+
+
+@_query("select s_suppkey, round((0.5 + 1 / (1 + (s_acctbal / 1.5) * (s_acctbal / 1.5)) + 1 / (1 + (s_acctbal / 8.5) * (s_acctbal / 8.5))) / 3, 6) as dock_q from supplier")
+def dock_q(spark, sf):
+    return read(spark, sf, "supplier").select("s_suppkey", F.round(compare.dock_q(F.lit(0.5), F.col("s_acctbal"), F.col("s_acctbal")), 6).alias("dock_q"))
+
+
+@_query("with b as (select o_orderkey as k, o_orderstatus as s, o_totalprice as v from orders where o_orderkey % 7 <> 0), a as (select o_orderkey as k, case when o_orderkey % 5 = 0 then 'X' else o_orderstatus end as s, o_totalprice as v from orders where o_orderkey % 11 <> 0) select coalesce(a.k, b.k) as k, case when b.k is null then 'added' when a.k is null then 'removed' else 'changed' end as change from a full join b on a.k = b.k where b.k is null or a.k is null or a.s <> b.s or a.v <> b.v")
+def structure_diff(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
+    after = o.where("k % 11 <> 0").withColumn("s", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("s")))
+    return compare.structure_diff(o.where("k % 7 <> 0"), after, "k", ["s", "v"])
+
+
+# --- crystallography ----------------------------------------------------------------------------
+
+
+def _reflections(spark, sf):
+    return read(spark, sf, "lineitem").select((F.col("l_orderkey") % 11 - 5).cast("int").alias("h"), (F.col("l_partkey") % 9 - 4).cast("int").alias("k"), (F.col("l_suppkey") % 7 - 3).cast("int").alias("l"), F.col("l_extendedprice").alias("amplitude"))
+
+
+_HKL = "r as (select cast(l_orderkey % 11 - 5 as integer) as h, cast(l_partkey % 9 - 4 as integer) as k, cast(l_suppkey % 7 - 3 as integer) as l, l_extendedprice as amplitude from lineitem)"
+_CELL = (40.0, 50.0, 60.0, 90.0, 100.0, 90.0)
+
+
+def _q() -> str:
+    names = ("h*h", "k*k", "l*l", "h*k", "h*l", "k*l")
+    return "(" + " + ".join(f"({v!r})::double*{n}" for v, n in zip(crystal.reciprocal_metric(*_CELL), names, strict=True)) + ")"
+
+
+@_query(f"with {_HKL}, d as (select distinct h, k, l, {_q()} as q from r) select h, k, l, case when q > 0 then round(1 / sqrt(q), 6) end as d from d")
+def d_spacing(spark, sf):
+    return _reflections(spark, sf).select("h", "k", "l").distinct().select("h", "k", "l", F.round(crystal.d_spacing(_CELL, F.col("h"), F.col("k"), F.col("l")), 6).alias("d"))
+
+
+_SHELLS = f"with {_HKL}, d as (select amplitude, {_q()} as q from r), s as (select cast(least(5, floor((q - 0.001::double) / ((0.02::double - 0.001::double) / 6))) as bigint) as shell, count(*) as n, avg(amplitude) as mean_amplitude, avg(amplitude * amplitude) as mean_intensity from d where q between 0.001::double and 0.02::double group by 1)"
+
+
+@_query(_SHELLS + " select shell, n, round(mean_amplitude, 4) as mean_amplitude, round(mean_intensity, 1) as mean_intensity from s")
+def resolution_shells(spark, sf):
+    s = crystal.resolution_shells(_reflections(spark, sf), _CELL, 6, 0.001, 0.02)
+    return s.select("shell", "n", F.round("mean_amplitude", 4).alias("mean_amplitude"), F.round("mean_intensity", 1).alias("mean_intensity"))
+
+
+@_query(_SHELLS + " select b.shell, round(sqrt(sum(w * a.n * a.mean_intensity) / sum(w * a.n)), 3) as rms from (select a.shell as sa, b.shell, case when a.shell = b.shell then 1.0::double else 0.75::double end as w from s a join s b on abs(a.shell - b.shell) <= 1) b join s a on a.shell = b.sa group by 1")
+def smoothed_shells(spark, sf):
+    return crystal.smoothed_shells(crystal.resolution_shells(_reflections(spark, sf), _CELL, 6, 0.001, 0.02)).select("shell", F.round("rms", 3).alias("rms"))
+
+
+@_query(f"with {_HKL}, f as (select *, case when h < 0 or (h = 0 and (k < 0 or (k = 0 and l < 0))) then -1 else 1 end as s from r) select h * s as h, k * s as k, l * s as l, round(avg(amplitude), 4) as amplitude, count(*) as n from f group by 1, 2, 3")
+def unique_reflections(spark, sf):
+    return crystal.unique_reflections(_reflections(spark, sf)).select("h", "k", "l", F.round("amplitude", 4).alias("amplitude"), "n")
+
+
+@_query(f"with {CLOUD}, k as (select * from (values (1, 0, 0), (0, 1, 0), (1, 1, 1), (2, -1, 0)) t(h, k, l)) select h, k, l, round(sum(mass * cos(2 * pi() * (h * x + k * y + l * z))), 5) as re, round(sum(mass * sin(2 * pi() * (h * x + k * y + l * z))), 5) as im from p, k group by 1, 2, 3")
+def structure_factors(spark, sf):
+    a = model.cloud(spark, sf).select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"), F.col("mass").alias("occupancy"))
+    r = spark.createDataFrame([(1, 0, 0), (0, 1, 0), (1, 1, 1), (2, -1, 0)], "h int, k int, l int")
+    return crystal.structure_factors(a, r).select("h", "k", "l", F.round("re", 5).alias("re"), F.round("im", 5).alias("im"))
+
+
+_MAP = "select cast(floor(x / 0.1::double) as bigint) as ix, cast(floor(y / 0.1::double) as bigint) as iy, cast(floor(z / 0.1::double) as bigint) as iz, sum(mass) as v from {t} group by 1, 2, 3"
+
+
+@_query(f"with {CLOUD}, {MOVED}, a as ({_MAP.format(t='p')}), b as ({_MAP.format(t='m')}) select round(corr(a.v, b.v), 6) as correlation, count(*) as voxels from a join b on a.ix = b.ix and a.iy = b.iy and a.iz = b.iz")
+def map_correlation(spark, sf):
+    c = model.cloud(spark, sf)
+    d = lambda p: spatial.density_map(p, 0.1, weight="mass").withColumnRenamed("density", "value")
+    return crystal.map_correlation(d(c), d(model.moved(c))).select(_r("correlation"), "voxels")
+
+
+@_query(f"with {CLOUD}, s as (select unnest([-1, 0, 1]) as s) select atom, a.s::varchar || ',' || b.s::varchar || ',' || c.s::varchar as image, round(x + a.s, 6) as x, round(y + b.s, 6) as y, round(z + c.s, 6) as z from p, s a, s b, s c")
+def lattice_images(spark, sf):
+    return crystal.lattice_images(model.cloud(spark, sf), (1.0, 1.0, 1.0)).select("atom", "image", _r("x"), _r("y"), _r("z"))
+
+
+@_query(f"with {CLOUD} select atom, 'one' as operator, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from p union all select atom, 'screw', round(-x, 6), round(y + 0.5, 6), round(-z, 6) from p")
+def assembly(spark, sf):
+    ops = [("one", [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0]), ("screw", [-1, 0, 0, 0, 0, 1, 0, 0.5, 0, 0, -1, 0])]
+    return crystal.apply_operators(model.cloud(spark, sf), ops).select("atom", "operator", _r("x"), _r("y"), _r("z"))
+
+
+# --- sequences ----------------------------------------------------------------------------------
+
+_SEQ = "s as (select item_id as id, upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) as sequence from benchmark)"
+
+
+def _sequences(spark, sf):
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")).alias("sequence"))
+
+
+@_query(f"with {_SEQ}, k as (select substr(sequence, cast(i as integer), 4) as kmer from s, unnest(generate_series(1, length(sequence) - 3)) t(i)) select kmer, count(*) as n from k group by 1")
+def kmer_counts(spark, sf):
+    return sequence.kmer_counts(_sequences(spark, sf), 4)
+
+
+@_query(f"with {_SEQ}, k as (select id, cast(i as integer) - 1 as pos, substr(sequence, cast(i as integer), 5) as kmer from s, unnest(generate_series(1, length(sequence) - 4)) t(i)), w as (select id, pos, min(struct_pack(kmer := kmer, pos := pos)) over (partition by id order by pos rows between current row and 3 following) as m, count(*) over (partition by id order by pos rows between current row and 3 following) as c from k) select distinct id, m.pos as pos, m.kmer as kmer from w where c = 4")
+def minimizers(spark, sf):
+    return sequence.minimizers(_sequences(spark, sf), 5, 4)
+
+
+@_query(f"with {ATOMS} select atom_index, case resname when 'ALA' then 'A' when 'GLY' then 'G' when 'SER' then 'S' when 'LYS' then 'K' end as code from a")
+def one_letter(spark, sf):
+    return model.atoms(spark, sf).select("atom_index", sequence.one_letter(F.col("label_comp_id")).alias("code"))
+
+
+@_query("select p_partkey, 'A' as wild, cast(p_size as integer) as number, 'G' as mutant from part")
+def parse_substitution(spark, sf):
+    t = read(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 2 == 0, "p.Ala").otherwise("A"), F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, "Gly").otherwise("G")).alias("t"))
+    return t.select("p_partkey", sequence.parse_substitution(F.col("t")).alias("s")).select("p_partkey", "s.*")
+
+
+@_query("select p_size as number, count(p_retailprice) as n, round(median(p_retailprice), 6) as median, min(p_retailprice) as least, max(p_retailprice) as most from part group by 1")
+def effects_by_position(spark, sf):
+    v = read(spark, sf, "part").select(F.col("p_size").alias("number"), "p_retailprice")
+    return sequence.effects_by_position(v, "p_retailprice").select("number", "n", _r("median"), "least", "most")
+
+
+@_query()
+def alignments(spark, sf):
+    s = _sequences(spark, sf).select("id", F.substring("sequence", 1, 60).alias("s"))
+    pairs = s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id")
+    return pairs.select("id", sequence.align("global")("s", "t").alias("a")).select("id", "a.*")
+
+
+@_query()
+def upgma(spark, sf):
+    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3 and atom < 200")).withColumn("set", F.lit(3))
+    return sequence.tree(d, ["set"])
+
+
+@_query()
+def neighbour_joining(spark, sf):
+    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3 and atom < 200")).withColumn("set", F.lit(3))
+    return sequence.tree(d, ["set"], "nj")
+
+
+@_query(f"with {ATOMS}, d as (select distinct chain_index, resid as n from a), r as (select chain_index, n, n - row_number() over (partition by chain_index order by n) as run from d), g as (select chain_index, min(n) as lo, max(n) as hi from r group by chain_index, run) select chain_index, string_agg(case when lo = hi then lo::varchar else lo::varchar || '-' || hi::varchar end, ',' order by lo) as ranges from g group by 1")
+def compact_ranges(spark, sf):
+    return selection.compact_ranges(model.atoms(spark, sf).select("chain_index", F.col("label_seq_id").alias("n")), ["chain_index"])
+
+
+# --- datasets -----------------------------------------------------------------------------------
+
+
+def _manifest(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("atom_count"), F.col("lang").alias("method"), F.col("source").alias("cluster"), F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0"), F.lit("-06-01")).alias("deposition_date"), (F.col("n_chars") % 40 / 10.0).alias("resolution"))
+
+
+@_query("select doc_id as id from documents where n_chars >= 100 and n_chars < 3000 and lang in ('en', 'fr') and n_chars % 40 / 10.0 < 2.5")
+def dataset_filter(spark, sf):
+    return dataset.filter_entries(_manifest(spark, sf), 3000, 100, ["en", "fr"], 2.5).select("id")
+
+
+@_query("with d as (select doc_id as id, '20' || lpad((doc_id % 24)::varchar, 2, '0') || '-06-01' as day from documents) select id, case when day < '2015-01-01' then 'train' when day < '2020-01-01' then 'validation' else 'test' end as split from d")
+def split_temporal(spark, sf):
+    return dataset.split_temporal(_manifest(spark, sf), "2015-01-01", "2020-01-01")
+
+
+@_query()
+def split_clusters(spark, sf):
+    return dataset.split_clusters(_manifest(spark, sf), "cluster", {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+@_query("with d as (select doc_id as id, coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents) select id, cast(floor(before / 20000) as bigint) as batch from d")
+def dataset_batches(spark, sf):
+    return dataset.batches(_manifest(spark, sf), 20000)
+
+
+@_query(f"with {CLOUD}, {PAIRS} select first as source, second as target from q union select second, first from q")
+def graph_edges(spark, sf):
+    return dataset.graph_edges(spatial.pairs_within(model.cloud(spark, sf), 0.15), symmetric=True)
+
+
+@_query("with s as (select l_orderkey as id, l_partkey % 40 as bit from lineitem where l_orderkey < 3000 group by 1, 2), n as (select id, count(*) as n from s group by 1), o as (select a.id as first, b.id as second, count(*) as c from s a join s b on a.bit = b.bit and a.id < b.id group by 1, 2) select first, second, round(c / (x.n + y.n - c), 6) as similarity from o join n x on first = x.id join n y on second = y.id where c / (x.n + y.n - c) >= 0.6")
+def tanimoto(spark, sf):
+    f = read(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("bits"))
+    return dataset.tanimoto(f, 0.6).select("first", "second", _r("similarity"))
