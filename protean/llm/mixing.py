@@ -123,7 +123,8 @@ def _segments(at: DataFrame, slot_table: DataFrame, block: int) -> DataFrame:
     """(s, offset, epoch, lo, n): words [lo, lo + n) of a document that one slot takes."""
     parts = at.where("size > 0").select("s", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("index"))
     parts = parts.withColumn("lo", F.greatest(F.col("offset"), F.col("index") * block)).withColumn("hi", F.least(F.col("offset") + F.col("size"), (F.col("index") + 1) * block))
-    met = parts.join(slot_table.select("s", "index", "epoch", "take"), ["s", "index"])
+    # slots are made from a few rows of the plan, so their size is underrated: never broadcast them
+    met = parts.join(slot_table.select("s", "index", "epoch", "take").hint("merge"), ["s", "index"])
     n = F.least("hi", F.col("index") * block + F.col("take")) - F.col("lo")
     return met.select("s", "offset", "epoch", (F.col("lo") - F.col("offset")).alias("lo"), n.alias("n")).where("n > 0")
 
