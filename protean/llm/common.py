@@ -37,6 +37,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of documents in one Arrow batch: a few megabytes beside the heap of an executor, not a few hundred.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of long rows are made small, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def slices(batches, rows: int):
+    """Arrow batches in parts of few rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def sampled(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows, those whose key has a small hash: a filter, whatever the size."""
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(77)), F.lit(1 << 32)) < int((1 << 32) * rows / total))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

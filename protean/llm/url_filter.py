@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, sampled
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of hosts that blocklists are full of.
 BAD_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "malware", "phish", "cheap", "gamble")
-#: At most so many labelled URLs are fitted on, those with the smallest hashes.
+#: About so many different labelled URLs are fitted on, at most twice as many: those with the smallest hashes.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "longest_label", "vowel_ratio", "suffix_rate", "suffix_count", "host_word_rate", "has_fragment")
@@ -133,17 +133,15 @@ class BoostedTrees:
 
 def fit(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS, sample: int = SAMPLE):
     """The model, from at most ``sample`` different URLs; None without any."""
-    host, path = host_and_path(F.col(url_col))
+    urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
+    total = urls.agg(F.approx_count_distinct("url").alias("n")).first().n
+    some = sampled(urls, F.col("url"), sample, total).distinct()
+    host, path = host_and_path(F.col("url"))
     _, verdict = rule_for(host, path, rules)
     bad = host.rlike("|".join(map(re.escape, bad_words)))
-    rows = (
-        pages.where(F.col(url_col).isNotNull())
-        .select(F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), ((F.coalesce(verdict, F.lit("")) == "block") | bad).alias("y"), F.coalesce((verdict == "allow"), F.lit(False)).alias("sure"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(sample)  # the documented bound of the fitting sample
-        .collect()
-    )
-    rows = list({r.url: r for r in rows}.values())
+    labelled = some.select("url", host.alias("host"), path.alias("path"), ((F.coalesce(verdict, F.lit("")) == "block") | bad).alias("y"), F.coalesce((verdict == "allow"), F.lit(False)).alias("sure"))
+    # the documented bound of the fitting sample; the filter gives about that many
+    rows = sorted(labelled.limit(2 * sample).collect())
     if not rows:
         return None
     y = np.array([r.y and not r.sure for r in rows], dtype=float)
