@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage into the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -21,13 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels take the least around them and then their label's label, so paths shorten by half a round.
     """
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")))
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(around, "node").select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         upper = step.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-        new = _cut(step.join(upper, "comp").select("node", "old", F.col("upper").alias("comp")))
+        new = cut(step.join(upper, "comp").select("node", "old", F.col("upper").alias("comp")))
         labels = new.select("node", "comp")
         if not new.where("old != comp").limit(1).count():
             return labels

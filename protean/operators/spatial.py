@@ -123,8 +123,11 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, start: float, keys: tupl
     Queries that find fewer than k within ``start`` are asked again with twice the radius, so each
     round is a fixed-radius join of the queries that are left.
     """
+    from ..functions.graph import cut
+
     q, t = _finite(queries), _finite(targets)
-    n = t.count()
+    ends = q.select("x", "y", "z").union(t.select("x", "y", "z")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    far = sum((v or 0.0) ** 2 for v in ends) ** 0.5  # no target is farther
     order = Window.partitionBy(*keys, "first").orderBy("distance", "second")
     out, radius, left = None, float(start), q
     while True:
@@ -132,18 +135,17 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, start: float, keys: tupl
         if exclude_self:
             met = met.where("first != second")
         ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked = ranked.select(*keys, F.col("first").alias("query"), "rank", F.col("second").alias("target"), "distance")
+        ranked = cut(ranked.select(*keys, F.col("first").alias("query"), "rank", F.col("second").alias("target"), "distance"))
         full = ranked.where(F.col("rank") == k).select(*keys, F.col("query").alias("atom"))
-        rest = left.join(full, [*keys, "atom"], "left_anti")
-        done = ranked.join(full.withColumnRenamed("atom", "query"), [*keys, "query"], "left_semi")
+        last = radius > far
+        done = ranked if last else ranked.join(full.withColumnRenamed("atom", "query"), [*keys, "query"], "left_semi")
         out = done if out is None else out.unionByName(done)
-        if not rest.limit(1).count():
+        if last:
+            return out
+        left = cut(left.join(full, [*keys, "atom"], "left_anti"))
+        if not left.limit(1).count():
             return out
-        reach = t.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-        far = 2 * sum((v or 0.0) ** 2 for v in reach) ** 0.5 + 1
-        if n <= k or radius > far:  # every target has been met
-            return out.unionByName(ranked.join(rest.select(*keys, F.col("atom").alias("query")), [*keys, "query"], "left_semi"))
-        radius, left = radius * 2, rest
+        radius *= 2
 
 
 def contact_map(points: DataFrame, cutoff: float, min_separation: int = 0) -> DataFrame:
