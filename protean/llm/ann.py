@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 
 BITS, TABLES = 64, 4
-#: Rows that the rotation and the radius are learned on, those with the smallest hashes; queries among them.
+#: About so many rows are learned on, at most twice as many: those with the smallest hashes; queries among them.
 SAMPLE, SAMPLE_QUERIES = 8192, 256
 RECALL = 0.98
 QUERY_BLOCK, ROW_BLOCK = 512, 16384
@@ -78,7 +78,7 @@ def learn(rows: DataFrame, k: int, recall: float = RECALL) -> tuple[int, float,
     if not dims:
         return None
     d, norm = dims[0].d, dims[0].norm
-    got = rows.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+    got = sorted(sampled(rows.where(F.size("v") == d), F.col("id"), SAMPLE, dims[0].n).select("id", "v").limit(2 * SAMPLE).collect())
     v = np.array([r.v for r in got], dtype=float)
     x = _raised(v, norm)
     rotation = _rotations(x, BITS)
