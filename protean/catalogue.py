@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import compare, crystal, dataset, geometry, interactions, sequence, spatial, surface, trajectory, validation
+from .operators import chemistry, compare, crystal, dataset, geometry, interactions, sequence, spatial, surface, trajectory, validation
 from .plans import model, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
 
@@ -748,3 +748,67 @@ def graph_edges(spark, sf):
 def tanimoto(spark, sf):
     f = read(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("bits"))
     return dataset.tanimoto(f, 0.6).select("first", "second", _r("similarity"))
+
+
+# --- chemistry ----------------------------------------------------------------------------------
+
+_MASS = "case substr(name, 1, 1) when 'C' then 12.011::double when 'N' then 14.007::double when 'O' then 15.999::double end"
+
+
+@_query(f"with {ATOMS} select atom_index, {_MASS} as mass, case substr(name, 1, 1) when 'C' then 1.7::double when 'N' then 1.55::double when 'O' then 1.52::double end as radius from a")
+def element_properties(spark, sf):
+    return chemistry.with_properties(model.atoms(spark, sf)).select("atom_index", "mass", "radius")
+
+
+@_query(f"with {ATOMS} select residue_index, round(sum({_MASS}), 4) as weight, cast(0 as bigint) as unknown from a group by 1")
+def molecular_weight(spark, sf):
+    return chemistry.molecular_weight(model.atoms(spark, sf), ["residue_index"]).select("residue_index", F.round("weight", 4).alias("weight"), "unknown")
+
+
+@_query(f"with {ATOMS} select atom_index, case when resname in ('ALA', 'GLY', 'SER', 'LYS') then 'polymer' when resname = 'HOH' then 'water' else 'ion' end as class from a")
+def residue_class(spark, sf):
+    return model.atoms(spark, sf).select("atom_index", chemistry.residue_class(F.col("label_comp_id")).alias("class"))
+
+
+_BACK = "e as (select distinct residue_index as residue, t.name from a, (values ('N'), ('CA'), ('C'), ('O')) t(name)), h as (select distinct residue_index as residue, name from a)"
+
+
+def _expected(spark, sf):
+    a = model.atoms(spark, sf).select(F.col("residue_index").alias("residue"), F.col("atom_name").alias("name"))
+    return a.select("residue").distinct().select("residue", F.explode(F.array(*map(F.lit, ["N", "CA", "C", "O"]))).alias("name")), a
+
+
+@_query(f"with {ATOMS}, {_BACK} select e.residue, count(*) as expected, count(h.name) as found from e left join h on e.residue = h.residue and e.name = h.name group by 1")
+def component_coverage(spark, sf):
+    return chemistry.component_coverage(*_expected(spark, sf))
+
+
+@_query(f"with {ATOMS}, {_BACK} select residue, name from e except select residue, name from h")
+def missing_atoms(spark, sf):
+    return chemistry.missing_atoms(*_expected(spark, sf))
+
+
+@_query()
+def circular_fingerprint(spark, sf):
+    a = model.atoms(spark, sf).select(F.col("residue_index").alias("molecule"), F.col("atom_index").alias("atom"), F.col("element_symbol").alias("element"))
+    return chemistry.circular_fingerprint(a, model.bonds(spark, sf))
+
+
+@_query()
+def butina(spark, sf):
+    f = read(spark, sf, "lineitem").where("l_orderkey < 1000").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("bits"))
+    return chemistry.butina(dataset.tanimoto(f, 0.5), f)
+
+
+@_query(f"with {ATOMS}, {BONDS}, q0 as (select atom_index as atom, 0.0::double as q, 7.0::double + residue_index % 3 as a, 9.0::double as b, 1.5::double as c from a), e as (select atom_a as u, atom_b as v from b union all select atom_b, atom_a from b), x as (select *, a + b * q + c * q * q as x, a + b + c as p from q0) select x.atom, round(x.q + coalesce(sum((y.x - x.x) / case when y.x > x.x then x.p else y.p end * 0.5), 0), 6) as charge from x left join e on e.u = x.atom left join x y on y.atom = e.v group by x.atom, x.q")
+def equalised_charges(spark, sf):
+    """One pass, where a residue's atoms differ by nothing: charges stay at 0 and sum to 0."""
+    a = model.atoms(spark, sf).select(F.col("atom_index").alias("atom"), F.lit(0.0).alias("charge"), (F.lit(7.0) + F.col("residue_index") % 3).alias("a"), F.lit(9.0).alias("b"), F.lit(1.5).alias("c"))
+    return chemistry.equalised_charges(a, model.bonds(spark, sf), 1).select("atom", F.round("charge", 6).alias("charge"))
+
+
+@_query("with n as (select l_orderkey, l_linenumber, l_quantity - 25 as n0, l_discount * 400 - 20 as n1, l_tax * 500 - 21 as n2, l_quantity / 2 - 7 as n3, l_discount * 100 as n4, l_partkey, l_suppkey, l_extendedprice from lineitem), p as (select *, degrees(atan2((n4 + n1) - (n3 + n0), 2 * n2 * (sin(radians(36.0)) + sin(radians(72.0))))) as p from n) select l_orderkey, round(sum(case when p < 0 then p + 360 else p end), 4) as phases from p group by 1")
+def sugar_pucker(spark, sf):
+    n = [F.col("l_quantity") - 25, F.col("l_discount") * 400 - 20, F.col("l_tax") * 500 - 21, F.col("l_quantity") / 2 - 7, F.col("l_discount") * 100]
+    p = read(spark, sf, "lineitem").select("l_orderkey", chemistry.sugar_pucker(*n).alias("p"))
+    return p.groupBy("l_orderkey").agg(F.round(F.sum("p.phase"), 4).alias("phases"))
