@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chemistry, compare, crystal, dataset, geometry, interactions, sequence, spatial, surface, trajectory, validation
+from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, sequence, spatial, surface, trajectory, validation
 from .plans import model, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
 
@@ -812,3 +812,195 @@ def sugar_pucker(spark, sf):
     n = [F.col("l_quantity") - 25, F.col("l_discount") * 400 - 20, F.col("l_tax") * 500 - 21, F.col("l_quantity") / 2 - 7, F.col("l_discount") * 100]
     p = read(spark, sf, "lineitem").select("l_orderkey", chemistry.sugar_pucker(*n).alias("p"))
     return p.groupBy("l_orderkey").agg(F.round(F.sum("p.phase"), 4).alias("phases"))
+
+
+# --- backbone and secondary structure -----------------------------------------------------------
+
+
+def _residues(spark, sf):
+    e = F.col("embedding")
+    v = lambda i: geometry.vec(e[i], e[i + 1], e[i + 2])
+    return read(spark, sf, "embeddings").select((F.col("vec_id") % 7).alias("chain"), (F.col("vec_id") / 7).cast("long").alias("resid"), v(0).alias("n"), v(3).alias("ca"), v(6).alias("c"))
+
+
+_RES = "r as (select vec_id % 7 as chain, vec_id // 7 as resid, " + ", ".join(f"embedding[{i + 1}]::double as {n}" for i, n in enumerate(["nx", "ny", "nz", "ax", "ay", "az", "cx", "cy", "cz"])) + " from embeddings), s as (select *, lag(cx) over w as px, lag(cy) over w as py, lag(cz) over w as pz, lead(nx) over w as qx, lead(ny) over w as qy, lead(nz) over w as qz from r window w as (partition by chain order by resid))"
+
+
+def _dih(a: str, b: str, c: str, d: str) -> str:
+    """SQL of a torsion of four points given by name prefixes."""
+    u, v, w = ([f"({q}{k}-{p}{k})" for k in "xyz"] for p, q in ((a, b), (b, c), (c, d)))
+    cr = lambda p, q: [f"({p[1]}*{q[2]}-{p[2]}*{q[1]})", f"({p[2]}*{q[0]}-{p[0]}*{q[2]})", f"({p[0]}*{q[1]}-{p[1]}*{q[0]})"]
+    dot = lambda p, q: "(" + "+".join(f"{x}*{y}" for x, y in zip(p, q, strict=True)) + ")"
+    n1, n2 = cr(u, v), cr(v, w)
+    return f"atan2({dot(cr(n1, n2), v)}/sqrt({dot(v, v)}), {dot(n1, n2)})"
+
+
+@_query(f"with {_RES} select chain, resid, round({_dih('p', 'n', 'a', 'c')}, 5) as phi, round({_dih('n', 'a', 'c', 'q')}, 5) as psi from s")
+def backbone_torsions(spark, sf):
+    t = backbone.backbone_torsions(_residues(spark, sf))
+    return t.select("chain", "resid", F.round("phi", 5).alias("phi"), F.round("psi", 5).alias("psi"))
+
+
+_BINS = f"with {_RES}, t as (select chain, resid, {_dih('p', 'n', 'a', 'c')} as phi, {_dih('n', 'a', 'c', 'q')} as psi from s), k as (select *, cast(floor((phi + pi()) / 1.0::double) as bigint) as phi_bin, cast(floor((psi + pi()) / 1.0::double) as bigint) as psi_bin from t where phi is not null and psi is not null), g as (select phi_bin, psi_bin, count(*) as n, count(*) / sum(count(*)) over () as share from k group by 1, 2)"
+
+
+@_query(_BINS + " select phi_bin, psi_bin, n, round(share, 6) as share from g")
+def torsion_bins(spark, sf):
+    return backbone.torsion_bins(backbone.backbone_torsions(_residues(spark, sf)), 1.0).select("phi_bin", "psi_bin", "n", _r("share"))
+
+
+@_query(_BINS + " select k.chain, k.resid, round(share, 6) as share from k join g on k.phi_bin = g.phi_bin and k.psi_bin = g.psi_bin where share < 0.02")
+def ramachandran_outliers(spark, sf):
+    return backbone.rare_torsions(backbone.backbone_torsions(_residues(spark, sf)), 1.0, 0.02).select("chain", "resid", _r("share"))
+
+
+_E = "e as (select *, row_number() over (partition by donor order by energy, acceptor) as r from (select d.vec_id as donor, a.vec_id as acceptor, 27.888::double * (1 / sqrt({on}) + 1 / sqrt({ch}) - 1 / sqrt({oh}) - 1 / sqrt({cn})) as energy, {on} as d2 from o a join o d on a.vec_id <> d.vec_id) where d2 <= 0.2::double * 0.2::double and energy < -60)"
+_E = _E.format(**{k: "+".join(f"(a.{p}{c}-d.{q}{c})*(a.{p}{c}-d.{q}{c})" for c in "xyz") for k, p, q in (("on", "o", "o"), ("ch", "c", "h"), ("oh", "o", "h"), ("cn", "c", "o"))})
+_O = "o as (select vec_id, " + ", ".join(f"embedding[{i + 1}]::double as {n}" for i, n in enumerate(["ox", "oy", "oz", "cx", "cy", "cz", "hx", "hy", "hz"])) + " from embeddings)"
+
+
+def _energies(spark, sf):
+    e = F.col("embedding")
+    at = read(spark, sf, "embeddings").select(F.col("vec_id").alias("atom"), *[e[i].cast("double").alias(c) for i, c in enumerate("xyz")], geometry.vec(e[3], e[4], e[5]).alias("c"), geometry.vec(e[6], e[7], e[8]).alias("h"))
+    return backbone.bond_energies(at, at, 0.2, -60.0)
+
+
+@_query(f"with {_O}, {_E} select donor, acceptor, round(energy, 4) as energy from e where r <= 2")
+def hydrogen_bond_energies(spark, sf):
+    return _energies(spark, sf).select("donor", "acceptor", F.round("energy", 4).alias("energy"))
+
+
+_HB = "hb as (select l_partkey % 400 as donor, l_suppkey % 100 + l_partkey % 300 as acceptor from lineitem where l_orderkey % 3 = 0 group by 1, 2)"
+
+
+def _bonds_of_residues(spark, sf):
+    l = read(spark, sf, "lineitem").where("l_orderkey % 3 = 0")  # noqa: E741
+    return l.select((F.col("l_partkey") % 400).alias("donor"), (F.col("l_suppkey") % 100 + F.col("l_partkey") % 300).alias("acceptor")).distinct()
+
+
+@_query(f"with {_HB}, s as (select distinct acceptor as i from hb where donor - acceptor = 4), p as (select i from s where i + 1 in (select i from s)) select distinct i + k as residue from p, (select unnest([1, 2, 3, 4]) as k)")
+def helices(spark, sf):
+    return backbone.helices(_bonds_of_residues(spark, sf))
+
+
+@_query(f"with {_HB}, t as (select p.acceptor + 1 as i, p.donor as j, 'parallel' as kind from hb p join hb q on p.donor = q.acceptor and q.donor - p.acceptor = 2 union select p.acceptor, p.donor, 'antiparallel' from hb p join hb q on p.donor = q.acceptor and p.acceptor = q.donor union select p.acceptor + 1, p.donor - 1, 'antiparallel' from hb p join hb q on p.donor - q.acceptor = 2 and q.donor - p.acceptor = 2) select distinct least(i, j) as i, greatest(i, j) as j, kind from t where abs(j - i) > 2")
+def bridges(spark, sf):
+    return backbone.bridges(_bonds_of_residues(spark, sf))
+
+
+_STATES = f"with {FRAMES}, s as (select series, frame, event_type as state, row_number() over (partition by series, event_type order by frame) as k from f)"
+
+
+def _states(spark, sf):
+    return model.frames(spark, sf).select("series", "frame", F.col("event_type").alias("state"))
+
+
+@_query(_STATES + ' select series, state, min(frame) as "first", max(frame) as "last", count(*) as length from s group by series, state, frame - k')
+def segments(spark, sf):
+    return backbone.segments(_states(spark, sf), ["series"], "frame")
+
+
+@_query(_STATES + " select series, state, round(count(*) / sum(count(*)) over (partition by series), 6) as share from s group by 1, 2")
+def secondary_content(spark, sf):
+    return backbone.content(_states(spark, sf), ["series"]).select("series", "state", _r("share"))
+
+
+# --- ensembles ----------------------------------------------------------------------------------
+
+
+@_query("select user_id as series, cast(floor((value - 0) / 5.0::double) as bigint) as bin, count(*) as n, round(count(*) / (any_value(t) * 5.0::double), 6) as density from events join (select user_id as u, count(value) as t from events group by 1) on u = user_id where value >= 0 and value < 100 group by 1, 2")
+def histogram(spark, sf):
+    return ensemble.histogram(model.frames(spark, sf), "value", 0.0, 100.0, 20, ["series"]).select("series", "bin", "n", _r("density"))
+
+
+@_query("with c as (select event_type, count(*) as n from events group by 1) select event_type, n, round(-0.6::double * ln(n / (select max(n) from c)), 6) as energy from c")
+def free_energy(spark, sf):
+    return ensemble.free_energy(read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), 0.6).select("event_type", "n", _r("energy"))
+
+
+@_query(f"with {FRAMES}, t as (select lag(event_type) over (partition by series order by frame) as before, event_type as after from f), n as (select before, after, count(*) as n from t where before is not null group by 1, 2) select before, after, n, round(n / sum(n) over (partition by before), 6) as probability from n")
+def transitions(spark, sf):
+    return ensemble.transitions(_states(spark, sf)).select("before", "after", "n", _r("probability"))
+
+
+@_query(_STATES + ", r as (select series, state, frame - k as run, count(*) as n from s group by 1, 2, 3) select series, state, count(*) as visits, round(avg(n), 6) as mean, max(n) as longest from r group by 1, 2")
+def dwell_times(spark, sf):
+    return ensemble.dwell_times(_states(spark, sf)).select("series", "state", "visits", _r("mean"), "longest")
+
+
+@_query(f"with {FRAMES}, v as (select series, frame, value - lag(value) over (partition by series order by frame) as velocity from f) select series, frame, round(velocity, 6) as velocity from v where velocity is not null")
+def velocities(spark, sf):
+    return ensemble.velocities(model.frames(spark, sf)).select("series", "frame", _r("velocity"))
+
+
+@_query(f"with {FRAMES} select series, frame, round(avg(value) over (partition by series order by frame rows between 2 preceding and 2 following), 6) as mean from f")
+def running_mean(spark, sf):
+    return ensemble.running_mean(model.frames(spark, sf), 2).select("series", "frame", _r("mean"))
+
+
+@_query("with c as (select " + ", ".join(f"embedding[{i + 1}]::double as c{i}" for i in range(5)) + " from embeddings) " + " union all ".join(f"select 'c{i}' as a, 'c{j}' as b, round(corr(c{i}, c{j}), 6) as r from c" for i in range(5) for j in range(i + 1, 5)))
+def cross_correlation(spark, sf):
+    d = read(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(5)])
+    return ensemble.cross_correlation(d, [f"c{i}" for i in range(5)]).select("a", "b", _r("r"))
+
+
+@_query('with g as (select l_returnflag, count(*) as n, avg(l_quantity) as m, var_pop(l_quantity) as v from lineitem group by 1), t as (select sum(n * m * m) - sum(n) * power(sum(n * m) / sum(n), 2) as b, sum(n * v) as w from g) select round(b, 3) as "between", round(w, 3) as within, round(b + w, 3) as total, round(b / (b + w), 9) as share from t')
+def group_variance(spark, sf):
+    g = ensemble.group_variance(read(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
+    return g.select(F.round("between", 3).alias("between"), F.round("within", 3).alias("within"), F.round("total", 3).alias("total"), F.round("share", 9).alias("share"))
+
+
+@_query(f"with recursive {CLOUD}, e as (select a.atom as u, b.atom as v from p a join p b on a.atom <> b.atom and {D2} <= 0.05::double * 0.05::double), r as (select atom, atom as root from p union select e.v, r.root from r join e on e.u = r.atom) select atom as item, min(root) as cluster from r group by 1")
+def single_linkage(spark, sf):
+    c = model.cloud(spark, sf)
+    return ensemble.single_linkage(spatial.pairs_within(c, 0.05), c.select(F.col("atom").alias("item")), 0.05)
+
+
+@_query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def time_windows(spark, sf):
+    return ensemble.time_windows(read(spark, sf, "events"), "1 day").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query(f"with {FRAMES}, j as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by series order by ts, event_id) > 21600000000 then 1 else 0 end as jump from f), s as (select *, sum(jump) over (partition by series order by ts, event_id) as session from j) select series, cast(session as bigint) as session, min(ts) as start, count(*) as n from s group by 1, 2")
+def sessions(spark, sf):
+    return ensemble.sessions(model.frames(spark, sf), 21600)
+
+
+@_query("with l as (select user_id as series, ts, event_id as id from events where event_type = 'purchase'), r as (select user_id as series, ts, value from events where event_type <> 'purchase') select l.series, l.ts, l.id, r.value as last from l asof left join r on l.series = r.series and l.ts >= r.ts")
+def as_of_join(spark, sf):
+    e = read(spark, sf, "events").withColumnRenamed("user_id", "series")
+    return ensemble.nearest_before(e.where("event_type = 'purchase'").withColumnRenamed("event_id", "id"), e.where("event_type != 'purchase'"))
+
+
+# --- audits -------------------------------------------------------------------------------------
+
+_RUNS = "u as (select l_returnflag as f, l_linestatus as s, l_linenumber % 3 as k, l_quantity as v from lineitem)"
+
+
+def _runs(spark, sf):
+    return read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), (F.col("l_linenumber") % 3).alias("k"), F.col("l_quantity").alias("v"))
+
+
+@_query(f"with {_RUNS} " + " union all ".join(f"select '{c}' as factor, round((select var_pop(v) from u) - sum(n * w) / sum(n), 6) as effect from (select count(*) as n, var_pop(v) as w from u group by {c})" for c in "fsk"))
+def audit_main_effects(spark, sf):
+    return audit.main_effects(_runs(spark, sf), ["f", "s", "k"], "v").select("factor", _r("effect"))
+
+
+def _closed(cols: str) -> str:
+    return f"(select sum(n * m * m) / sum(n) - power(sum(n * m) / sum(n), 2) from (select count(*) as n, avg(v) as m from u group by {cols}))"
+
+
+@_query(f"with {_RUNS}, c as (select {_closed('f')} as f, {_closed('s')} as s, {_closed('f, s')} as fs) select 'f' as factor, round((f / 2 + (fs - s) / 2) / fs, 6) as share from c union all select 's', round((s / 2 + (fs - f) / 2) / fs, 6) from c")
+def audit_shapley(spark, sf):
+    return audit.shapley(_runs(spark, sf), ["f", "s"], "v").select("factor", _r("share"))
+
+
+@_query("select l_orderkey as item, count(l_quantity) as runs, min(l_quantity) as least, max(l_quantity) as most, max(l_quantity) - min(l_quantity) <= 10 as stable from lineitem group by 1")
+def audit_stability(spark, sf):
+    return audit.stability(read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "item"), "item", "l_quantity", 10.0)
+
+
+@_query("select a.r_name as first, b.n_name as second from region a, nation b")
+def audit_grid(spark, sf):
+    names = lambda t, c: [r[0] for r in read(spark, sf, t).select(c).collect()]
+    return audit.grid(spark, {"first": names("region", "r_name"), "second": names("nation", "n_name")})
