@@ -94,3 +94,24 @@ def test_grids(spark, tmp_path):
     (tmp_path / "a.dx").write_text("object 1 class gridpositions counts 2 1 2\norigin 1 0 0\ndelta 0.5 0 0\ndelta 0 1 0\ndelta 0 0 2\nobject 2 class gridconnections counts 2 1 2\nobject 3 class array type double rank 0 items 4 data follows\n1 2 3\n4\n")
     r = grids.read_grid(spark, str(tmp_path / "a.dx"), "dx").orderBy("ix", "iz").collect()
     assert [(x.ix, x.iz, x.x, x.z, x.value) for x in r] == [(0, 0, 1.0, 0.0, 1.0), (0, 1, 1.0, 2.0, 2.0), (1, 0, 1.5, 0.0, 3.0), (1, 1, 1.5, 2.0, 4.0)]
+
+
+def test_binary_containers(spark, tmp_path):
+    import numpy as np
+    from protean.sources import binary
+
+    x = np.random.default_rng(0).normal(size=(3, 5, 3)).astype("f4").astype(float)
+    (tmp_path / "a.dcd").write_bytes(binary.dcd_bytes(x))
+    r = binary.read_dcd(spark, str(tmp_path / "a.dcd")).orderBy("frame", "atom").collect()
+    assert np.allclose([[q.x, q.y, q.z] for q in r], x.reshape(-1, 3)) and r[-1].frame == 2
+    v = np.random.default_rng(1).normal(size=(2, 3, 4)).astype("f4").astype(float)
+    (tmp_path / "a.mrc").write_bytes(binary.mrc_bytes(v, (2, 3, 4, 90, 90, 90)))
+    g = {(q.ix, q.iy, q.iz): q.value for q in binary.read_mrc(spark, str(tmp_path / "a.mrc")).collect()}
+    assert all(g[i] == v[i] for i in np.ndindex(2, 3, 4))
+    t = np.array([[1, 0, 0, 5.5], [0, 1, 2, np.nan]])
+    (tmp_path / "a.mtz").write_bytes(binary.mtz_bytes(["H", "K", "L", "F"], "HHHF", t, (10, 20, 30, 90, 90, 90)))
+    m = binary.read_mtz(spark, str(tmp_path / "a.mtz"), ("H", "K", "L", "F", "SIGF")).orderBy("K").collect()
+    assert [(q.H, q.K, q.L, q.F, q.SIGF) for q in m] == [(1, 0, 0, 5.5, None), (0, 1, 2, None, None)]
+    assert binary.mtz_table((tmp_path / "a.mtz").read_bytes())[2] == (10, 20, 30, 90, 90, 90)
+    with pytest.raises(Exception, match="DCD|records|lengths"):
+        binary.read_dcd(spark, str(tmp_path / "a.mrc")).count()
