@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, sequence, spatial, surface, trajectory, validation
-from .plans import model, selection
+from .plans import model, policy, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1004,3 +1004,81 @@ def audit_stability(spark, sf):
 def audit_grid(spark, sf):
     names = lambda t, c: [r[0] for r in read(spark, sf, t).select(c).collect()]
     return audit.grid(spark, {"first": names("region", "r_name"), "second": names("nation", "n_name")})
+
+
+# --- policies, comparison by residue, splits ----------------------------------------------------
+
+
+def _occ(spark, sf):
+    return model.atoms(spark, sf).withColumn("altloc", F.col("altloc"))
+
+
+@_query(f"with {ATOMS}, s as (select chain, altloc, round(sum(occupancy), 6) as s from a where altloc <> '' group by 1, 2), k as (select chain, altloc, row_number() over (partition by chain order by s desc, altloc) as r from s) select a.atom_index from a left join k on a.chain = k.chain and k.r = 1 where a.altloc = '' or a.altloc = k.altloc")
+def policy_conformer_consistent(spark, sf):
+    return policy.Policy().apply(_occ(spark, sf)).select("atom_index")
+
+
+@_query(f"with {ATOMS}, k as (select *, row_number() over (partition by residue_index, name order by occupancy desc, altloc, atom_index) as r from a) select atom_index from k where altloc = '' or r = 1")
+def policy_highest_occupancy(spark, sf):
+    return policy.Policy(altloc="highest_occupancy").apply(_occ(spark, sf)).select("atom_index")
+
+
+@_query(f"with {ATOMS} select atom_index from a where altloc = ''")
+def policy_no_altlocs(spark, sf):
+    return policy.Policy(altloc="none").apply(_occ(spark, sf)).select("atom_index")
+
+
+@_query(f"with {ATOMS} select chain, count(*) as atoms, round(avg(x), 6) as x from a where altloc = '' group by 1")
+def governed_centroid(spark, sf):
+    """A governed analysis: the answer of a complete result."""
+    r = policy.govern(_occ(spark, sf), policy.Policy(altloc="none"), lambda a: a.groupBy(F.col("label_asym_id").alias("chain")).agg(F.count("*").alias("atoms"), F.avg("x").alias("x")))
+    assert r.status == "complete"
+    return r.value.select("chain", "atoms", _r("x"))
+
+
+@_query(f"with {CLOUD}, {MOVED}, {PAIRS}, t as (select q.ra, q.rb, abs(sqrt({D2}) - q.distance) as o from q join m a on q.first = a.atom join m b on q.second = b.atom where q.ra <> q.rb), k as (select ra, rb, ((o < 0.005::double)::int + (o < 0.01::double)::int + (o < 0.02::double)::int) / 3 as k from t), e as (select ra as residue, k from k union all select rb, k from k) select residue, round(avg(k), 6) as score, count(*) as pairs from e group by 1")
+def local_distance_test(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.local_distance_test(c, model.moved(c), 0.15, (0.005, 0.01, 0.02)).select("residue", _r("score"), "pairs")
+
+
+_QW = "case when {d} <= 0.05::double then 1.0::double else exp(-2 * power(({d} - 0.05::double) / 4.28::double, 2)) end"
+
+
+@_query(f"with {CLOUD}, {MOVED}, r as (select a.atom as f, b.atom as s, sqrt({D2}) as dr from p a join p b on a.atom < b.atom and {D2} <= 0.0225::double), n as (select a.atom as f, b.atom as s, sqrt({D2}) as dm from m a join m b on a.atom < b.atom and {D2} <= 0.0225::double), j as (select r.dr, n.dm from (select * from r where dr < 0.12::double) r full join (select * from n where dm < 0.12::double) n on r.f = n.f and r.s = n.s), w as (select *, case when dr is not null and dm is not null then {_QW.format(d='least(dr, dm)')} else {_QW.format(d='coalesce(dr, dm)')} end as w from j) select round(sum(case when dr is not null and dm is not null then w * (1 - abs(dr - dm) / 0.12::double) else 0 end) / sum(w), 6) as qs from w")
+def qs_score(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.qs_score(spatial.pairs_within(c, 0.15), spatial.pairs_within(model.moved(c), 0.15), 0.12, 0.05).select(_r("qs"))
+
+
+@_query(f"with {CLOUD}, {PAIRS}, m as (select distinct least(ra, rb) as a, greatest(ra, rb) as b from q where ra <> rb) select round(avg(abs(a - b)) / 10, 6) as relative from m")
+def contact_order(spark, sf):
+    return compare.contact_order(spatial.contact_map(model.cloud(spark, sf), 0.15), 10).select(_r("relative"))
+
+
+@_query("with a as (select o_orderkey as atom, o_custkey as k, o_orderstatus as s from orders), t as (select k, s, min(atom) as target from a where atom % 3 <> 0 group by 1, 2) select a.atom as reference, t.target from a left join t on a.k = t.k and a.s = t.s")
+def match_atoms(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("atom"), F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return compare.match_atoms(o, o.where("atom % 3 != 0"), ("k", "s"))
+
+
+@_query()
+def split_identity(spark, sf):
+    c = model.cloud(spark, sf)
+    return dataset.split_identity(spatial.pairs_within(c, 0.03), c.select(F.col("atom").alias("id")), {"train": 0.8, "test": 0.2})
+
+
+@_query()
+def split_by_hash(spark, sf):
+    return dataset.split_by_hash(_manifest(spark, sf), {"train": 0.8, "test": 0.2})
+
+
+@_query(f"with {CLOUD}, {PAIRS} select first, second from q where first % 5 <> second % 5")
+def split_leaks(spark, sf):
+    c = model.cloud(spark, sf)
+    return dataset.leaks(spatial.pairs_within(c, 0.15), c.select(F.col("atom").alias("id"), (F.col("atom") % 5).cast("string").alias("split")))
+
+
+@_query("select lang as method, count(*) as entries, sum(n_chars) as atoms, min(n_chars) as smallest, max(n_chars) as largest from documents group by 1")
+def dataset_statistics(spark, sf):
+    return dataset.statistics(_manifest(spark, sf), "method")

@@ -76,3 +76,42 @@ def structure_diff(before: DataFrame, after: DataFrame, key: str, columns: list[
     a = after.select(key, F.struct(*columns).alias("a"))
     kind = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return b.join(a, key, "full").select(key, kind.alias("change")).where("change is not null")
+
+
+def local_distance_test(reference: DataFrame, model: DataFrame, radius: float, tolerances=(0.5, 1.0, 2.0, 4.0)) -> DataFrame:
+    """(residue, score, pairs): kept reference distances to other residues, for each residue of points with ``residue``."""
+    ref = pairs_within(reference, radius, extra=("residue",)).where("first_residue != second_residue")
+    a = model.select(F.col("atom").alias("first"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
+    b = model.select(F.col("atom").alias("second"), *[F.col(c).alias(f"b_{c}") for c in "xyz"])
+    met = ref.join(a, "first", "left").join(b, "second", "left").withColumn("off", F.abs(F.sqrt(squared_distance("a_", "b_")) - F.col("distance")))
+    kept = sum((F.coalesce((F.col("off") < t).cast("double"), F.lit(0.0)) for t in tolerances), F.lit(0.0)) / len(tolerances)
+    ends = met.select(F.explode(F.array("first_residue", "second_residue")).alias("residue"), kept.alias("k"))
+    return ends.groupBy("residue").agg(F.avg("k").alias("score"), F.count("*").alias("pairs"))
+
+
+def qs_score(reference: DataFrame, model: DataFrame, cutoff: float = 12.0, near: float = 5.0) -> DataFrame:
+    """(qs) of contacts between chains (first, second, distance) strictly closer than ``cutoff``.
+
+    A contact weighs 1 within ``near`` and falls as a Gaussian beyond; shared contacts count by how
+    alike the two distances are, contacts of one side alone count against.
+    """
+    weight = lambda d: F.when(d <= near, F.lit(1.0)).otherwise(F.exp(-2 * F.pow((d - near) / F.lit(4.28), F.lit(2))))
+    r = reference.where(F.col("distance") < cutoff).select("first", "second", F.col("distance").alias("dr"))
+    m = model.where(F.col("distance") < cutoff).select("first", "second", F.col("distance").alias("dm"))
+    j = r.join(m, ["first", "second"], "full")
+    both = F.col("dr").isNotNull() & F.col("dm").isNotNull()
+    w = F.when(both, weight(F.least("dr", "dm"))).otherwise(weight(F.coalesce("dr", "dm")))
+    alike = F.when(both, w * (1 - F.abs(F.col("dr") - F.col("dm")) / F.lit(cutoff))).otherwise(0.0)
+    return j.agg(F.try_divide(F.sum(alike), F.sum(w)).alias("qs"))
+
+
+def contact_order(pairs: DataFrame, length: int) -> DataFrame:
+    """(relative): mean separation of contacts (res_a, res_b) over the chain's length."""
+    return pairs.agg((F.avg(F.abs(F.col("res_a") - F.col("res_b"))) / length).alias("relative"))
+
+
+def match_atoms(reference: DataFrame, target: DataFrame, keys=("chain", "resid", "icode", "resname", "name")) -> DataFrame:
+    """(reference, target): atoms with the same identity; null without one."""
+    a = reference.select(F.col("atom").alias("reference"), *keys)
+    b = target.groupBy(*keys).agg(F.min("atom").alias("target"))
+    return a.join(b, list(keys), "left").select("reference", "target")
