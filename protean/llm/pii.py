@@ -149,29 +149,30 @@ def _pseudonym(kind: str, m: str, f: _Feistel) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", rounds: int = 10) -> DataFrame:
-    """``docs`` with ``text_col`` pseudonymised and two more columns: n_found and kinds.
+    """``docs`` with ``text_col`` pseudonymised and two more columns (or new values of them): n_found and kinds.
 
     ``key`` is the secret; whoever has it can link or reverse the pseudonyms.
     """
     f, union = _Feistel(key, rounds), _union()
+    tag = "_pii"
+    while any(c.startswith(tag) for c in docs.columns):  # names of its own, whatever the table's are
+        tag += "_"
+    some, found, new, rest = (f"{tag}_{c}" for c in ("some", "found", "new", "rest"))
     text = F.col(text_col)
-    # No alternative begins without a digit, an @ behind it or a country code: most texts end here.
-    some = text.rlike(union)
-    checked = "transform(found, m -> named_struct('m', m, 'kind', {k}))".format(k=_kind("m"))
     work = (
-        docs.withColumn("_some", F.coalesce(some, F.lit(False)))
-        .withColumn("_found", F.when(F.col("_some"), F.regexp_extract_all(text, F.lit(union), F.lit(0))))
-        .withColumn("_found", F.expr(checked.replace("found", "_found")))
-        .withColumn("_found", F.expr(f"transform(_found, p -> named_struct('m', p.m, 'kind', if({_valid('p.kind', 'p.m')}, p.kind, null)))"))
-        .withColumn("_new", F.expr(f"transform(_found, p -> if(p.kind is null, p.m, {_pseudonym('p.kind', 'p.m', f)}))"))
-        .withColumn("_rest", F.when(F.col("_some"), F.split(text, union, -1)))
+        docs.withColumn(some, F.coalesce(text.rlike(union), F.lit(False)))  # most texts end here
+        .withColumn(found, F.when(F.col(some), F.regexp_extract_all(text, F.lit(union), F.lit(0))))
+        .withColumn(found, F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {_kind('m')}))"))
+        .withColumn(found, F.expr(f"transform({found}, p -> named_struct('m', p.m, 'kind', if({_valid('p.kind', 'p.m')}, p.kind, null)))"))
+        .withColumn(new, F.expr(f"transform({found}, p -> if(p.kind is null, p.m, {_pseudonym('p.kind', 'p.m', f)}))"))
+        .withColumn(rest, F.when(F.col(some), F.split(text, union, -1)))
     )
-    whole = F.expr("concat(_rest[0], array_join(zip_with(_new, slice(_rest, 2, size(_new)), (a, b) -> concat(a, b)), ''))")
+    whole = F.expr(f"concat({rest}[0], array_join(zip_with({new}, slice({rest}, 2, size({new})), (a, b) -> concat(a, b)), ''))")
+    n = F.expr(f"size(filter({found}, p -> p.kind is not null))")
+    kinds = F.expr(f"array_join(array_sort(array_distinct(filter(transform({found}, p -> p.kind), k -> k is not null))), ',')")
     return (
-        work.withColumn(text_col, F.when(F.col("_some"), whole).otherwise(text))
-        .withColumn("n_found", F.expr("coalesce(size(filter(_found, p -> p.kind is not null)), 0)").cast("long"))
-        .withColumn("n_found", F.when(F.col("_some"), F.col("n_found")).otherwise(F.lit(0).cast("long")))
-        .withColumn("kinds", F.expr("coalesce(array_join(array_sort(array_distinct(filter(transform(_found, p -> p.kind), k -> k is not null))), ','), '')"))
-        .drop("_some", "_found", "_new", "_rest")
+        work.withColumn(text_col, F.when(F.col(some), whole).otherwise(text))
+        .withColumn("n_found", F.when(F.col(some), n).otherwise(F.lit(0)).cast("long"))
+        .withColumn("kinds", F.coalesce(kinds, F.lit("")))
+        .drop(some, found, new, rest)
     )
-
