@@ -28,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, stored
+from .common import load_tokenizer, slices, small_batches, stored
 
 #: Characters and distinct words after which a block ends.
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 32 << 20
 BLOCK_WORDS = 1 << 20
-#: Words joined at once.
-GROUP_WORDS = 1 << 20
+#: Words of documents in one packet (one document may have more), and the code of words beyond a block's commonest.
+PACKET_WORDS = 1 << 20
+ESCAPE = 0xFFFF
+#: Texts that a worker holds as Python strings.
+SLICE = 256
 #: Buckets of words for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 
@@ -48,7 +51,7 @@ _OTHER = re.compile(f"[^{_KNOWN}]")
 def _zip(a: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(a.tobytes())
 
 
 def _unzip(b: bytes, kind) -> np.ndarray:
@@ -89,11 +92,35 @@ class _Places(dict):
         return n
 
 
-PACKET = "block long, kind int, bucket int, base long, id long, data binary"
+PACKET = "block long, kind int, bucket int, base long, ids array<long>, sizes array<int>, data binary"
+_PACKET = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("base", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
 
 
-def _packets(path: str, n_buckets: int):
-    """Documents to packets: kind 0 a block's words of one bucket, kind 1 a document's positions."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKET, strict=True)], schema=_PACKET)
+
+
+def _planes(code: np.ndarray, rare: np.ndarray) -> bytes:
+    """Codes of two bytes, then the places of escaped words, plane by plane: bytes that are alike stand together."""
+    c, r = code.view(np.uint8), rare.astype(np.uint32).view(np.uint8)
+    return _zip(np.concatenate([c[0::2], c[1::2], r[0::4], r[1::4], r[2::4], r[3::4]]))
+
+
+def _places(data: bytes, n: int, top: np.ndarray) -> np.ndarray:
+    """The positions in the block's word list that ``_planes`` wrote."""
+    flat = _unzip(data, np.uint8)
+    code = np.stack([flat[:n], flat[n : 2 * n]], axis=1).view(np.uint16).ravel()
+    k = (len(flat) - 2 * n) // 4
+    rare = np.ascontiguousarray(flat[2 * n :].reshape(4, k).T).view(np.uint32).ravel()
+    out = np.empty(n, np.int64)
+    escaped = code == ESCAPE
+    out[escaped] = rare
+    out[~escaped] = top[code[~escaped]]
+    return out
+
+
+def _packets(path: str, n_buckets: int, block_chars: int = BLOCK_CHARS, packet_words: int = PACKET_WORDS):
+    """Documents to packets: kind 0 a block's words of one bucket, kind 1 its commonest words, then documents' positions."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seq, part = Splitter(path), 0, TaskContext.get().partitionId()
@@ -101,33 +128,44 @@ def _packets(path: str, n_buckets: int):
 
         def flush():
             nonlocal words, ids, places, chars, seq
-            names = list(words)
-            raw = [w.encode() for w in names]
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in raw), np.int64, len(raw))
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            block = (part << 24) + seq
-            ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            rows = []
+            block, seq = (part << 24) + seq, seq + 1
+            raw = [w.encode() for w in words]
+            words = _Places()
+            bucket = [zlib.crc32(w) % n_buckets for w in raw]
+            # a bucket's words in byte order: neighbours share beginnings, which compress away
+            order = sorted(range(len(raw)), key=lambda i: (bucket[i], raw[i]))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            ends = np.searchsorted(np.array(bucket, np.int64)[order] if order else np.zeros(0, np.int64), np.arange(n_buckets + 1))
             for b in range(n_buckets):
                 a, z = int(ends[b]), int(ends[b + 1])
                 if z > a:
                     mine = [raw[i] for i in order[a:z]]
-                    rows.append((block, 0, b, a, None, _zip(np.frombuffer(np.array(list(map(len, mine)), np.int32).tobytes() + b"".join(mine), np.uint8)) + (z - a).to_bytes(4, "little")))
-            rows += [(block, 1, None, k, i, _zip(rank[p])) for k, (i, p) in enumerate(zip(ids, places, strict=True))]
-            words, ids, places, chars, seq = _Places(), [], [], 0, seq + 1
-            for at in range(0, len(rows), 4096):
-                cols = list(zip(*rows[at : at + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["block", "kind", "bucket", "base", "id", "data"])
-
-        for b in batches:
+                    yield _rows([(block, 0, b, a, None, None, _zip(np.frombuffer(np.array(list(map(len, mine)), np.int32).tobytes() + b"".join(mine), np.uint8)) + (z - a).to_bytes(4, "little"))])
+            del raw, bucket, order
+            count = sum((np.bincount(p, minlength=len(rank)) for p in places), np.zeros(len(rank), np.int64))
+            top = np.argsort(-count, kind="stable")[:ESCAPE]
+            code = np.full(len(rank), ESCAPE, np.uint16)
+            code[top] = np.arange(len(top))
+            yield _rows([(block, 1, None, -1, None, None, _zip(rank[top].astype(np.uint32)))])
+            at = 0
+            while at < len(ids):
+                z, n = at, 0
+                while z < len(ids) and (z == at or n + len(places[z]) <= packet_words):
+                    n, z = n + len(places[z]), z + 1
+                all_places = np.concatenate(places[at:z])
+                c = code[all_places]
+                yield _rows([(block, 1, None, at, ids[at:z], [len(p) for p in places[at:z]], _planes(c, rank[all_places[c == ESCAPE]]))])
+                at = z
+            ids, places, chars = [], [], 0
+
+        for b in slices(batches, SLICE):
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = split(t)
                 ids.append(i)
                 places.append(np.fromiter(map(words.__getitem__, w), np.int32, len(w)))
                 chars += len(t)
-                if chars >= BLOCK_CHARS or len(words) >= BLOCK_WORDS:
+                if chars >= block_chars or len(words) >= BLOCK_WORDS:
                     yield from flush()
         if ids:
             yield from flush()
@@ -141,8 +179,7 @@ def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known = load_tokenizer(path), {}
         for b in batches:
-            out = []
-            for data in b.column("data").to_pylist():
+            for blk, bucket, base, data in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "base", "data")), strict=True):
                 n = int.from_bytes(data[-4:], "little")
                 flat = _unzip(data[:-4], np.uint8)
                 size = np.frombuffer(flat[: 4 * n].tobytes(), np.int32)
@@ -154,8 +191,7 @@ def _encoded(path: str):
                 for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, np.uint32)
                 got = [known[w] for w in mine]
-                out.append(_zip(np.concatenate([np.fromiter(map(len, got), np.uint32, n), *got])) + n.to_bytes(4, "little"))
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("kind"), b.column("bucket"), b.column("base"), b.column("id"), pa.array(out, pa.binary())], names=["block", "kind", "bucket", "base", "id", "data"])
+                yield _rows([(blk, 0, bucket, base, None, None, _zip(np.concatenate([np.fromiter(map(len, got), np.uint32, n), *got])) + n.to_bytes(4, "little"))])
 
     return encode
 
@@ -195,10 +231,9 @@ def _assembled(path: str, whole: bool):
             joined = lambda what, sep: pc.binary_join(pa.ListArray.from_arrays(ends, what.take(at)), sep)
             return size.astype(np.int64), joined(numbers, ","), joined(pieces, b"")
 
-        def docs(ids, places):
+        def docs(ids, sizes, at):
             size, text_ids, text = table
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
-            at = np.concatenate(places) if places else np.zeros(0, np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             where, ends_a = pa.array(at), pa.array(ends, pa.int32())
             id_text = pc.binary_join(pa.ListArray.from_arrays(ends_a, text_ids.take(where)), ",").to_pylist()
             decoded = [x.decode("utf-8", "replace") for x in pc.binary_join(pa.ListArray.from_arrays(ends_a, text.take(where)), b"").to_pylist()]
@@ -210,35 +245,27 @@ def _assembled(path: str, whole: bool):
                 names += ["ids", "decoded"]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
+        top = None
         for b in batches:
-            ids, places, held = [], [], 0
-            for blk, kind, i, data in zip(b.column("block").to_pylist(), b.column("kind").to_pylist(), b.column("id").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for blk, kind, base, ids, sizes, data in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "base", "ids", "sizes", "data")), strict=True):
                 if blk != block:
-                    if ids:
-                        yield docs(ids, places)
-                    ids, places, held, block, packets, table = [], [], 0, blk, [], None
+                    block, packets, table = blk, [], None
                 if kind == 0:
                     packets.append(data)
-                    continue
-                if table is None:
-                    table = made()
-                ids.append(i)
-                places.append(_unzip(data, np.int32))
-                held += len(places[-1])
-                if held >= GROUP_WORDS:
-                    yield docs(ids, places)
-                    ids, places, held = [], [], 0
-            if ids:
-                yield docs(ids, places)
+                elif base < 0:
+                    table, top, packets = made(), _unzip(data, np.uint32), []
+                else:
+                    yield docs(ids, sizes, _places(data, sum(sizes), top))
 
     return assemble
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, block_chars: int = BLOCK_CHARS, packet_words: int = PACKET_WORDS) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; with ``whole`` also ids and decoded."""
+    small_batches(docs.sparkSession)
     n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = stored(src.mapInArrow(_packets(path, n_buckets), PACKET), "bpe")
+    packed = stored(src.mapInArrow(_packets(path, n_buckets, block_chars, packet_words), PACKET), "bpe")
     ids = packed.where("kind = 0").repartition("bucket").mapInArrow(_encoded(path), PACKET)
     both = ids.unionByName(packed.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "base")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
