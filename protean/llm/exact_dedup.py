@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, stored
+from .common import SPACE_RUN, small_batches, stored
 
 #: Length of the part of a text that orders partitions before the hash does.
 PREFIX = 64
@@ -38,6 +38,7 @@ def normalised(text: Column) -> Column:
 
 
 def _sorted(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     cols = [F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")]
     if carry:
         cols.append(F.struct(*[docs[c] for c in docs.columns]).alias("row"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 #: The fitting sample: per language at most so many texts, of each at most so many characters from its middle.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1200
 #: At most so many languages: the dictionaries travel with the function, 115 kB each.
@@ -32,6 +34,9 @@ MIN_MATCH, WINDOW_LOG = 3, 18
 #: Totals closer than this share of the second are too close to tell.
 MIN_MARGIN = 0.01
 
+#: Texts that a worker holds as Python strings.
+SLICE = 256
+
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -113,13 +118,14 @@ def predict(text: str | None, ready: list) -> tuple[str, float, float]:
 def identify(docs: DataFrame, model: dict[str, bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, margin, rejected."""
     model = fit(docs, id_col, text_col) if model is None else model
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES dictionaries at most
     src = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     schema = src.select("id", "held_out", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin")).schema
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = _compressors(sent.value)
-        for b in batches:
+        for b in slices(batches, SLICE):
             found = [predict(t, ready) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=schema.names)
 
@@ -130,12 +136,13 @@ def identify(docs: DataFrame, model: dict[str, bytes] | None = None, id_col: str
 def keep_known(docs: DataFrame, model: dict[str, bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` that are not rejected, in the same pass and with their own columns."""
     model = fit(docs, id_col, text_col) if model is None else model
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = _compressors(sent.value)
-        for b in batches:
+        for b in slices(batches, SLICE):
             found = [predict(t, ready) for t in b.column("text").to_pylist()]
             yield b.select(["row"]).filter(pa.array([f[0] != UNKNOWN and f[2] >= min_margin for f in found], pa.bool_()))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, small_batches, stored
 
 SIDE, ROWS = 10, 2
 #: Links: 100 * intersection >= THRESHOLD * union.
@@ -41,6 +41,9 @@ MEMBERS, QUERIES = 256, 1024
 #: Identifiers that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Word hashes that a worker keeps, and texts that it holds as Python strings.
+KNOWN_WORDS, SLICE = 100_000, 256
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -56,7 +59,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -106,7 +109,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seeds = _WordHashes(), _seeds()
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in slices(batches, SLICE):
                 n, k1, k2, out = [], [], [], []
                 for t in b.column("text").to_pylist():
                     s = shingles(t, width, hashes)
@@ -135,12 +138,12 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in slices(batches, SLICE):
                 sets = [shingles(t, width, hashes) for t in b.column("text").to_pylist()]
                 right = [_key(s) == (x, y) for s, x, y in zip(sets, b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True)]
                 at = np.flatnonzero(right)
-                for i in range(0, len(at), 512):
-                    some = at[i : i + 512]
+                for i in range(0, len(at), SLICE):
+                    some = at[i : i + SLICE]
                     yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(some)), pa.array([len(sets[k]) for k in some], pa.int64()), pa.array([sets[k].view(np.int64) for k in some], pa.list_(pa.int64()))], names=["node", "n", "s"])
 
     src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
@@ -246,6 +249,7 @@ def _rest(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     every = stored(sketches(docs, width, id_col, text_col), "sketches")
     some = every.where("n > 0 and id is not null")
     # equal sets are one node, named by its smallest document
