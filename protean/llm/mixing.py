@@ -103,7 +103,8 @@ def slots(plan: DataFrame, seed: int, block: int = BLOCK, shard: int = SHARD) ->
     t = t.withColumn("slots", F.col("k0") + F.col("k1")).withColumn("begin", F.coalesce(F.sum("slots").over(w), F.lit(0))).withColumn("all", F.sum("slots").over(Window.partitionBy()))
     # a source's slots are made in pieces, so that one large source is made by many tasks
     piece = 1 << 14
-    wide = t.where("slots > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / piece)))).repartition("s", "piece")
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = t.where("slots > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / piece)))).repartition(parts, "s", "piece")  # a given number, as a few rows would else be put into one task
     wide = wide.withColumn("k", F.explode(F.sequence(F.col("piece") * piece, F.least((F.col("piece") + 1) * piece, F.col("slots")) - 1)))
     wide = wide.withColumn("epoch", (F.col("k") >= F.col("k0")).cast("long")).withColumn("j", F.when(F.col("epoch") == 0, F.col("k")).otherwise(F.col("k") - F.col("k0")))
     wide = wide.withColumn("index", F.expr(permuted("j", "n", f"{seed}L, s, epoch")))
