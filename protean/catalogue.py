@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, sequence, spatial, surface, trajectory, validation
+from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, networks, sequence, spatial, surface, trajectory, validation
 from .plans import model, policy, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
 
@@ -1082,3 +1082,78 @@ def split_leaks(spark, sf):
 @_query("select lang as method, count(*) as entries, sum(n_chars) as atoms, min(n_chars) as smallest, max(n_chars) as largest from documents group by 1")
 def dataset_statistics(spark, sf):
     return dataset.statistics(_manifest(spark, sf), "method")
+
+
+# --- networks, polymers, paths ------------------------------------------------------------------
+
+
+@_query()
+def gaussian_network(spark, sf):
+    return networks.gaussian_network(model.cloud(spark, sf), 0.2, ("residue",), 3)
+
+
+@_query()
+def anisotropic_network(spark, sf):
+    return networks.anisotropic_fluctuations(model.cloud(spark, sf), 0.3, ("residue",))
+
+
+@_query(f"with recursive {CLOUD}, e as (select a.atom as u, b.atom as v from p a join p b on a.atom <> b.atom and {D2} <= 0.05::double * 0.05::double), r as (select atom, atom as root from p union select e.v, r.root from r join e on e.u = r.atom), c as (select atom, min(root) as comp from r group by 1), k as (select comp, cast(row_number() over (order by count(*) desc, comp) - 1 as integer) as leaflet from c group by 1) select atom, leaflet from c join k on c.comp = k.comp")
+def leaflets(spark, sf):
+    return networks.leaflets(model.cloud(spark, sf), 0.05)
+
+
+@_query(f"with {CLOUD}, s as (select chain, lead(x) over w - x as ux, lead(y) over w - y as uy, lead(z) over w - z as uz, lead(x, 2) over w - lead(x) over w as vx, lead(y, 2) over w - lead(y) over w as vy, lead(z, 2) over w - lead(z) over w as vz from p window w as (partition by chain order by atom)) select chain, count(ux) as bonds, round(sum(sqrt(ux*ux+uy*uy+uz*uz)), 5) as contour, round(sqrt(power(sum(ux),2)+power(sum(uy),2)+power(sum(uz),2)), 6) as end_to_end, round(avg((ux*vx+uy*vy+uz*vz)/(sqrt(ux*ux+uy*uy+uz*uz)*sqrt(vx*vx+vy*vy+vz*vz))), 6) as mean_cosine from s group by 1")
+def polymer_statistics(spark, sf):
+    return networks.polymer_statistics(model.cloud(spark, sf)).select("chain", "bonds", F.round("contour", 5).alias("contour"), _r("end_to_end"), _r("mean_cosine"))
+
+
+@_query(f"with {CLOUD} select round(1 + (var_pop(x) + var_pop(y) + var_pop(z)) * {(1.602176634e-19**2 * 1e-20) / (3 * 1e-2 * 1e-30 * 1.380649e-23 * 300.0 * 8.8541878128e-12)!r}::double, 4) as permittivity from p")
+def dielectric(spark, sf):
+    d = model.cloud(spark, sf).select(*[F.col(c).alias(f"m{c}") for c in "xyz"])
+    return networks.dielectric(d, 1e-2, 300.0).select(F.round("permittivity", 4).alias("permittivity"))
+
+
+@_query(f"with {CLOUD} select atom, round(sqrt((power(atan2(sin(10*x-10*vx), cos(10*x-10*vx)), 2) + power(atan2(sin(10*y-10*vy), cos(10*y-10*vy)), 2)) / 2), 6) as distance from p")
+def torus_distance(spark, sf):
+    c = F.col
+    return model.cloud(spark, sf).select("atom", F.round(networks.torus_distance([c("x") * 10, c("y") * 10], [c("vx") * 10, c("vy") * 10]), 6).alias("distance"))
+
+
+@_query(f"with {CLOUD}, d as (select a.atom as i, b.atom as j, sqrt({D2}) as d from p a join p b on a.chain = 0 and b.chain = 1), m as (select min(d) as d from d group by i union all select min(d) from d group by j) select round(max(d), 6) as hausdorff from m")
+def path_hausdorff(spark, sf):
+    c = model.cloud(spark, sf).withColumnRenamed("atom", "frame")
+    return networks.hausdorff(c.where("chain = 0"), c.where("chain = 1")).select(_r("hausdorff"))
+
+
+@_query()
+def harmonic_similarity(spark, sf):
+    c = model.cloud(spark, sf)
+    return networks.harmonic_similarity(c.where("chain = 0"), c.where("chain = 1"), ["x", "y", "z"])
+
+
+@_query()
+def agglomerative(spark, sf):
+    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3")).withColumn("set", F.lit(3))
+    return networks.agglomerative(d, ["set"], 0.12)
+
+
+@_query(f"with {CLOUD}, c as (select a.residue as frame, count(*) as n from p a join p b on a.residue = b.residue and a.atom < b.atom and {D2} <= 0.1::double * 0.1::double group by 1) select distinct p.residue as frame, coalesce(n, 0) as contacts from p left join c on p.residue = c.frame")
+def contact_counts(spark, sf):
+    return networks.contact_counts(model.cloud(spark, sf).withColumn("frame", F.col("residue")), 0.1)
+
+
+@_query(f"with {CLOUD} select a.atom from p a where exists (select 1 from p b where b.chain <> a.chain and {D2} < 0.04::double * 0.04::double)")
+def interface_atoms(spark, sf):
+    return networks.interface_atoms(model.cloud(spark, sf), 0.04).select("atom")
+
+
+@_query()
+def buried_area(spark, sf):
+    s = _spheres(spark, sf).withColumn("side", F.col("atom") % 2)
+    return networks.buried_area(surface.accessible_area(s, 2.0, samples=100), surface.accessible_area(s, 2.0, samples=100, keys=("side",)))
+
+
+@_query()
+def residue_areas(spark, sf):
+    a = surface.accessible_area(_spheres(spark, sf), 2.0, samples=100).join(model.cloud(spark, sf).select("atom", "residue"), "atom")
+    return surface.relative_area(a.withColumn("resname", F.when(F.col("residue") % 2 == 0, "ALA").otherwise("GLY")), {"ALA": 129.0, "GLY": 104.0})

@@ -163,3 +163,32 @@ def test_bond_perception_and_water_bridges(spark):
 def test_contact_similarity_of_nothing(spark):
     e = spark.createDataFrame([], "first long, second long")
     assert compare.contact_similarity(e, e).first().jaccard == 1.0
+
+
+def test_networks(spark):
+    from protean.operators import networks
+
+    line = cloud(spark, [(float(i), 0, 0) for i in range(6)]).withColumn("g", F.lit(1))
+    r = networks.gaussian_network(line, 1.1, ("g",), 2).where("mode = 0").collect()
+    assert math.isclose(r[0].eigenvalue, 2 - 2 * math.cos(math.pi / 6), rel_tol=1e-9)
+    f = {x.atom: x.fluctuation for x in networks.anisotropic_fluctuations(cloud(spark, np.random.default_rng(0).normal(size=(12, 3))).withColumn("g", F.lit(1)), 9.0, ("g",)).collect()}
+    assert len(f) == 12 and min(f.values()) > 0
+    with pytest.raises(Exception, match="limit"):
+        networks.gaussian_network(line, 1.1, ("g",), limit=3).count()
+    d = geometry.distance_matrix(cloud(spark, [(0, 0, 0), (0.1, 0, 0), (5, 0, 0), (5.2, 0, 0), (9, 0, 0)])).withColumn("g", F.lit(1))
+    for m in ("average", "complete", "single"):
+        assert {x.item: x.cluster for x in networks.agglomerative(d, ["g"], 1.0, m).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}
+
+
+def test_fingerprints_and_butina(spark):
+    from protean.operators import chemistry
+
+    a = spark.createDataFrame([(m, m * 10 + i, e) for m in (1, 2, 3) for i, e in enumerate("CCO" if m < 3 else "CNO")], "molecule long, atom long, element string")
+    b = spark.createDataFrame([(m * 10 + i, m * 10 + i + 1, "single") for m in (1, 2, 3) for i in (0, 1)], "atom_a long, atom_b long, order string")
+    f = {x.molecule: set(x.bits) for x in chemistry.circular_fingerprint(a, b).collect()}
+    assert f[1] == f[2] != f[3]
+    t = dataset.tanimoto(spark.createDataFrame([(k, sorted(v)) for k, v in f.items()], "id long, bits array<long>"), 0.9)
+    assert [(x.first, x.second, x.similarity) for x in t.collect()] == [(1, 2, 1.0)]
+    s = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "first long, second long")
+    items = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    assert {x.id: x.centre for x in chemistry.butina(s, items).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
