@@ -192,3 +192,15 @@ def test_fingerprints_and_butina(spark):
     s = spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "first long, second long")
     items = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
     assert {x.id: x.centre for x in chemistry.butina(s, items).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_minimizers_against_a_plain_loop(spark):
+    seqs = ["ACGTTGCATGACC", "AAAA", "AC", "", "TTTTTTTTTT", "GATTACAGATTACA" * 20]
+    d = spark.createDataFrame(list(enumerate(seqs)) + [(99, None)], "id long, sequence string")
+    k, w = 3, 4
+    want = set()
+    for i, s in enumerate(seqs):
+        words = [(s[p : p + k], p) for p in range(len(s) - k + 1)]
+        want |= {(i, p, x) for a in range(len(words) - w + 1) for x, p in [min(words[a : a + w])]}
+    assert {tuple(r) for r in sequence.minimizers(d, k, w).collect()} == want
+    assert sequence.kmers(d, k, keys=["id"]).count() == sum(max(0, len(s) - k + 1) for s in seqs)
