@@ -143,21 +143,22 @@ def _packets(path: str, n_buckets: int, block_chars: int = BLOCK_CHARS, packet_w
                     mine = [raw[i] for i in order[a:z]]
                     yield _rows([(block, 0, b, a, None, None, _zip(np.frombuffer(np.array(list(map(len, mine)), np.int32).tobytes() + b"".join(mine), np.uint8)) + (z - a).to_bytes(4, "little"))])
             del raw, bucket, order
-            count = sum((np.bincount(p, minlength=len(rank)) for p in places), np.zeros(len(rank), np.int64))
-            top = np.argsort(-count, kind="stable")[:ESCAPE]
+            size = [len(p) for p in places]
+            every, places = np.concatenate(places), []
+            top = np.argsort(-np.bincount(every, minlength=len(rank)), kind="stable")[:ESCAPE]
             code = np.full(len(rank), ESCAPE, np.uint16)
             code[top] = np.arange(len(top))
             yield _rows([(block, 1, None, -1, None, None, _zip(rank[top].astype(np.uint32)))])
-            at = 0
+            at = begin = 0
             while at < len(ids):
                 z, n = at, 0
-                while z < len(ids) and (z == at or n + len(places[z]) <= packet_words):
-                    n, z = n + len(places[z]), z + 1
-                all_places = np.concatenate(places[at:z])
-                c = code[all_places]
-                yield _rows([(block, 1, None, at, ids[at:z], [len(p) for p in places[at:z]], _planes(c, rank[all_places[c == ESCAPE]]))])
-                at = z
-            ids, places, chars = [], [], 0
+                while z < len(ids) and (z == at or n + size[z] <= packet_words):
+                    n, z = n + size[z], z + 1
+                mine = every[begin : begin + n]
+                c = code[mine]
+                yield _rows([(block, 1, None, at, ids[at:z], size[at:z], _planes(c, rank[mine[c == ESCAPE]]))])
+                at, begin = z, begin + n
+            ids, chars = [], 0
 
         for b in slices(batches, SLICE):
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
