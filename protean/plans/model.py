@@ -72,7 +72,7 @@ ATOMS = LINES + """, a as (select l_orderkey * 64 + line as atom_index, l_orderk
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1-D trajectories of ``events``: (series, frame, value, ts, event_type)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).alias("frame"), "value", "ts", "event_type", "event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("series"), (F.row_number().over(w) - 1).cast("long").alias("frame"), "value", "ts", "event_type", "event_id")
 
 
 FRAMES = "f as (select user_id as series, row_number() over (partition by user_id order by ts, event_id) - 1 as frame, value, ts, event_type, event_id from events)"
