@@ -134,7 +134,7 @@ def pairs_within_periodic(spark, sf):
     return spatial.pairs_within_periodic(model.cloud(spark, sf), 0.1, (0.4, 0.4, 0.4)).select("first", "second", _r("distance"))
 
 
-@_query(f"with {CLOUD}, n as (select a.atom as query, b.atom as target, sqrt({D2}) as distance, row_number() over (partition by a.atom order by sqrt({D2}), b.atom) as rank from p a join p b on a.atom <> b.atom) select query, rank, target, round(distance, 6) as distance from n where rank <= 5")
+@_query(f"with {CLOUD}, n as (select a.atom as query, b.atom as target, sqrt({D2}) as distance, cast(row_number() over (partition by a.atom order by sqrt({D2}), b.atom) as integer) as rank from p a join p b on a.atom <> b.atom) select query, rank, target, round(distance, 6) as distance from n where rank <= 5")
 def knn(spark, sf):
     c = model.cloud(spark, sf)
     return spatial.knn(c, c, 5, 0.1).select("query", "rank", "target", _r("distance"))
@@ -176,10 +176,10 @@ def density_map(spark, sf):
     return spatial.density_map(model.cloud(spark, sf), 0.1, weight="mass").select("ix", "iy", "iz", F.round("density", 4).alias("density"))
 
 
-@_query(f"with {CLOUD} select a.atom, round(sum(b.charge * 332.0637 / (4 * greatest({D2}, 1.0))), 3) as potential from p a join p b on {D2} <= 0.2::double * 0.2::double group by 1")
+@_query(f"with {CLOUD} select a.atom, round(sum(b.charge * 332.0637 / (4 * greatest({D2}, 1.0))), 3) + 0.0::double as potential from p a join p b on {D2} <= 0.2::double * 0.2::double group by 1")
 def contact_potential(spark, sf):
     c = model.cloud(spark, sf)
-    return spatial.contact_potential(c.drop("charge"), c, 0.2).select("atom", F.round("potential", 3).alias("potential"))
+    return spatial.contact_potential(c.drop("charge"), c, 0.2).select("atom", (F.round("potential", 3) + 0.0).alias("potential"))
 
 
 @_query(f"with {CLOUD}, n as (select a.atom, (b.x-a.x)*a.vx+(b.y-a.y)*a.vy+(b.z-a.z)*a.vz as d from p a join p b on a.atom <> b.atom and {D2} <= 0.15::double * 0.15::double) select p.atom, count(case when d > 0 then 1 end) as up, count(case when d <= 0 then 1 end) as down from p left join n on p.atom = n.atom group by 1")
@@ -276,7 +276,7 @@ def circular_mean(spark, sf):
     return geometry.circular_summary(t, "t", ["residue"]).select("residue", "n", F.round("mean", 5).alias("mean"), _r("resultant"))
 
 
-@_query(f"with {CLOUD}, {_LEADS} select atom, 0.15 as length from s where x3 is not null")
+@_query(f"with {CLOUD}, {_LEADS} select atom, 0.15::double as length from s where x3 is not null")
 def place_atom(spark, sf):
     """The placed atom's distance from its reference is the one asked for."""
     l = geometry.place_atom(F.col("a"), F.col("b"), F.col("c"), F.lit(0.15), F.lit(1.9), F.lit(0.7))  # noqa: E741
