@@ -32,7 +32,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "phone": r"(?<![0-9])\+?[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ip": rf"(?<![0-9])(?<![0-9]\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -55,7 +55,7 @@ def _kind(m: str) -> str:
     return f"""case when {m} like '%@%' then 'email' when {m} like '%(%' or {m} like '+%' then 'phone'
         when {m} rlike '^[0-9]+[.]' then 'ip' when {m} rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' then 'date'
         when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' when {m} rlike '^[0-9 -]+$' then 'card'
-        when {m} rlike '^[A-Z]' then 'iban' else 'secret' end"""
+        when {m} rlike '^([0-9a-f]+|[0-9A-F]+)$' and length({m}) >= 32 then 'secret' else 'iban' end"""
 
 
 def _digits(m: str) -> str:
@@ -100,14 +100,14 @@ class _Feistel:
             s -> s.l * {b}L + s.r)"""
 
     def chars(self, kind: str, s: str) -> str:
-        """Permutes letters and digits, each within its class (a-f alone for ``secret``)."""
+        """Permutes letters and digits, each within its class (a to f or A to F for ``secret``)."""
         last = 6 if kind == "secret" else 26
 
         def moved(half: str, other: str) -> str:
             c = f"ascii(substr({half}, j, 1))"
             by = f"xxhash64({self._hash(kind, 'r', other)}, j)"
             move = lambda base, m: f"chr({base} + pmod({c} - {base} + {by}, {m}))"
-            return f"if(length({half}) = 0, '', array_join(transform(sequence(1, length({half})), j -> case when {c} < 58 then {move(48, 10)} when {c} < 91 then {move(65, 26)} else {move(97, last)} end), ''))"
+            return f"if(length({half}) = 0, '', array_join(transform(sequence(1, length({half})), j -> case when {c} < 58 then {move(48, 10)} when {c} < 91 then {move(65, last)} else {move(97, last)} end), ''))"
 
         left, right = "substr(t, 1, length(t) div 2)", "substr(t, length(t) div 2 + 1)"
         # the class pattern is hashed with the half, so that it may differ between values

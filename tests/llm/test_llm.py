@@ -84,6 +84,8 @@ def test_pii_formats_and_links(spark):
     assert re.sub(r"\D", "", r[4].text) == m[1] and r[4].text.count("-") == 3
     assert r[6].text.startswith(m[5] + "@") and r[6].text.endswith(LONG[-50:])
     assert r[1]._found == "z" and r[1].id == 7
+    h = pii.pseudonymise(docs(spark, [(1, "KEY 9233A8ECF7C5B09FE5949719B6B82BC439E9329B, key 9233a8ecf7c5b09fe5949719b6b82bc439e9329b")]), "k").first()
+    assert re.match(r"KEY [0-9A-F]{40}, key [0-9a-f]{40}$", h.text) and "9233A8EC" not in h.text.upper() and h.kinds == "secret" and h.n_found == 2
     assert pii.pseudonymise(docs(spark, rows), "k2").where("doc_id = 4").first().text != r[4].text
 
 
