@@ -126,10 +126,9 @@ def cross_pairs(spark, sf):
     return spatial.cross_pairs(c.where("chain = 0"), c.where("chain = 1"), 0.1).select("first", "second", _r("distance"))
 
 
-_IMAGE = "least(abs((a.{c} - 0.4 * floor(a.{c} / 0.4)) - (b.{c} - 0.4 * floor(b.{c} / 0.4))), 0.4 - abs((a.{c} - 0.4 * floor(a.{c} / 0.4)) - (b.{c} - 0.4 * floor(b.{c} / 0.4))))"
 
 
-@_query(f"with {CLOUD.replace('0.4', '0.4')}, w as (select atom, x - 0.4::double * floor(x / 0.4::double) as x, y - 0.4::double * floor(y / 0.4::double) as y, z - 0.4::double * floor(z / 0.4::double) as z from p), i as (select a.atom as first, b.atom as second, least(abs(a.x-b.x), 0.4::double-abs(a.x-b.x)) as dx, least(abs(a.y-b.y), 0.4::double-abs(a.y-b.y)) as dy, least(abs(a.z-b.z), 0.4::double-abs(a.z-b.z)) as dz from w a join w b on a.atom < b.atom) select first, second, round(sqrt(dx*dx+dy*dy+dz*dz), 6) as distance from i where dx*dx+dy*dy+dz*dz <= 0.1::double * 0.1::double")
+@_query(f"with {CLOUD}, w as (select atom, x - 0.4::double * floor(x / 0.4::double) as x, y - 0.4::double * floor(y / 0.4::double) as y, z - 0.4::double * floor(z / 0.4::double) as z from p), i as (select a.atom as first, b.atom as second, least(abs(a.x-b.x), 0.4::double-abs(a.x-b.x)) as dx, least(abs(a.y-b.y), 0.4::double-abs(a.y-b.y)) as dy, least(abs(a.z-b.z), 0.4::double-abs(a.z-b.z)) as dz from w a join w b on a.atom < b.atom) select first, second, round(sqrt(dx*dx+dy*dy+dz*dz), 6) as distance from i where dx*dx+dy*dy+dz*dz <= 0.1::double * 0.1::double")
 def pairs_within_periodic(spark, sf):
     return spatial.pairs_within_periodic(model.cloud(spark, sf), 0.1, (0.4, 0.4, 0.4)).select("first", "second", _r("distance"))
 
@@ -446,7 +445,6 @@ def bond_length_deviations(spark, sf):
     return validation.bond_length_deviations(model.bonds(spark, sf), p, {"C": 20.0, "N": 15.0, "O": 10.0}, 60.0).select("atom_a", "atom_b", _r("length"), "expected")
 
 
-_NEXT = "e as (select atom - 1 as atom_a, atom as atom_b from p where atom > 0)"
 _CLASH = f"with {CLOUD}, c as (select a.atom as first, b.atom as second, 0.02::double * (a.mass + b.mass) - sqrt({D2}) as overlap from p a join p b on a.atom < b.atom and b.atom - a.atom > 3 and 0.02::double * (a.mass + b.mass) - sqrt({D2}) > 0.01::double)"
 
 
