@@ -1155,3 +1155,9 @@ def buried_area(spark, sf):
 def residue_areas(spark, sf):
     a = surface.accessible_area(_spheres(spark, sf), 2.0, samples=100).join(model.cloud(spark, sf).select("atom", "residue"), "atom")
     return surface.relative_area(a.withColumn("resname", F.when(F.col("residue") % 2 == 0, "ALA").otherwise("GLY")), {"ALA": 129.0, "GLY": 104.0})
+
+
+@_query()
+def progressive_msa(spark, sf):
+    s = _sequences(spark, sf).select((F.col("id") % 8).alias("family"), F.col("id").alias("name"), F.substring("sequence", 1, 40).alias("sequence"))
+    return sequence.progressive_msa(s, ["family"])

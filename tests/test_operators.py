@@ -204,3 +204,10 @@ def test_minimizers_against_a_plain_loop(spark):
         want |= {(i, p, x) for a in range(len(words) - w + 1) for x, p in [min(words[a : a + w])]}
     assert {tuple(r) for r in sequence.minimizers(d, k, w).collect()} == want
     assert sequence.kmers(d, k, keys=["id"]).count() == sum(max(0, len(s) - k + 1) for s in seqs)
+
+
+def test_progressive_msa(spark):
+    rows = [(1, "a", "ACDEFGHIKL"), (1, "b", "CDEFGHIKL"), (1, "c", "ACDEFGIKL"), (2, "x", "MMM"), (2, "y", None)]
+    got = sequence.progressive_msa(spark.createDataFrame(rows, "g int, name string, sequence string"), ["g"]).collect()
+    by = {(r.g, r.name): r.aligned for r in got}
+    assert by == {(1, "a"): "ACDEFGHIKL", (1, "b"): "-CDEFGHIKL", (1, "c"): "ACDEFG-IKL", (2, "x"): "MMM"}
