@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, slices, small_batches, stored
+from .common import load_tokenizer, slices, small_batches, stored, trimmed
 
 #: Characters and distinct words after which a block ends.
 BLOCK_CHARS = 32 << 20
@@ -266,8 +266,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     small_batches(docs.sparkSession)
     n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = stored(src.mapInArrow(_packets(path, n_buckets, block_chars, packet_words), PACKET), "bpe")
-    ids = packed.where("kind = 0").repartition("bucket").mapInArrow(_encoded(path), PACKET)
+    packed = stored(src.mapInArrow(trimmed(_packets(path, n_buckets, block_chars, packet_words)), PACKET), "bpe")
+    ids = packed.where("kind = 0").repartition("bucket").mapInArrow(trimmed(_encoded(path)), PACKET)
     both = ids.unionByName(packed.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "base")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
-    return both.mapInArrow(_assembled(path, whole), schema).withColumnRenamed("id", id_col)
+    return both.mapInArrow(trimmed(_assembled(path, whole)), schema).withColumnRenamed("id", id_col)

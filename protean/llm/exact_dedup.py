@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, small_batches, stored
+from .common import SPACE_RUN, small_batches, stored, trimmed
 
 #: Length of the part of a text that orders partitions before the hash does.
 PREFIX = 64
@@ -134,7 +134,7 @@ def _joined_edges(dec: DataFrame) -> list[tuple[int, int, int | None, int, bool]
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    dec = stored(_sorted(docs, id_col, text_col, False).mapInArrow(_decide, DECISION), "exact")
+    dec = stored(_sorted(docs, id_col, text_col, False).mapInArrow(trimmed(_decide), DECISION), "exact")
     edges = _joined_edges(dec)
     fix = docs.sparkSession.createDataFrame(edges, "part int, edge int, fix_id long, fix_size long, continues boolean")
     out = dec.drop("edge_text").join(F.broadcast(fix), ["part", "edge"], "left")  # two rows a partition at most
@@ -172,7 +172,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         if last is not None:  # the text that ends the partition, as a record of its own
             yield pa.RecordBatch.from_arrays([last.column("row"), pa.array([part], pa.int32()), pa.array([False]), pa.array([True]), pa.array([before])], names=["row", "part", "opens", "closes", "edge_text"])
 
-    dec = stored(src.mapInArrow(leads, schema), "exact-rows")
+    dec = stored(src.mapInArrow(trimmed(leads), schema), "exact-rows")
     w = Window.orderBy("part")
     ends = dec.where("edge_text is not null").groupBy("part").agg(F.max(F.when(F.col("opens"), F.col("edge_text"))).alias("a"), F.max(F.when(F.col("closes"), F.col("edge_text"))).alias("z"))
     again = [r.part for r in ends.select("part", (F.col("a") == F.lag("z").over(w)).alias("same")).where("same").collect()]

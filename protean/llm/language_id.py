@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import Fresh, slices, small_batches, trimmed
 
 #: The fitting sample: per language at most so many texts, of each at most so many characters from its middle.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1200
@@ -80,7 +80,7 @@ def letters(text: str) -> bytes:
     return _BETWEEN.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-_READY: dict[int, list] = {}
+_READY = Fresh()
 
 
 def _compressors(model: dict[str, bytes]) -> list:
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, model: dict[str, bytes] | None = None, id_col: str
             found = [predict(t, ready) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())], names=schema.names)
 
-    out = src.mapInArrow(classify, schema)
+    out = src.mapInArrow(trimmed(classify), schema)
     return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "margin", ((F.col("lang_pred") == UNKNOWN) | (F.col("margin") < min_margin)).alias("rejected"))
 
 
@@ -146,4 +146,4 @@ def keep_known(docs: DataFrame, model: dict[str, bytes] | None = None, id_col: s
             found = [predict(t, ready) for t in b.column("text").to_pylist()]
             yield b.select(["row"]).filter(pa.array([f[0] != UNKNOWN and f[2] >= min_margin for f in found], pa.bool_()))
 
-    return src.mapInArrow(keep, src.select("row").schema).select("row.*")
+    return src.mapInArrow(trimmed(keep), src.select("row").schema).select("row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored
+from .common import slices, small_batches, stored, trimmed
 
 SIDE, ROWS = 10, 2
 #: Links: 100 * intersection >= THRESHOLD * union.
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(sketch, "id long, n long, k1 long, k2 long, bands array<long>")
+    return src.mapInArrow(trimmed(sketch), "id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
 
     src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     small = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    return src.join(small, "node").mapInArrow(make, "node long, n long, s array<long>")
+    return src.join(small, "node").mapInArrow(trimmed(make), "node long, n long, s array<long>")
 
 
 def _ratio(a: str, b: str, threshold: int) -> str:

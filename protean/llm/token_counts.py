@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load_tokenizer, small_batches
+from .common import load_tokenizer, small_batches, trimmed
 
 #: Characters in one encoding call, and in one piece of a long text.
 GROUP_CHARS = 1 << 19
@@ -69,4 +69,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return src.mapInArrow(count, "id long, n_bytes long, n_tokens long").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return src.mapInArrow(trimmed(count), "id long, n_bytes long, n_tokens long").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
