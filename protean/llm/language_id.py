@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is cut from a bounded sample of labelled texts. A text is
+For each language a raw-content dictionary is made of a bounded sample of labelled texts, the whole of
+it, however little other languages have; totals are compared as they are, whatever the sizes. A text is
 lower-cased, what is between its letters becomes one space, and the whole of it is compressed, block
 by block, with every dictionary; the smallest total wins. Where the best two totals are close, the
 text is rejected.
@@ -66,10 +67,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not texts:
         return {}
-    # equal sizes, so that no language wins by a larger dictionary
-    joined = {k: b"\n".join(map(letters, v)) for k, v in sorted(texts.items())}
-    size = max(256, min(map(len, joined.values())))
-    return {k: v[:size].ljust(8) for k, v in joined.items()}
+    # each keeps its whole sample: sizes differ, and a rare label takes nothing from the others
+    return {k: b"\n".join(map(letters, v)).ljust(8) for k, v in sorted(texts.items())}
 
 
 _BETWEEN = re.compile(r"[\W\d_]+")

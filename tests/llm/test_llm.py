@@ -119,6 +119,18 @@ def test_language_id(spark):
     assert kept.columns == docs(spark, ODD).columns and kept.count() == 0
 
 
+def test_language_id_rare_label(spark):
+    """One short label, or one of digits only, takes nothing from the other dictionaries and hardly a verdict."""
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    free = [i for i in range(10**6, 10**6 + 50) if zlib.crc32(str(i).encode()) % 5][:2]
+    rare = spark.createDataFrame([(free[0], "zorp quux blib fnord garg wibble om", "xx"), (free[1], "1234567890 " * 5, "yy")], "doc_id long, text string, lang string")
+    m, more = language_id.fit(d), language_id.fit(d.select("doc_id", "text", "lang").unionByName(rare))
+    assert {k: more[k] for k in m} == m and set(more) == {*m, "xx", "yy"} and min(len(more[k]) for k in m) > 40_000
+    some = d.where(language_id.held_out(F.col("doc_id")))
+    verdicts = [{r.doc_id: (r.lang_pred, r.rejected) for r in language_id.identify(some, x).collect()} for x in (m, more)]
+    assert sum(verdicts[0][i] != verdicts[1][i] for i in verdicts[0]) <= len(verdicts[0]) // 100
+
+
 # --- 4 and 7 -------------------------------------------------------------------------------------
 
 
