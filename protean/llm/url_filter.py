@@ -1,9 +1,10 @@
 """URL filters: host and path rules, then gradient-boosted trees on lexical features.
 
 Rules decide where one fits. Elsewhere a small model of boosted trees judges length, depth, digit
-ratio, entropy, parameter counts and suffix statistics. It is fitted on a bounded sample of labelled
-URLs: those that a blocking rule fits or whose host holds a word of a blocklist count as block, all
-others as allow. The model is a few kilobytes and is carried to the executors with the function.
+ratio, entropy, parameter counts and statistics of suffixes and host words. URLs that a blocking rule
+fits or whose host holds a word of a blocklist count as block, all others as allow. The statistics
+count all different URLs and are joined to them by host; the trees are fitted on a bounded sample. The
+model is a few kilobytes and is carried to the executors with the function.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule and a
 verdict of the method (``allow`` without a model); repeated rows get equal results; null identifiers
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sampled
+from .common import ascii_lower, sampled, stored
 
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -32,6 +33,7 @@ BAD_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "malware", "phi
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "longest_label", "vowel_ratio", "suffix_rate", "suffix_count", "host_word_rate", "has_fragment")
+STATISTICS = ("suffix_rate", "suffix_count", "host_word_rate")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -58,21 +60,15 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
-def _suffix(host: str) -> str:
-    return host.rpartition(".")[2]
-
-
-def features(url: str | None, host: str, path: str, suffixes: dict[str, tuple[float, float]], host_words: dict[str, float]) -> list[float]:
+def features(url: str | None, host: str, path: str, rate: float, seen: float, word_rate: float) -> list[float]:
     """One row of FEATURES."""
     u = url or ""
     query = u.partition("?")[2].partition("#")[0]
     labels = host.split(".")
     letters = sum(c.isalpha() for c in host)
-    rate, seen = suffixes.get(_suffix(host), (0.5, 0.0))
-    words = [w for w in re.split(r"[.\-]", host) if w]
     return [
         len(u), len(host), len(path), path.count("/"), len(labels), sum(c.isdigit() for c in u) / max(1, len(u)), sum(c.isdigit() for c in host) / max(1, len(host)), host.count("-"),
-        _entropy(u), _entropy(host), query.count("=") + query.count("&") * 0.01, len(query), max(map(len, labels)), sum(c in "aeiou" for c in host) / max(1, letters), rate, math.log1p(seen), max((host_words.get(w, 0.0) for w in words), default=0.0), float("#" in u),
+        _entropy(u), _entropy(host), query.count("=") + query.count("&") * 0.01, len(query), max(map(len, labels)), sum(c in "aeiou" for c in host) / max(1, letters), rate, math.log1p(seen), word_rate, float("#" in u),
     ]
 
 
@@ -131,45 +127,63 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
-def fit(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS, sample: int = SAMPLE):
-    """The model, from at most ``sample`` different URLs; None without any."""
-    urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
-    total = urls.agg(F.approx_count_distinct("url").alias("n")).first().n
-    some = sampled(urls, F.col("url"), sample, total).distinct()
+def _urls(pages: DataFrame, url_col: str) -> DataFrame:
+    return pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"))
+
+
+def _labelled(urls: DataFrame, rules, bad_words) -> DataFrame:
+    """url, host, path and y."""
     host, path = host_and_path(F.col("url"))
     _, verdict = rule_for(host, path, rules)
+    verdict = F.coalesce(verdict, F.lit("")) if verdict is not None else F.lit("")
     bad = host.rlike("|".join(map(re.escape, bad_words)))
-    labelled = some.select("url", host.alias("host"), path.alias("path"), ((F.coalesce(verdict, F.lit("")) == "block") | bad).alias("y"), F.coalesce((verdict == "allow"), F.lit(False)).alias("sure"))
+    return urls.select("url", host.alias("host"), path.alias("path"), (((verdict == "block") | bad) & (verdict != "allow")).cast("double").alias("y"))
+
+
+def statistics(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS) -> DataFrame:
+    """host, suffix_rate, suffix_count and host_word_rate, counted over all different URLs."""
+    hosts = stored(_labelled(_urls(pages, url_col).distinct(), rules, bad_words).groupBy("host").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "url-hosts")
+    hosts = hosts.withColumn("suffix", F.substring_index("host", ".", -1))
+    total = [F.sum("n").alias("n"), F.sum("s").alias("s")]
+    suffixes = hosts.groupBy("suffix").agg(*total).select("suffix", ((F.col("s") + 0.5) / (F.col("n") + 1)).alias("suffix_rate"), F.col("n").cast("double").alias("suffix_count"))
+    words = hosts.select("host", "n", "s", F.explode(F.array_distinct(F.split("host", r"[.\-]"))).alias("word")).where("word <> ''")
+    rates = words.groupBy("word").agg(*total).where("n >= 3").select("word", ((F.col("s") + 0.1) / (F.col("n") + 1)).alias("r"))
+    best = words.join(rates, "word").groupBy("host").agg(F.max("r").alias("host_word_rate"))
+    out = hosts.join(suffixes, "suffix").join(best, "host", "left")
+    return stored(out.select("host", "suffix_rate", "suffix_count", F.coalesce("host_word_rate", F.lit(0.0)).alias("host_word_rate")), "url-statistics")
+
+
+def fit(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS, sample: int = SAMPLE, stats: DataFrame | None = None):
+    """The trees, from at most ``sample`` different URLs, and the statistics they use; None without any."""
+    stats = statistics(pages, url_col, rules, bad_words) if stats is None else stats
+    urls = _urls(pages, url_col)
+    total = urls.agg(F.approx_count_distinct("url").alias("n")).first().n
+    some = sampled(urls, F.col("url"), sample, total).distinct()
     # the documented bound of the fitting sample; the filter gives about that many
-    rows = sorted(labelled.limit(2 * sample).collect())
+    rows = sorted(_labelled(some.limit(2 * sample), rules, bad_words).join(stats, "host").select("url", "host", "path", *STATISTICS, "y").collect())
     if not rows:
         return None
-    y = np.array([r.y and not r.sure for r in rows], dtype=float)
-    counts, words = {}, {}
-    for r, v in zip(rows, y, strict=True):
-        for d, keys in ((counts, [_suffix(r.host)]), (words, {w for w in re.split(r"[.\-]", r.host) if w})):
-            for k in keys:
-                n, s = d.get(k, (0, 0.0))
-                d[k] = (n + 1, s + v)
-    suffixes = {k: ((s + 0.5) / (n + 1), float(n)) for k, (n, s) in counts.items()}
-    host_words = {w: (s + 0.1) / (n + 1) for w, (n, s) in words.items() if n >= 3}
-    x = np.array([features(r.url, r.host, r.path, suffixes, host_words) for r in rows])
-    return BoostedTrees().fit(x, y), suffixes, host_words
+    return BoostedTrees().fit(np.array([features(*r[:-1]) for r in rows]), np.array([r.y for r in rows])), stats
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5, **options) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the model's block probability."""
     model = fit(pages, url_col, rules, **options)
+    trees = model[0] if model else None
     host, path = host_and_path(F.col(url_col))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     src = src.select("*", (name if name is not None else F.lit(None).cast("string")).alias("rule"), (verdict if verdict is not None else F.lit(None).cast("string")).alias("ruled"))
     schema = src.drop("url").withColumn("p_block", F.lit(0.0)).schema
+    if model:
+        src = src.join(model[1], "host", "left")
+    unseen = {"suffix_rate": 0.5, "suffix_count": 0.0, "host_word_rate": 0.0}
+    src = src.select(*schema.names[:-1], "url", *[F.coalesce(F.col(c), F.lit(unseen[c])).alias(c) if model else F.lit(unseen[c]).alias(c) for c in STATISTICS])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)
-            p = model[0].predict(np.array([features(u, h, q, model[1], model[2]) for u, h, q in rows])) if model and b.num_rows else np.zeros(b.num_rows)
+            rows = zip(*(b.column(c).to_pylist() for c in ("url", "host", "path", *STATISTICS)), strict=True)
+            p = trees.predict(np.array([features(*r) for r in rows])) if trees and b.num_rows else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "host", "path", "rule", "ruled")] + [pa.array(p)], names=schema.names)
 
     out = src.mapInArrow(score, schema)

@@ -310,6 +310,22 @@ def test_url_rules_and_model(spark):
     assert {x.verdict for x in url_filter.judge(spark.createDataFrame([(1, None)], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_url_statistics_count_what_is_not_sampled(spark):
+    """Hosts with six pages each, one of ten of them sampled, told apart by nothing but their words' labels."""
+    rng = np.random.default_rng(3)
+    names = [f"{'porn' if k % 4 == 0 else 'corn'}{''.join(rng.choice(list('bcdfgh'), 5))}" for k in range(600)]
+    urls = [f"https://{w}.example.org/en/{k}" for w in names for k in range(6)]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:50])], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(d, sample=360).collect()}
+    assert np.mean([got[i] == ("porn" in u) for i, u in enumerate(urls)]) > 0.99
+    stats = {r.host: r for r in url_filter.statistics(d).collect()}
+    n = Counter(u.split("/")[2].split(".")[0] for u in set(urls))
+    bad = sum("porn" in u for u in set(urls))
+    assert len(stats) == len(n) and all(r.suffix_count == len(set(urls)) and r.suffix_rate == pytest.approx((bad + 0.5) / (len(set(urls)) + 1)) for r in stats.values())
+    both = (bad + 0.1) / (len(set(urls)) + 1)
+    assert all(stats[w + ".example.org"].host_word_rate == pytest.approx(max(both, (c * ("porn" in w) + 0.1) / (c + 1))) for w, c in n.items())
+
+
 def test_boosted_trees_on_held_out_rows():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
