@@ -688,7 +688,7 @@ def effects_by_position(spark, sf):
 
 @_query()
 def alignments(spark, sf):
-    s = _sequences(spark, sf).select("id", F.substring("sequence", 1, 60).alias("s"))
+    s = _sequences(spark, sf).select("id", F.col("sequence").alias("s"))
     pairs = s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id")
     return pairs.select("id", sequence.align("global")("s", "t").alias("a")).select("id", "a.*")
 
@@ -1159,5 +1159,5 @@ def residue_areas(spark, sf):
 
 @_query()
 def progressive_msa(spark, sf):
-    s = _sequences(spark, sf).select((F.col("id") % 8).alias("family"), F.col("id").alias("name"), F.substring("sequence", 1, 40).alias("sequence"))
+    s = _sequences(spark, sf).select((F.col("id") % 8).alias("family"), F.col("id").alias("name"), "sequence")
     return sequence.progressive_msa(s, ["family"])

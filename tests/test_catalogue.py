@@ -64,3 +64,32 @@ def test_entry_works_without_the_optional_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "protean" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'contact_map' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert e.oracle_sql().keys() <= q.keys()"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def _gotoh(a, b):
+    """Best global score, cell by cell: match 1, mismatch -1, a gap of n costs n + 1."""
+    low = float("-inf")
+    h, f = [0.0] + [-1.0 - j for j in range(1, len(b) + 1)], [low] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        row, e = [-1.0 - i], low
+        for j, y in enumerate(b, 1):
+            f[j] = max(h[j] - 2, f[j] - 1)
+            e = max(row[j - 1] - 2, e - 1)
+            row.append(max(h[j - 1] + (1 if x == y else -1), e, f[j]))
+        h = row
+    return h[-1]
+
+
+def test_alignments_are_of_whole_sequences(spark):
+    from protean import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    whole = {r.id: r.sequence for r in catalogue._sequences(spark, sf).collect()}
+    assert max(map(len, whole.values())) > 60
+    for r in catalogue.queries()["alignments"](spark, sf).collect():
+        pair = whole[r.id], whole[r.id + 1]
+        assert sorted((r.left.replace("-", ""), r.right.replace("-", ""))) == sorted(pair) and len(r.left) == len(r.right)
+        assert r.id % 4 or r.score == _gotoh(*pair)
+    msa = catalogue.queries()["progressive_msa"](spark, sf).collect()
+    assert {r.name: r.aligned.replace("-", "") for r in msa} == whole and len(msa) == len(whole)
+    assert len({(r.family, len(r.aligned)) for r in msa}) == len({r.family for r in msa})
