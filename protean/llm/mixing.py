@@ -1,12 +1,14 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's documents stand one after the other in a stream of tokens (words) that is cut into
-blocks of a fixed length. Output slots are dealt to shards by a pseudorandom permutation of all
-slots, so that a shard's source counts are a multinomial draw conditioned on the sources' totals
-(the totals come out exactly, which independent draws would only do on average). A source's n-th
-slot takes the block to which a permutation of that source's block indices sends n; the blocks are
-joined by (source, index). A source with more slots than blocks starts a second permutation, so no
-block is taken more than twice. The last slot of a source takes only the words that are still due.
+blocks of a fixed length. Output shards have a fixed number of slots. Each shard draws its source
+counts from a multinomial (a hash of its slots against the sources' shares); as draws miss the totals
+by about a square root, a source's surplus is taken evenly from its slots over all shards and dealt, by
+a permutation, to the sources that got too few. Counts are summed over the shards, which numbers a
+source's slots; its n-th slot takes the block to which a permutation of that source's block indices
+sends n, and the blocks are joined by (source, index). A source with more slots than blocks starts a
+second permutation, so no block is taken more than twice. The last slot of a source takes only the
+words that are still due. What the mix takes, its documents and its blocks all come from these slots.
 
 Permutations are swap-or-not shuffles on [0, n): a bijection for every n, evaluated per row, with no
 sort and no state. Positions in a stream come from two-level prefix sums over (source, bucket), so
@@ -34,6 +36,8 @@ MOST = 2
 BLOCK = 64
 SHARD = 4096
 BUCKET = 20_000
+#: Shards in one part of the sums over shards; cells of the sources' intervals; sources whose intervals may be broadcast (50 bytes a row).
+SHARDS_IN_PART, CELLS, BROADCAST_SOURCES = 1024, 4096, 100_000
 ROUNDS = 40
 
 
@@ -82,8 +86,8 @@ def placed(sizes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return within.join(starts, ["k", "none", "bucket"]).withColumn("offset", F.col("base") + F.col("inner")).drop("k", "none", "bucket", "base", "inner")
 
 
-def slots(plan: DataFrame, seed: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(s, index, epoch, take, shard, slot): the block that each output slot takes, and where it goes."""
+def slot_plan(plan: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
+    """A row for each source with a size: its blocks n, slots in either epoch (k0, k1), and the first of its slots among all."""
     t = plan.where("source_size > 0").select(
         "s", "source_size", F.round("target").cast("long").alias("due"), F.ceil(F.col("source_size") / block).cast("long").alias("n")
     )
@@ -91,28 +95,71 @@ def slots(plan: DataFrame, seed: int, block: int = BLOCK, shard: int = SHARD) ->
     # where the short last block comes up in the source's permutation of each epoch
     for e in (0, 1):
         t = t.withColumn(f"q{e}", F.expr(permuted("n - 1", "n", f"{seed}L, s, {e}L", inverse=True)))
-    rest = "greatest(due - source_size, 0L)"
-    first = "least(due, source_size)"
 
     def slots_for(words: str, q: str) -> str:
         """Slots until ``words`` are reached in an epoch whose short block stands at ``q``."""
         return f"if({words} <= 0, 0L, if({words} <= {q} * {block}L, ceil({words} / {block}), greatest({q} + 1, ceil(({words} + {block}L - {last}) / {block}))))"
 
-    t = t.withColumn("k0", F.expr(slots_for(first, "q0")).cast("long")).withColumn("k1", F.expr(slots_for(rest, "q1")).cast("long"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("slots", F.col("k0") + F.col("k1")).withColumn("begin", F.coalesce(F.sum("slots").over(w), F.lit(0))).withColumn("all", F.sum("slots").over(Window.partitionBy()))
-    # a source's slots are made in pieces, so that one large source is made by many tasks
-    piece = 1 << 14
+    t = t.withColumn("k0", F.expr(slots_for("least(due, source_size)", "q0")).cast("long")).withColumn("k1", F.expr(slots_for("greatest(due - source_size, 0L)", "q1")).cast("long"))
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # over sources, not documents
+    t = t.withColumn("slots", F.col("k0") + F.col("k1")).where("slots > 0")
+    return t.withColumn("begin", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+
+
+def shard_draw(t: DataFrame, total: int, n_sources: int, seed: int, shard: int = SHARD) -> DataFrame:
+    """(shard, s, places): the slots of each shard that its draw gives to each source, before the totals are met."""
+    spark = t.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = spark.range(-(-total // shard)).select(F.col("id").alias("shard")).repartition(parts, "shard")
+    dealt = shards.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard), F.lit(total) - F.col("shard") * shard) - 1)))
+    dealt = dealt.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), "shard", "place"), F.lit(total).cast("long")))
+    # u lies in the interval of one source; intervals are found by cells, of which each holds few
+    cell = total // CELLS + 1
+    lookup = t.select("s", "begin", "slots", F.explode(F.sequence(F.expr(f"begin div {cell}L"), F.expr(f"(begin + slots - 1) div {cell}L"))).alias("cell"))
+    lookup = F.broadcast(lookup) if n_sources <= BROADCAST_SOURCES else lookup.hint("merge")  # CELLS + n_sources rows
+    met = dealt.withColumn("cell", F.expr(f"u div {cell}L")).join(lookup, "cell").where("u >= begin and u < begin + slots")
+    return met.groupBy("shard", "s").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("places"))
+
+
+def slots(plan: DataFrame, seed: int, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(s, index, epoch, take, shard, slot): the block that each output slot takes, and where it stands."""
+    t = stored(slot_plan(plan, seed, block), "mix-slots")
+    total, n_sources = t.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
+    if not total:
+        return plan.sparkSession.createDataFrame([], "s long, index long, epoch long, take long, shard long, slot long")
+    draw = stored(shard_draw(t, total, n_sources, seed, shard), "mix-draw").withColumn("c", F.size("places").cast("long")).withColumn("part", F.expr(f"shard div {SHARDS_IN_PART}L"))
+    # numbers of a source's slots over all shards: sums in two levels
+    sums = draw.groupBy("s", "part").agg(F.sum("c").alias("all"))
+    w = Window.partitionBy("s").orderBy("part")
+    starts = sums.select("s", "part", F.coalesce(F.sum("all").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    drawn = sums.groupBy("s").agg(F.sum("all").alias("drawn"))
+    inner = Window.partitionBy("s", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = draw.withColumn("inner", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(starts, ["s", "part"]).withColumn("start", F.col("base") + F.col("inner"))
+    # what each source has drawn too much or too little
+    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(drawn, "s", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))).withColumn("over", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("drawn"), F.lit(0)))
+    t = stored(t.withColumn("over_at", F.coalesce(F.sum("over").over(before), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(before), F.lit(0))), "mix-slots")
+    free = t.agg(F.sum("over")).first()[0]
+    own = ["s", "source_size", "due", "n", "q0", "q1", "k0"]
+    # in a given number of tasks, as an adaptive reader would put a few large arrays into one
     parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = t.where("slots > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / piece)))).repartition(parts, "s", "piece")  # a given number, as a few rows would else be put into one task
-    wide = wide.withColumn("k", F.explode(F.sequence(F.col("piece") * piece, F.least((F.col("piece") + 1) * piece, F.col("slots")) - 1)))
-    wide = wide.withColumn("epoch", (F.col("k") >= F.col("k0")).cast("long")).withColumn("j", F.when(F.col("epoch") == 0, F.col("k")).otherwise(F.col("k") - F.col("k0")))
+    rows = numbered.select("s", "shard", "start", "places").repartition(parts, "shard", "s").join(t, "s")
+    rows = rows.select(*own, "shard", "drawn", "over", "over_at", "start", F.posexplode("places").alias("i", "slot")).withColumn("at", F.col("start") + F.col("i"))
+    gone = "(at + 1) * over div drawn > at * over div drawn"
+    kept = rows.where(f"not ({gone})").select(*own, "shard", "slot", F.expr("at - at * over div drawn").alias("k"))
+    if free:
+        extra = t.where("under > 0").withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("under") - 1))).withColumn("f", F.expr(permuted("under_at + e", f"{free}L", f"{seed}L, -2L")))
+        extra = extra.select(*own, "f", (F.col("drawn") + F.col("e")).alias("k"))
+        freed = rows.where(gone).select("shard", "slot", F.expr("over_at + at * over div drawn").alias("f"))
+        kept = kept.unionByName(freed.join(extra.hint("merge"), "f").select(*own, "shard", "slot", "k"))
+    last = f"(source_size - (n - 1) * {block}L)"
+    words = "if(epoch = 0, least(due, source_size), greatest(due - source_size, 0L))"
+    wide = kept.withColumn("epoch", (F.col("k") >= F.col("k0")).cast("long")).withColumn("j", F.when(F.col("epoch") == 0, F.col("k")).otherwise(F.col("k") - F.col("k0")))
     wide = wide.withColumn("index", F.expr(permuted("j", "n", f"{seed}L, s, epoch")))
     # words before slot j of its epoch, then what the slot may still take
     done = F.expr(f"j * {block}L - if(j > if(epoch = 0, q0, q1), {block}L - {last}, 0L)")
     full = F.expr(f"if(index = n - 1, {last}, {block}L)")
-    wide = wide.withColumn("take", F.least(full, F.expr(f"if(epoch = 0, {first}, {rest})") - done)).withColumn("g", F.expr(permuted("begin + k", "all", f"{seed}L, -1L", inverse=True)))
-    return wide.select("s", "index", "epoch", "take", F.floor(F.col("g") / shard).alias("shard"), (F.col("g") % shard).alias("slot"))
+    return wide.select("s", "index", "epoch", F.least(full, F.expr(words) - done).alias("take"), "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def shard_counts(slot_table: DataFrame) -> DataFrame:
@@ -121,13 +168,13 @@ def shard_counts(slot_table: DataFrame) -> DataFrame:
 
 
 def _segments(at: DataFrame, slot_table: DataFrame, block: int) -> DataFrame:
-    """(s, offset, epoch, lo, n): words [lo, lo + n) of a document that one slot takes."""
+    """(s, offset, epoch, lo, n, shard, slot, begin): words [lo, lo + n) of a document, which a slot takes as its own from ``begin`` on."""
     parts = at.where("size > 0").select("s", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("index"))
     parts = parts.withColumn("lo", F.greatest(F.col("offset"), F.col("index") * block)).withColumn("hi", F.least(F.col("offset") + F.col("size"), (F.col("index") + 1) * block))
     # slots are made from a few rows of the plan, so their size is underrated: never broadcast them
-    met = parts.join(slot_table.select("s", "index", "epoch", "take").hint("merge"), ["s", "index"])
+    met = parts.join(slot_table.hint("merge"), ["s", "index"])
     n = F.least("hi", F.col("index") * block + F.col("take")) - F.col("lo")
-    return met.select("s", "offset", "epoch", (F.col("lo") - F.col("offset")).alias("lo"), n.alias("n")).where("n > 0")
+    return met.select("s", "offset", "epoch", (F.col("lo") - F.col("offset")).alias("lo"), n.alias("n"), "shard", "slot", (F.col("lo") - F.col("index") * block).alias("begin")).where("n > 0")
 
 
 def _with_plan(sizes: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -148,25 +195,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, block: int = BLOCK, **options) -> DataFrame:
+_KEY = ("id", "h", "source", "copy")
+
+
+def _taken_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block: int, options: dict) -> DataFrame:
+    """(row, w, k_text, epoch, parts, got): the documents' rows with what each epoch takes of them."""
+    at, plan = _with_plan(stored(sized(docs, id_col, text_col, source_col), "mix-sizes"), **options)
+    real = at.where("size > 0")
+    # rows equal in identifier, text and source have places of their own: they are numbered, if there are any
+    again = real.groupBy("id", "h", "source").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+    number = (lambda *order: F.row_number().over(Window.partitionBy("id", "h", "source").orderBy(*order))) if again else lambda *order: F.lit(1)
+    owner = real.withColumn("copy", number("offset")).select("id", "h", "source", "copy", "s", "offset")
+    piece = F.struct("lo", "n", "shard", "slot", "begin")
+    parts = _segments(at, slots(plan, seed, block), block).groupBy("s", "offset", "epoch").agg(F.array_sort(F.collect_list(piece)).alias("parts"), F.sum("n").alias("got"))
+    found = owner.join(parts, ["s", "offset"]).select(*[F.col(c).alias(f"o_{c}") for c in _KEY], "epoch", "parts", "got")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(source_col).cast("string").alias("source"), text.alias("k_text"))
+    keyed = keyed.withColumn("copy", number(F.xxhash64("row")))
+    met = keyed.join(found, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("h") == F.col("o_h")) & F.col("source").eqNullSafe(F.col("o_source")) & (F.col("copy") == F.col("o_copy")))
+    return met.select("row", "source", "k_text", "epoch", "parts", "got", F.regexp_extract_all("k_text", F.lit(WORD), F.lit(0)).alias("w"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, block: int = BLOCK, where: bool = False, **options) -> DataFrame:
     """The mix as documents, with the columns of ``docs``.
 
     A document has a row for each epoch that takes words of it: its text as it is where the epoch
     takes it whole, else the words taken, in order, with a space between. ``n_chars``, if there is
-    such a column, is the new length. Rows equal in identifier, text and source share the place of
-    the first of them.
+    such a column, is the new length. With ``where`` two more columns, mix_shard and mix_slot, tell
+    where its first word stands in the output.
     """
-    at, plan = _with_plan(stored(sized(docs, id_col, text_col, source_col), "mix-sizes"), **options)
-    owner = at.where("size > 0").groupBy("id", "h", "source").agg(F.min(F.struct("s", "offset")).alias("at")).select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("source").alias("o_source"), "at.s", "at.offset")
-    parts = _segments(at, slots(plan, seed, block), block).groupBy("s", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "n"))).alias("parts"), F.sum("n").alias("got"))
-    found = owner.join(parts, ["s", "offset"]).select("o_id", "o_h", "o_source", "parts", "got")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("k_id"), F.xxhash64(text).alias("k_h"), F.col(source_col).cast("string").alias("k_source"), text.alias("k_text"))
-    met = keyed.join(found, F.col("k_id").eqNullSafe(F.col("o_id")) & (F.col("k_h") == F.col("o_h")) & F.col("k_source").eqNullSafe(F.col("o_source")))
-    met = met.withColumn("w", F.regexp_extract_all("k_text", F.lit(WORD), F.lit(0)))
+    met = _taken_rows(docs, id_col, text_col, source_col, seed, block, options)
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("w", (p["lo"] + 1).cast("int"), p["n"].cast("int")))), " ")
     new = F.when(F.col("got") == F.size("w"), F.col("k_text")).otherwise(some)
-    met = met.select("row", new.alias("k_text"))
+    met = met.select("row", new.alias("k_text"), F.col("parts")[0]["shard"].alias("shard"), F.col("parts")[0]["slot"].alias("slot"))
     cols = []
     for f in docs.schema.fields:
         c = F.col("row")[f.name]
@@ -175,4 +236,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         elif f.name == "n_chars":
             c = F.length("k_text").cast(f.dataType)
         cols.append(c.alias(f.name))
-    return met.select(*cols)
+    return met.select(*cols, *([F.col("shard").alias("mix_shard"), F.col("slot").alias("mix_slot")] if where else []))
+
+
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20240229, block: int = BLOCK, **options) -> DataFrame:
+    """(shard, slot, source, n_words, text): the output shards, a row for each slot with the words of the block it takes."""
+    met = _taken_rows(docs, id_col, text_col, source_col, seed, block, options)
+    pieces = met.select("source", F.explode("parts").alias("p"), "w").select("source", "p.shard", "p.slot", "p.begin", "p.n", F.slice("w", (F.col("p.lo") + 1).cast("int"), F.col("p.n").cast("int")).alias("w"))
+    joined = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("begin", "w"))), lambda p: p["w"])), " ")
+    return pieces.groupBy("shard", "slot", "source").agg(F.sum("n").alias("n_words"), joined.alias("text"))
