@@ -8,8 +8,8 @@ text is rejected.
 
 Defined results: null texts and texts without a letter are ``und``, score 0, rejected; texts are
 treated whole, however long; ties between languages go to the first in text order; null languages
-are not learned; repeated rows and null identifiers pass through; an empty table, or one without
-labels, gives ``und`` throughout; extra columns are ignored by ``identify`` and kept by ``keep_known``.
+are not learned; repeated rows and null identifiers pass
+through; an empty table, or one without labels, gives ``und`` throughout; extra columns are ignored by ``identify`` and kept by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Fresh, slices, small_batches, trimmed
+from .common import Fresh, slices, small_batches, stored, trimmed
 
 #: The fitting sample: per language at most so many texts, of each at most so many characters from its middle.
 SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1200
-#: At most so many languages: the dictionaries travel with the function, 115 kB each.
+#: At most so many languages, those with the most labelled texts: the dictionaries travel with the function, 115 kB each.
 MAX_LANGUAGES = 512
 #: Texts are compressed in blocks of so many bytes, as a long text's own content would outweigh a dictionary.
 BLOCK = 2048
@@ -47,36 +47,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Dictionaries by language.
 
-    The sample is the text with the smallest hash in each of SAMPLE_TEXTS bins of a language: one
-    pre-aggregated pass over small columns, so a language of any size sends a bounded number of rows.
+    The sample is, in each of SAMPLE_TEXTS bins of a language, the text that fills a piece best (of
+    these the one with the smallest hash), so short texts are learned from where a language has no
+    others. One pre-aggregated pass over small columns: a language of any size sends a bounded number
+    of rows. Beyond ``max_languages`` those with the most labelled texts are learned, ties in text order.
     """
-    cand = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & (F.length(text_col) >= 20))
-    keyed = cand.select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(SAMPLE_TEXTS)).alias("bin"), F.xxhash64(F.col(id_col), F.lit(2)).alias("h"), F.col(text_col).alias("text"))
-    least = keyed.groupBy("lang", "bin").agg(F.min("h").alias("h"))
+    cand = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    keyed = cand.select(
+        F.col(lang_col).cast("string").alias("lang"),
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(SAMPLE_TEXTS)).alias("bin"),
+        (F.shiftleft((F.lit(SAMPLE_CHARS) - F.least(F.length(text_col), F.lit(SAMPLE_CHARS))).cast("long"), 40) + F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(1 << 40))).alias("h"),
+        F.col(text_col).alias("text"),
+    )
+    least = keyed.groupBy("lang", "bin").agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    by_size = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    least = stored(least.drop("n").join(F.broadcast(by_size), "lang", "left_semi"), "language-bins")  # at most max_languages * SAMPLE_TEXTS rows
     start = F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_CHARS) / 2).cast("int"))
     piece = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS))
-    # at most SAMPLE_TEXTS rows a language on the small side
-    rows = keyed.join(F.broadcast(least), ["lang", "bin", "h"], "left_semi").groupBy("lang", "bin").agg(F.min(piece).alias("t")).orderBy("lang", "bin").limit(MAX_LANGUAGES * SAMPLE_TEXTS + 1).collect()
-    texts: dict[str, list[str]] = {}
+    rows = keyed.join(F.broadcast(least), ["lang", "bin", "h"], "left_semi").groupBy("lang", "bin").agg(F.min(piece).alias("t")).orderBy("lang", "bin").limit(max_languages * SAMPLE_TEXTS).collect()
+    texts: dict[str, list[bytes]] = {}
     for r in rows:
-        texts.setdefault(r.lang, []).append(r.t)
-    if len(texts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not texts:
-        return {}
+        texts.setdefault(r.lang, []).append(letters(r.t))
     # each keeps its whole sample: sizes differ, and a rare label takes nothing from the others
-    return {k: b"\n".join(map(letters, v)).ljust(8) for k, v in sorted(texts.items())}
+    return {k: b"\n".join(v).ljust(8) for k, v in sorted(texts.items())}
 
 
 _BETWEEN = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> bytes:
-    """What is compressed of a text."""
-    return _BETWEEN.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    """What is compressed of a text: its letters (numerals like ``\u2167`` and ``\u00bd`` are none), runs of other characters as one space."""
+    kept = _BETWEEN.sub(" ", text.lower())
+    if not kept.isascii() and any(not c.isalpha() for c in set(kept) - {" "}):
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
+    return kept.strip().encode("utf-8", "replace")
 
 
 _READY = Fresh()
