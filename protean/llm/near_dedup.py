@@ -12,7 +12,8 @@ Equal sets are one node. Buckets of a table are never expanded into pairs:
    the remaining rows are met, as a query set in blocks of bounded size, with the members.
 
 Every pair that shares a bucket is thus verified or already connected; none is dropped. A pair with
-similarity s shares none with probability 1 - (1 - (1 - s^ROWS)^SIDE)^2: under 8e-5 for s = 0.8.
+similarity s shares none with probability 1 - (1 - (1 - s^ROWS)^SIDE)^2: under 2e-4 for s = 0.8. A pair
+at 0.1 shares one with probability 1.7e-4, at 0.05 with 2.6e-6: what unlike texts add stays small.
 
 Defined results: null and empty texts and texts of white space have no shingles and are linked with
 nothing; texts shorter than w words are one shingle; a null identifier is linked with nothing and its
@@ -29,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored, trimmed
+from .common import forget, slices, small_batches, stored, trimmed
 
-SIDE, ROWS = 10, 2
+SIDE, ROWS = 13, 3
 #: Links: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 80
 #: Rows of a bucket, or of what is left of it, up to which pairs are made one by one.
 SMALL = 32
 #: Sets and queries in one block of the others.
 MEMBERS, QUERIES = 256, 1024
-#: Identifiers that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: What may be broadcast of (node, k1, k2), and what such a row takes in a hash table; more is joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 #: Word hashes that a worker keeps, and texts that it holds as Python strings.
 KNOWN_WORDS, SLICE = 100_000, 256
@@ -86,8 +87,7 @@ def bands(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """2 * SIDE band hashes of one set; either half is a collection."""
     least = np.empty(len(seeds), np.uint64)
     for i, m in enumerate(seeds):
-        v = s * m
-        least[i] = (v ^ (v >> np.uint64(32))).min()
+        least[i] = (s * m).min()  # shingles are mixed hashes: an odd factor orders them anew
     both = least.reshape(2 * SIDE, ROWS)
     out = np.arange(2 * SIDE, dtype=np.uint64)
     for j in range(ROWS):
@@ -125,10 +125,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, lead, rows): rows of buckets with two nodes or more; lead is the bucket's smallest node."""
+    """(key, node, n, lead, n_lead, rows): rows of buckets with two nodes or more; lead is the bucket's smallest node."""
     pair = f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(bands[i], bands[j]))))"
     rows = nodes.select("node", "n", F.explode(F.expr(pair)).alias("key"))
-    many = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
+    many = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("first.node").alias("lead"), F.col("first.n").alias("n_lead"), "rows")
     return rows.join(many.hint("merge"), "key")  # sizes are underrated behind an explode: not to be broadcast
 
 
@@ -147,7 +147,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
                     yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(some)), pa.array([len(sets[k]) for k in some], pa.int64()), pa.array([sets[k].view(np.int64) for k in some], pa.list_(pa.int64()))], names=["node", "n", "s"])
 
     src = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    small = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    small = F.broadcast(needed) if needed.count() * ROW_BYTES <= BROADCAST_BYTES else needed.hint("merge")
     return src.join(small, "node").mapInArrow(trimmed(make), "node long, n long, s array<long>")
 
 
@@ -174,13 +174,17 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("around"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("comp"))
+        step = labels.drop("old").join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "around").alias("comp"))
         up = step.select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
         new = stored(step.join(up, "comp").select("node", "old", F.col("upper").alias("comp")), "labels")
         moved = new.where("old != comp").limit(1).count()
-        labels = new.drop("old")
+        forget(labels)
+        labels = new
         if not moved:
-            return labels
+            forget(both)
+            found = labels.drop("old")
+            found.stored_path = labels.stored_path
+            return found
 
 
 def _blocked(queries: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -227,10 +231,10 @@ def _blocked(queries: DataFrame, members: DataFrame, sets: DataFrame, threshold:
 
 
 def _rest(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between nodes that share a bucket, are not connected yet, and are not both in a tested star."""
+    """Links between nodes that share a bucket, are not connected yet, and are not both in a tested star; stored."""
     rows = rows.where("rows > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rows = stored(rows.join(mixed, "key").select("key", "node", "n", "lead", "comp"), "mixed")
+    rows = found = stored(rows.join(mixed, "key").select("key", "node", "n", "lead", "comp"), "mixed")
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all"))
     rows = stored(rows.join(per, "key"), "mixed")
     left = rows.where("comp != main").withColumn("n_left", F.col("n_all") - F.col("n_main"))
@@ -244,7 +248,10 @@ def _rest(rows: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -
     to_main = x.where(f"n_main > {SMALL}").join(per.select("key", "main"), "key").select(F.col("main").alias("g"), F.col("a").alias("x")).distinct()
     in_main = rows.where(f"comp = main and n_main > {SMALL}").select(F.col("main").alias("g"), F.col("node").alias("y")).distinct()
     among = left.where(f"n_left > {SMALL}")
-    return links.unionByName(_blocked(to_main, in_main, sets, threshold)).unionByName(_blocked(among.select(F.col("key").alias("g"), F.col("node").alias("x")), among.select(F.col("key").alias("g"), F.col("node").alias("y")), sets, threshold))
+    every = links.unionByName(_blocked(to_main, in_main, sets, threshold)).unionByName(_blocked(among.select(F.col("key").alias("g"), F.col("node").alias("x")), among.select(F.col("key").alias("g"), F.col("node").alias("y")), sets, threshold))
+    out = stored(every, "links")
+    forget(found, rows)
+    return out
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,12 +266,14 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
     rows = stored(buckets(nodes), "buckets")
     needed = stored(rows.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"), "needed")
     sets = stored(_sets(docs, needed, width, id_col, text_col), "sets")
-    star = rows.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    star = rows.where("node != lead").where(_ratio("n", "n_lead", threshold)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(_verified(star, sets, threshold), "links")
-    more = stored(_rest(rows, components(links), sets, threshold), "links")
+    starred = components(links)
+    more = _rest(rows, starred, sets, threshold)
     repeated = some.select("id", "k1", "k2").distinct().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     tied = same.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = components(links.unionByName(more).unionByName(tied))
+    forget(rows, needed, sets, links, starred, more)
     out = every.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(found, "node", "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "node", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
