@@ -5,8 +5,10 @@ of its words in the block's own word list; only these word lists are dealt out b
 distinct word is encoded once, and the ids come back to their block and are joined to the documents
 by position. Decoding joins the ids to a table of pieces.
 
-What is shuffled: word lists and positions, compressed in packets; never a row per word. Memory: one
-block's words, or the distinct words of one bucket; both are bounded by parameters.
+What is shuffled: word lists and positions, compressed in packets; never a row per word. Memory: a
+block's words (BLOCK_WORDS, and those of one more text), or, of one bucket at a time, the ids of at most
+KNOWN_WORDS distinct words; a bucket that has more forgets and encodes some again, with the same ids.
+The joins are by position in arrays: both sides of a block are in one task.
 
 Defined results: null and empty texts have no ids (hashes of the empty text); strings of special
 tokens inside texts get their own ids; null and repeated identifiers pass through, row by row; very
@@ -38,8 +40,10 @@ PACKET_WORDS = 1 << 20
 ESCAPE = 0xFFFF
 #: Texts that a worker holds as Python strings.
 SLICE = 256
-#: Buckets of words for each shuffle partition.
-BUCKETS_PER_PARTITION = 2
+#: Buckets of words for each shuffle partition, and at most: a block has a packet for each, of some hundred words at least.
+BUCKETS_PER_PARTITION, MOST_BUCKETS = 2, 4096
+#: Distinct words whose ids a worker keeps.
+KNOWN_WORDS = 2 << 20
 
 #: Fixed value: the pattern of byte-level pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,11 +178,11 @@ def _packets(path: str, n_buckets: int, block_chars: int = BLOCK_CHARS, packet_w
     return pack
 
 
-def _encoded(path: str):
-    """Word packets to id packets; a word that several blocks have is encoded the first time only."""
+def _encoded(path: str, most: int = KNOWN_WORDS):
+    """Word packets, sorted by bucket, to id packets; a word that several blocks have is encoded the first time only."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known = load_tokenizer(path), {}
+        tok, known, current = load_tokenizer(path), {}, None
         for b in batches:
             for blk, bucket, base, data in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "base", "data")), strict=True):
                 n = int.from_bytes(data[-4:], "little")
@@ -188,6 +192,8 @@ def _encoded(path: str):
                 for s in size.tolist():
                     mine.append(body[at : at + s])
                     at += s
+                if bucket != current or len(known) > most:
+                    known, current = {}, bucket
                 new = [w for w in mine if w not in known]
                 for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, np.uint32)
@@ -264,10 +270,13 @@ def _assembled(path: str, whole: bool):
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, block_chars: int = BLOCK_CHARS, packet_words: int = PACKET_WORDS) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; with ``whole`` also ids and decoded."""
     small_batches(docs.sparkSession)
-    n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = min(BUCKETS_PER_PARTITION * parts, MOST_BUCKETS)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packed = stored(src.mapInArrow(trimmed(_packets(path, n_buckets, block_chars, packet_words)), PACKET), "bpe")
-    ids = packed.where("kind = 0").repartition("bucket").mapInArrow(trimmed(_encoded(path)), PACKET)
-    both = ids.unionByName(packed.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind", "base")
+    # tasks by the data's size: a block, or about as much of the word lists, each; a session's own number where that is more
+    n_blocks = packed.where("kind = 1 and base < 0").count()
+    ids = packed.where("kind = 0").repartition(max(parts, min(n_buckets, n_blocks)), "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_encoded(path)), PACKET)
+    both = ids.unionByName(packed.where("kind = 1")).repartition(max(parts, n_blocks), "block").sortWithinPartitions("block", "kind", "base")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if whole else "")
     return both.mapInArrow(trimmed(_assembled(path, whole)), schema).withColumnRenamed("id", id_col)
