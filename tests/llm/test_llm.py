@@ -114,6 +114,11 @@ def test_language_id(spark):
     assert set(m) == {"de", "en", "es", "fr"} and max(map(len, m.values())) <= language_id.SAMPLE_TEXTS * 4 * language_id.SAMPLE_CHARS
     o = {x.doc_id: x for x in language_id.identify(docs(spark, [*ODD[2:5], (20, "12 !!"), (21, LONG), (None, None)]), m).collect()}
     assert {o[k].lang_pred for k in (3, 4, 5, 20, None)} == {"und"} and o[21].lang_pred in m
+    odd = language_id.identify(docs(spark, [(1, "\u00bd \u00b2 \u00bc"), (2, "\u2167"), (3, "\u2167 le chat"), (3, "\u2167 le chat")]), m).collect()
+    assert Counter((x.doc_id, x.lang_pred != "und") for x in odd) == {(1, False): 1, (2, False): 1, (3, True): 2}
+    assert language_id.identify(docs(spark, ODD).limit(0), m).count() == 0 and language_id.predict("ab", language_id._compressors({"y": b" " * 8, "x": b" " * 8}))[0] in ("x", "y")
+    few = language_id.fit(spark.createDataFrame([(i, "der kurze", "de") for i in range(1, 9)] + [(9 + i, "un mot", "fr") for i in range(20)] + [(40, "uno", "es")], "doc_id long, text string, lang string"), max_languages=2)
+    assert set(few) == {"de", "fr"}
     assert language_id.identify(docs(spark, [(1, "some words here")]).withColumn("lang", F.lit(None).cast("string"))).first().lang_pred == "und"
     kept = language_id.keep_known(docs(spark, ODD[2:5]), m)
     assert kept.columns == docs(spark, ODD).columns and kept.count() == 0
@@ -388,6 +393,41 @@ def test_multi_index_finds_every_code_in_the_radius():
         assert (ann.MultiIndex(codes).within(q, radius) == (np.bitwise_count(q[:, None] ^ codes[None]) <= radius)).all()
 
 
+def test_ann_index_on_clusters(spark):
+    """Clustered vectors, copies among them: the index names few rows, all of the radius, and recall holds."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 48))
+    x = np.concatenate([centres[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 48)), np.tile(centres[0], (600, 1))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    dims, norm, rotation, radius = ann.learn(rows, 20)
+    masks = ann.probe_masks(radius)
+    assert masks is not None and len(masks) <= ann.PROBES
+    code, asks = ann._codes(ann._raised(x, norm), rotation), ann._codes(ann._flat(x), rotation)
+    entries = spark.createDataFrame([(i, int(c)) for i, c in enumerate(code.view(np.int64).tolist())], "entry long, code long")
+    q = list(range(0, 3000, 100))
+    queries = spark.createDataFrame([(i, int(asks.view(np.int64)[i])) for i in q], "query_id long, code long")
+    pairs = [tuple(r) for r in ann.candidates(queries, ann.indexed(entries), radius, masks).collect()]
+    want = {(i, int(j)) for i in q for j in np.flatnonzero(np.bitwise_count(asks[i] ^ code) <= radius)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    other = [p for p in pairs if p[1] < 3000]  # the copies are one entry in a search
+    assert len(other) < 0.1 * len(q) * 3000
+    got = defaultdict(dict)
+    for r in ann.search(d, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r.query_id][r["rank"]] = (r.vec_id, r.score)
+    hit = 0
+    for i in range(0, len(x), 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        order = np.lexsort((np.arange(len(x)), -np.round(s, 9)))[:20]
+        assert sorted(got[i]) == list(range(1, 21)) and [got[i][k][1] for k in range(1, 21)] == sorted((v[1] for v in got[i].values()), reverse=True)
+        least = np.sort(s)[-20]
+        hit += sum(v[1] >= least - 1e-9 for v in got[i].values())
+        assert len({v[0] for v in got[i].values()}) == 20 and len(order) == 20
+    assert hit / (20 * len(got)) >= 0.9 and len(got) == len(x) // 20
+
+
 def test_ann_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None), (1, [0.0, 0.0]), (2, [1.0, nan]), (20, [1.0, 2.0]), (3, [1.0, None]), (40, [2.0, 2.0]), (5, [1.0, 2.0]), (6, [inf, 0.0]), (7, [1.0, 2.0]), (8, [1.0]), (None, [9.0, 9.0]), (60, [])]
