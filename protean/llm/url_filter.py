@@ -3,8 +3,9 @@
 Rules decide where one fits. Elsewhere a small model of boosted trees judges length, depth, digit
 ratio, entropy, parameter counts and statistics of suffixes and host words. URLs that a blocking rule
 fits or whose host holds a word of a blocklist count as block, all others as allow. The statistics
-count all different URLs and are joined to them by host; the trees are fitted on a bounded sample. The
-model is a few kilobytes and is carried to the executors with the function.
+count all different URLs but those of the URL's own fold, so a URL's own label is never among its
+features, and are joined by host and fold. Features are SQL expressions; the trees see whole columns,
+are fitted on a bounded sample, and travel to the executors with the function, a few kilobytes.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, no rule and a
 verdict of the method (``allow`` without a model); repeated rows get equal results; null identifiers
@@ -13,9 +14,7 @@ pass through; very long urls are treated whole; an empty table gives an empty re
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +27,14 @@ from .common import ascii_lower, sampled, stored
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of hosts that blocklists are full of.
-BAD_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "malware", "phish", "cheap", "gamble")
+BAD_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "malware", "phish", "cheap", "gamble", "adult", "bets", "ads-", "-track")
 #: About so many different labelled URLs are fitted on, at most twice as many: those with the smallest hashes.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "host_entropy", "parameters", "query_length", "longest_label", "vowel_ratio", "suffix_rate", "suffix_count", "host_word_rate", "has_fragment")
 STATISTICS = ("suffix_rate", "suffix_count", "host_word_rate")
+#: Parts of the URLs; statistics for one are counted on the others.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,21 +56,25 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def features(url: str | None, host: str, path: str, rate: float, seen: float, word_rate: float) -> list[float]:
-    """One row of FEATURES."""
-    u = url or ""
-    query = u.partition("?")[2].partition("#")[0]
-    labels = host.split(".")
-    letters = sum(c.isalpha() for c in host)
-    return [
-        len(u), len(host), len(path), path.count("/"), len(labels), sum(c.isdigit() for c in u) / max(1, len(u)), sum(c.isdigit() for c in host) / max(1, len(host)), host.count("-"),
-        _entropy(u), _entropy(host), query.count("=") + query.count("&") * 0.01, len(query), max(map(len, labels)), sum(c in "aeiou" for c in host) / max(1, letters), rate, math.log1p(seen), word_rate, float("#" in u),
-    ]
+def features(url: str = "url", host: str = "host", path: str = "path") -> list[Column]:
+    """FEATURES as columns, from the columns of that name and of STATISTICS."""
+    u = f"coalesce({url}, '')"
+    query = f"substring_index(if(instr({u}, '?') > 0, substr({u}, instr({u}, '?') + 1), ''), '#', 1)"
+    count = lambda s, kind: f"regexp_count({s}, '{kind}')"
+    # a Java string is split into characters between which nothing stands
+    entropy = lambda s: f"coalesce(element_at(transform(array(split({s}, '')), c -> -aggregate(array_distinct(c), 0D, (a, x) -> a + size(filter(c, y -> y = x)) / size(c) * log2(size(filter(c, y -> y = x)) / size(c)))), 1), 0D)"
+    made = {
+        "url_length": f"length({u})", "host_length": f"length({host})", "path_length": f"length({path})", "depth": count(path, "/"), "labels": f"size(split({host}, '[.]'))",
+        "digit_ratio": f"{count(u, '[0-9]')} / greatest(1, length({u}))", "host_digit_ratio": f"{count(host, '[0-9]')} / greatest(1, length({host}))", "hyphens": count(host, "-"),
+        "entropy": entropy(u), "host_entropy": entropy(host), "parameters": f"{count(query, '=')} + 0.01D * {count(query, '&')}", "query_length": f"length({query})",
+        "longest_label": f"array_max(transform(split({host}, '[.]'), x -> length(x)))", "vowel_ratio": f"{count(host, '[aeiou]')} / greatest(1, {count(host, '[a-z]')})",
+        "suffix_rate": "suffix_rate", "suffix_count": "ln(1 + suffix_count)", "host_word_rate": "host_word_rate", "has_fragment": f"int(instr({u}, '#') > 0)",
+    }
+    return [F.expr(made[name]).cast("double").alias(name) for name in FEATURES]
 
 
 class BoostedTrees:
@@ -141,29 +146,38 @@ def _labelled(urls: DataFrame, rules, bad_words) -> DataFrame:
 
 
 def statistics(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS) -> DataFrame:
-    """host, suffix_rate, suffix_count and host_word_rate, counted over all different URLs."""
-    hosts = stored(_labelled(_urls(pages, url_col).distinct(), rules, bad_words).groupBy("host").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "url-hosts")
-    hosts = hosts.withColumn("suffix", F.substring_index("host", ".", -1))
+    """(host, fold, suffix_rate, suffix_count, host_word_rate) for the URLs of a host in a fold, counted over all different URLs of the other folds."""
+    urls = _labelled(_urls(pages, url_col).distinct(), rules, bad_words).withColumn("fold", fold(F.col("url")))
+    hosts = stored(urls.groupBy("host", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("s")), "url-hosts").withColumn("suffix", F.substring_index("host", ".", -1))
     total = [F.sum("n").alias("n"), F.sum("s").alias("s")]
-    suffixes = hosts.groupBy("suffix").agg(*total).select("suffix", ((F.col("s") + 0.5) / (F.col("n") + 1)).alias("suffix_rate"), F.col("n").cast("double").alias("suffix_count"))
-    words = hosts.select("host", "n", "s", F.explode(F.array_distinct(F.split("host", r"[.\-]"))).alias("word")).where("word <> ''")
-    rates = words.groupBy("word").agg(*total).where("n >= 3").select("word", ((F.col("s") + 0.1) / (F.col("n") + 1)).alias("r"))
-    best = words.join(rates, "word").groupBy("host").agg(F.max("r").alias("host_word_rate"))
-    out = hosts.join(suffixes, "suffix").join(best, "host", "left")
-    return stored(out.select("host", "suffix_rate", "suffix_count", F.coalesce("host_word_rate", F.lit(0.0)).alias("host_word_rate")), "url-statistics")
+
+    def others(table: DataFrame, key: str) -> DataFrame:
+        """Counts of ``key`` in the other folds."""
+        own = table.groupBy(key, "fold").agg(*total)
+        every = own.groupBy(key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+        return own.join(every, key).select(key, "fold", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"))
+
+    suffixes = others(hosts, "suffix").select("suffix", "fold", ((F.col("s") + 0.5) / (F.col("n") + 1)).alias("suffix_rate"), F.col("n").cast("double").alias("suffix_count"))
+    words = hosts.select("host", "fold", "n", "s", F.explode(F.array_distinct(F.split("host", r"[.\-]"))).alias("word")).where("word <> ''")
+    rates = others(words, "word").where("n > 0").select("word", "fold", ((F.col("s") + 0.1) / (F.col("n") + 1)).alias("r"))
+    best = words.join(rates, ["word", "fold"]).groupBy("host", "fold").agg(F.max("r").alias("host_word_rate"))
+    out = hosts.join(suffixes, ["suffix", "fold"]).join(best, ["host", "fold"], "left")
+    return stored(out.select("host", "fold", "suffix_rate", "suffix_count", F.coalesce("host_word_rate", F.lit(0.0)).alias("host_word_rate")), "url-statistics")
 
 
 def fit(pages: DataFrame, url_col: str = "url", rules=RULES, bad_words=BAD_WORDS, sample: int = SAMPLE, stats: DataFrame | None = None):
-    """The trees, from at most ``sample`` different URLs, and the statistics they use; None without any."""
+    """The trees, from about ``sample`` different URLs (twice as many at most), and the statistics they use; None without any."""
     stats = statistics(pages, url_col, rules, bad_words) if stats is None else stats
     urls = _urls(pages, url_col)
     total = urls.agg(F.approx_count_distinct("url").alias("n")).first().n
     some = sampled(urls, F.col("url"), sample, total).distinct()
     # the documented bound of the fitting sample; the filter gives about that many
-    rows = sorted(_labelled(some.limit(2 * sample), rules, bad_words).join(stats, "host").select("url", "host", "path", *STATISTICS, "y").collect())
+    met = _labelled(some.limit(2 * sample), rules, bad_words).withColumn("fold", fold(F.col("url"))).join(stats, ["host", "fold"])
+    rows = sorted(met.select("url", *features(), "y").collect())
     if not rows:
         return None
-    return BoostedTrees().fit(np.array([features(*r[:-1]) for r in rows]), np.array([r.y for r in rows])), stats
+    x = np.array([r[1:] for r in rows], dtype=float)
+    return BoostedTrees().fit(x[:, :-1], x[:, -1]), stats
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, threshold: float = 0.5, **options) -> DataFrame:
@@ -174,17 +188,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     src = src.select("*", (name if name is not None else F.lit(None).cast("string")).alias("rule"), (verdict if verdict is not None else F.lit(None).cast("string")).alias("ruled"))
-    schema = src.drop("url").withColumn("p_block", F.lit(0.0)).schema
     if model:
-        src = src.join(model[1], "host", "left")
+        src = src.withColumn("fold", fold(F.col("url"))).join(model[1], ["host", "fold"], "left")
     unseen = {"suffix_rate": 0.5, "suffix_count": 0.0, "host_word_rate": 0.0}
-    src = src.select(*schema.names[:-1], "url", *[F.coalesce(F.col(c), F.lit(unseen[c])).alias(c) if model else F.lit(unseen[c]).alias(c) for c in STATISTICS])
+    names = ["id", "host", "path", "rule", "ruled"]
+    src = src.select(*names, "url", *[F.coalesce(F.col(c), F.lit(unseen[c])).alias(c) if model else F.lit(unseen[c]).alias(c) for c in STATISTICS])
+    src = src.select(*names, F.array(*features()).alias("x"))
+    schema = src.drop("x").withColumn("p_block", F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("url", "host", "path", *STATISTICS)), strict=True)
-            p = trees.predict(np.array([features(*r) for r in rows])) if trees and b.num_rows else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "host", "path", "rule", "ruled")] + [pa.array(p)], names=schema.names)
+            x = np.asarray(b.column("x").flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, len(FEATURES))
+            p = trees.predict(x) if trees and b.num_rows else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p)], names=schema.names)
 
     out = src.mapInArrow(score, schema)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("p_block") >= threshold, "block").otherwise("allow")).alias("verdict"), "p_block")
