@@ -1,7 +1,7 @@
 """License detection by diagonal voting, in DataFrame functions only.
 
 Every rolling k-gram of a text's words is hashed and joined to the positions of the same k-gram in
-license templates. Hits vote for their diagonal (place in the text minus place in the template);
+license templates: notices, the characteristic clauses of whole license texts, names, and SPDX identifiers. Hits vote for their diagonal (place in the text minus place in the template);
 neighbouring diagonals, which a few inserted or missing words set apart, are merged, and a merged
 span counts where enough of the template's k-grams are really in it.
 
@@ -55,6 +55,95 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "bsd",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution",
+    ),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    (
+        "bsd",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+        "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+        "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    ),
+    (
+        "isc",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+        "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+    (
+        "bsl",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, "
+        "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ),
+    (
+        "gpl-2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("gpl", "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    (
+        "apache",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to "
+        "reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+    ),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution"),
+    ("cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    # names, and identifiers as they stand in source files
+    ("bsd", "BSD 2 Clause License"),
+    ("bsd", "BSD 3 Clause License"),
+    ("mpl", "Mozilla Public License"),
+    ("lgpl", "Lesser General Public License"),
+    ("agpl", "Affero General Public License"),
+    ("epl", "Eclipse Public License"),
+    ("bsl", "Boost Software License"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache", "SPDX-License-Identifier: Apache"),
+    ("gpl", "SPDX-License-Identifier: GPL"),
+    ("lgpl", "SPDX-License-Identifier: LGPL"),
+    ("agpl", "SPDX-License-Identifier: AGPL"),
+    ("bsd", "SPDX-License-Identifier: BSD"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("mpl", "SPDX-License-Identifier: MPL"),
+    ("epl", "SPDX-License-Identifier: EPL"),
+    ("bsl", "SPDX-License-Identifier: BSL"),
+    ("zlib", "SPDX-License-Identifier: Zlib"),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("cc0", "SPDX-License-Identifier: CC0"),
+    ("cc", "SPDX-License-Identifier: CC"),
 )
 
 #: Words in a k-gram; diagonals at most so far apart are merged; share of a template's k-grams that a span needs.
