@@ -292,11 +292,76 @@ def test_mixed_documents_hold_the_words_taken(spark):
         got[r.doc_id] += len(w)
         assert r.n_chars == len(r.text) and set(w) <= set(text[r.doc_id]) and len(set(w)) == len(w)
     assert got == {k: v for k, v in taken.items() if v}
+    blocks = mixing.mixed_blocks(docs(spark, rows)).collect()
+    assert Counter(w for r in blocks for w in r.text.split()) == Counter(w for r in out.collect() for w in r.text.split()) and all(r.n_words == len(r.text.split()) <= mixing.BLOCK for r in blocks)
+    assert len({(r.shard, r.slot) for r in blocks}) == len(blocks) and mixing.mixed_documents(docs(spark, rows), where=True).where("mix_shard is null").count() == 0
     counts = mixing.shard_counts(mixing.slots(mixing.targets(mixing.sized(docs(spark, rows), "doc_id", "text", "source")), 1, shard=64))
     per = [r.n for r in counts.groupBy("shard").agg(F.sum("n_slots").alias("n")).collect()]
     assert max(per) <= 64 and sum(n == 64 for n in per) >= len(per) - 1
 
 
+def _spark_hash(*values):
+    """Spark's xxhash64 of bigints, and of ints given as (value,)."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _sent(x, n, seed):
+    for r in range(1, mixing.ROUNDS + 1):
+        y = ((_spark_hash(*seed, (r,)) % n) - x) % n
+        if _spark_hash(*seed, (r,), max(x, y)) % 2 != 0:
+            x = y
+    return x
+
+
+def test_mixing_twin(spark):
+    """``taken`` row by row by plain Python; repeated rows; slots from the shards' draws."""
+    seed, block = 77, 8
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(1 + 7 * i % 50)), "en", f"s{i % 3}") for i in range(40)] + [(100, "a b c d e f g h i j k", "en", "s0")] * 3
+    got = mixing.mix(docs(spark, rows), seed=seed, block=block).collect()
+    size = defaultdict(int)
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    want = _targets(size)
+    d = docs(spark, rows)
+    at = mixing.placed(mixing.sized(d, "doc_id", "text", "source")).collect()
+    taken = Counter()
+    for s, name in enumerate(sorted(size)):
+        n, due = -(-size[name] // block), int(want[name] + 0.5)
+        used = [defaultdict(int), defaultdict(int)]
+        for epoch, words in enumerate((min(due, size[name]), max(due - size[name], 0))):
+            j = 0
+            while words > 0:
+                index = _sent(j, n, (seed, s, epoch))
+                used[epoch][index] = min(words, block, size[name] - index * block)
+                words, j = words - used[epoch][index], j + 1
+        for r in at:
+            if r.source == name:
+                taken[r.id, r.size, sum(max(0, min(b * block + u[b], r.offset + r.size) - max(b * block, r.offset)) for u in used for b in u)] += 1
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == taken
+    words = Counter()
+    for r in mixing.mixed_documents(docs(spark, rows), seed=seed, block=block).collect():
+        words[r.doc_id] += len(r.text.split())
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.taken
+    assert words == +total
+    plan = mixing.targets(mixing.sized(d, "doc_id", "text", "source"))
+    t = {r.s: r for r in mixing.slot_plan(plan, seed, 2).collect()}
+    table = mixing.slots(plan, seed, 2, shard=32).collect()
+    assert len({(r.shard, r.slot) for r in table}) == len(table) == sum(r.slots for r in t.values())
+    assert Counter((r.s, r.epoch) for r in table) == Counter({(s, e): k for s, r in t.items() for e, k in ((0, r.k0), (1, r.k1)) if k}) and len({(r.s, r.epoch, r.index) for r in table}) == len(table)
+    share = np.array([[sum(1 for r in table if r.shard == q and r.s == s) for s in t] for q in range(len(table) // 32)])
+    expected = 32 * np.array([r.slots for r in t.values()]) / len(table)
+    assert share.std(axis=0).min() > 0.5 and np.abs(share.mean(axis=0) - expected).max() < 2
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 
@@ -323,12 +388,37 @@ def test_url_statistics_count_what_is_not_sampled(spark):
     d = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:50])], "page_id long, url string")
     got = {r.page_id: r.verdict == "block" for r in url_filter.judge(d, sample=360).collect()}
     assert np.mean([got[i] == ("porn" in u) for i, u in enumerate(urls)]) > 0.99
-    stats = {r.host: r for r in url_filter.statistics(d).collect()}
-    n = Counter(u.split("/")[2].split(".")[0] for u in set(urls))
-    bad = sum("porn" in u for u in set(urls))
-    assert len(stats) == len(n) and all(r.suffix_count == len(set(urls)) and r.suffix_rate == pytest.approx((bad + 0.5) / (len(set(urls)) + 1)) for r in stats.values())
-    both = (bad + 0.1) / (len(set(urls)) + 1)
-    assert all(stats[w + ".example.org"].host_word_rate == pytest.approx(max(both, (c * ("porn" in w) + 0.1) / (c + 1))) for w, c in n.items())
+    import xxhash
+
+    fold = lambda u: int(np.int64(np.uint64(xxhash.xxh64_intdigest(u.encode(), seed=42)))) % url_filter.FOLDS
+    one = [(u.split("/")[2], fold(u), "porn" in u) for u in set(urls)]
+    for r in url_filter.statistics(d).collect():
+        rest = [y for _, f, y in one if f != r.fold]
+        own = [y for h, f, y in one if f != r.fold and h == r.host]
+        assert r.suffix_count == len(rest) and r.suffix_rate == pytest.approx((sum(rest) + 0.5) / (len(rest) + 1))
+        both = (sum(rest) + 0.1) / (len(rest) + 1)
+        assert r.host_word_rate == pytest.approx(max(both, (sum(own) + 0.1) / (len(own) + 1)) if own else both)
+    assert {(r.host, r.fold) for r in url_filter.statistics(d).select("host", "fold").collect()} == {(h, f) for h, f, _ in one}
+
+
+def test_url_features(spark):
+    """Against plain Python, with repeated rows, null identifiers, very long urls and columns of inner names."""
+    import math
+
+    urls = ["http://a1.b-c.org/x/y?p=1&q=2#f", "nourl", "", None, "http://h/" + "z9/" * 20_000, "http://a1.b-c.org/x/y?p=1&q=2#f"]
+    d = spark.createDataFrame([(i if i != 1 else None, u, "h", 9, "r", 1.0) for i, u in enumerate(urls)], "page_id long, url string, host string, fold int, rule string, suffix_rate double")
+    got = url_filter.judge(d).collect()
+    assert len(got) == len(urls) and len({(r.host, r.path, r.verdict, r.p_block) for r in got if r.page_id in (0, 5)}) == 1
+    host, path = url_filter.host_and_path(F.col("url"))
+    x = d.select("url", host.alias("host"), path.alias("path"), F.lit(0.25).alias("suffix_rate"), F.lit(3.0).alias("suffix_count"), F.lit(0.5).alias("host_word_rate")).select("url", "host", "path", *url_filter.features()).collect()
+    entropy = lambda s: -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
+    for r in x:
+        u, h = r.url or "", r.host
+        q = u.partition("?")[2].partition("#")[0]
+        assert r.url_length == len(u) and r.depth == r.path.count("/") and r.labels == len(h.split(".")) and r.hyphens == h.count("-") and r.has_fragment == ("#" in u)
+        assert r.entropy == pytest.approx(entropy(u), abs=1e-9) and r.host_entropy == pytest.approx(entropy(h), abs=1e-9)
+        assert r.parameters == pytest.approx(q.count("=") + 0.01 * q.count("&")) and r.query_length == len(q) and r.suffix_count == pytest.approx(math.log(4))
+        assert r.digit_ratio == pytest.approx(sum(c.isdigit() for c in u) / max(1, len(u))) and r.longest_label == max(map(len, h.split(".")))
 
 
 def test_boosted_trees_on_held_out_rows():
@@ -347,6 +437,7 @@ def test_licenses(spark):
         (1, "Released under the MIT License."), (2, "no licence here"), (3, None), (4, ""), (5, "MIT license, mit LICENSE; Apache-License"), (6, LONG + " licensed under the Apache License, Version 2.0 " + LONG),
         (7, licenses.TEMPLATES[7][1]), (8, "This work is licensed under the GNU General Public License, version 3."), (8, "This work is licensed under the GNU General Public License, version 3."), (None, "the mit license"), (9, "mitlicense mit-license"),
         (10, licenses.TEMPLATES[2][1].replace("without restriction, ", "with no restriction at all, ")),
+        (11, "// SPDX-License-Identifier: MIT"), (12, "the BSD 3-Clause License applies"), (13, "see the Mozilla Public License"), (14, "SPDX-License-Identifier: Apache-2.0"), (15, "GNU Lesser General Public License"),
     ]
     got = licenses.scan(docs(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -359,6 +450,7 @@ def test_licenses(spark):
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter((i, *base(t)) for i, t in rows)
     by = {r.doc_id: r for r in got}
     assert by[7].labels == "bsd" and by[10].labels == "mit" and by[2].labels == "" and by[2].score == 0 and 0.6 <= by[10].score <= 1
+    assert [by[i].labels for i in range(11, 16)] == ["mit", "bsd", "mpl", "apache", "gpl,lgpl"]
     assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in got)
     assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
 
