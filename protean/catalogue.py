@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, networks, sequence, spatial, surface, trajectory, validation
 from .plans import model, policy, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
+from .sources import exchange
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1161,3 +1162,29 @@ def residue_areas(spark, sf):
 def progressive_msa(spark, sf):
     s = _sequences(spark, sf).select((F.col("id") % 8).alias("family"), F.col("id").alias("name"), "sequence")
     return sequence.progressive_msa(s, ["family"])
+
+
+# --- exchange formats: written, read back, compared with the table ----------------------------------
+
+
+def _roundtrip(kind: str, label: str | None, sql_label: str | None) -> None:
+    """Atoms by chain, with coordinates that every format can hold."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        w = Window.partitionBy("label_asym_id").orderBy("atom_index")
+        a = model.atoms(spark, sf_dir)
+        rank = (F.row_number().over(w) - 1).cast("long")
+        if kind == "sdf":  # its counts have three columns
+            a = a.withColumn("label_asym_id", F.concat("label_asym_id", F.col("residue_index").cast("string")))
+        a = a.withColumn("rank", rank).select(F.col("label_asym_id").alias("structure_id"), F.col("rank").alias("atom_index"), "model", "atom_name", "element_symbol", "label_comp_id", F.lit("A").alias("auth_asym_id"), F.col("label_seq_id").alias("auth_seq_id"), (F.col("label_seq_id") / 10).alias("x"), "y", "z")
+        got = exchange.parsed(exchange.text_of(a, kind), kind)
+        return got.select("structure_id", "atom_index", *[F.round(c, 2).alias(c) for c in "xyz"], *([F.col(label).alias("label")] if label else []))
+
+    chain = "chain || residue_index::varchar" if kind == "sdf" else "chain"
+    _QUERIES[f"roundtrip_{kind}"] = run
+    _SQL[f"roundtrip_{kind}"] = f"with {ATOMS} select {chain} as structure_id, row_number() over (partition by {chain} order by atom_index) - 1 as atom_index, round(resid / 10.0::double, 2) as x, round(y, 2) as y, round(z, 2) as z" + (f", {sql_label} as label" if sql_label else "") + " from a"
+
+
+for _kind in exchange.KINDS:
+    if _kind != "mdcrd":  # does not tell its number of atoms
+        _roundtrip(_kind, *{"rst7": (None, None), "aims": ("element_symbol", "substr(name, 1, 1)"), "sdf": ("element_symbol", "substr(name, 1, 1)"), "mol2": ("label_comp_id", "resname")}.get(_kind, ("atom_name", "name")))
