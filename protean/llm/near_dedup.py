@@ -125,10 +125,10 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, lead, n_lead, rows): rows of buckets with two nodes or more; lead is the bucket's smallest node."""
+    """(key, node, n, lead, rows): rows of buckets with two nodes or more; lead is the bucket's smallest node."""
     pair = f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(bands[i], bands[j]))))"
     rows = nodes.select("node", "n", F.explode(F.expr(pair)).alias("key"))
-    many = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("first.node").alias("lead"), F.col("first.n").alias("n_lead"), "rows")
+    many = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     return rows.join(many.hint("merge"), "key")  # sizes are underrated behind an explode: not to be broadcast
 
 
@@ -266,7 +266,8 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
     rows = stored(buckets(nodes), "buckets")
     needed = stored(rows.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"), "needed")
     sets = stored(_sets(docs, needed, width, id_col, text_col), "sets")
-    star = rows.where("node != lead").where(_ratio("n", "n_lead", threshold)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    star = rows.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n").distinct()
+    star = star.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("n_lead")), "a").where(_ratio("n", "n_lead", threshold)).select("a", "b")
     links = stored(_verified(star, sets, threshold), "links")
     starred = components(links)
     more = _rest(rows, starred, sets, threshold)
