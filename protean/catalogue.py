@@ -283,9 +283,13 @@ def place_atom(spark, sf):
     return _four(spark, sf).where("c is not null").select("atom", F.round(geometry.distance(l, F.col("c")), 6).alias("length"))
 
 
-@_query(f"with {CLOUD} select a.atom as first, b.atom as second, round(sqrt({D2}), 6) as distance from p a join p b on a.atom < b.atom and a.residue = 3 and b.residue = 3")
+@_query(f"with {CLOUD} select a.residue, a.atom as first, b.atom as second, round(sqrt({D2}), 6) as distance from p a join p b on a.atom < b.atom and a.residue = b.residue")
 def distance_matrix(spark, sf):
-    return geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3")).select("first", "second", _r("distance"))
+    return _by_residue(spark, sf).select("residue", "first", "second", _r("distance"))
+
+
+def _by_residue(spark, sf):
+    return geometry.distance_matrix(model.cloud(spark, sf), ["residue"])
 
 
 _AB = "sqrt(sum({w}((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)))/{n})"
@@ -368,10 +372,9 @@ def dbscan(spark, sf):
     return trajectory.dbscan(model.cloud(spark, sf), 0.06, 4)
 
 
-@_query(f"with {CLOUD}, d as (select a.atom as item, sum(sqrt({D2})) as total from p a join p b on a.atom <> b.atom and a.residue = 3 and b.residue = 3 group by 1) select item, round(total, 5) as total from d order by round(total, 9), item limit 1")
+@_query(f"with {CLOUD}, d as (select a.residue, a.atom as item, sum(sqrt({D2})) as total from p a join p b on a.atom <> b.atom and a.residue = b.residue group by 1, 2), o as (select *, row_number() over (partition by residue order by round(total, 9), item) as k from d) select residue, item, round(total, 5) as total from o where k = 1")
 def medoid(spark, sf):
-    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3"))
-    return trajectory.medoid(d).select("item", F.round("total", 5).alias("total"))
+    return trajectory.medoid(_by_residue(spark, sf), ["residue"]).select("residue", "item", F.round("total", 5).alias("total"))
 
 
 @_query("with a as (select event_type, count(*) as n from events where user_id % 2 = 0 group by 1), b as (select event_type, count(*) as n from events where user_id % 2 = 1 group by 1), j as (select coalesce(a.n, 0) / (select sum(n) from a) as p, coalesce(b.n, 0) / (select sum(n) from b) as q from a full join b on a.event_type = b.event_type) select round(1 - sum((case when p > 0 then p * ln(2 * p / (p + q)) else 0 end + case when q > 0 then q * ln(2 * q / (p + q)) else 0 end) / 2) / ln(2), 6) as similarity from j")
@@ -389,9 +392,7 @@ def principal_components(spark, sf):
 
 @_query()
 def diffusion_map(spark, sf):
-    c = model.cloud(spark, sf).where("residue = 3")
-    items = [r.atom for r in c.select("atom").orderBy("atom").collect()]
-    return trajectory.diffusion_map(geometry.distance_matrix(c), items, 0.1, 2)
+    return trajectory.diffusion_map(_by_residue(spark, sf), ["residue"], 0.1, 2)
 
 
 # --- validation ---------------------------------------------------------------------------------
@@ -696,14 +697,12 @@ def alignments(spark, sf):
 
 @_query()
 def upgma(spark, sf):
-    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3 and atom < 200")).withColumn("set", F.lit(3))
-    return sequence.tree(d, ["set"])
+    return sequence.tree(_by_residue(spark, sf), ["residue"])
 
 
 @_query()
 def neighbour_joining(spark, sf):
-    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3 and atom < 200")).withColumn("set", F.lit(3))
-    return sequence.tree(d, ["set"], "nj")
+    return sequence.tree(_by_residue(spark, sf), ["residue"], "nj")
 
 
 @_query(f"with {ATOMS}, d as (select distinct chain_index, resid as n from a), r as (select chain_index, n, n - row_number() over (partition by chain_index order by n) as run from d), g as (select chain_index, min(n) as lo, max(n) as hi from r group by chain_index, run) select chain_index, string_agg(case when lo = hi then lo::varchar else lo::varchar || '-' || hi::varchar end, ',' order by lo) as ranges from g group by 1")
@@ -743,9 +742,14 @@ def graph_edges(spark, sf):
     return dataset.graph_edges(spatial.pairs_within(model.cloud(spark, sf), 0.15), symmetric=True)
 
 
-@_query("with s as (select l_orderkey as id, l_partkey % 40 as bit from lineitem where l_orderkey < 3000 group by 1, 2), n as (select id, count(*) as n from s group by 1), o as (select a.id as first, b.id as second, count(*) as c from s a join s b on a.bit = b.bit and a.id < b.id group by 1, 2) select first, second, round(c / (x.n + y.n - c), 6) as similarity from o join n x on first = x.id join n y on second = y.id where c / (x.n + y.n - c) >= 0.6")
+def _bit_sets(spark, sf):
+    """Sets of bits out of 1,024: the parts of each order."""
+    return read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 1024).alias("bits"))
+
+
+@_query("with s as (select l_orderkey as id, l_partkey % 1024 as bit from lineitem group by 1, 2), n as (select id, count(*) as n from s group by 1), o as (select a.id as first, b.id as second, count(*) as c from s a join s b on a.bit = b.bit and a.id < b.id group by 1, 2) select first, second, round(c / (x.n + y.n - c), 6) as similarity from o join n x on first = x.id join n y on second = y.id where c / (x.n + y.n - c) >= 0.6")
 def tanimoto(spark, sf):
-    f = read(spark, sf, "lineitem").where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("bits"))
+    f = _bit_sets(spark, sf)
     return dataset.tanimoto(f, 0.6).select("first", "second", _r("similarity"))
 
 
@@ -787,6 +791,19 @@ def missing_atoms(spark, sf):
     return chemistry.missing_atoms(*_expected(spark, sf))
 
 
+@_query()
+def tm_score_search(spark, sf):
+    """One pair of conformations for each residue."""
+    c = model.cloud(spark, sf)
+    return compare.tm_score_search(c, model.moved(c), ["residue"])
+
+
+@_query()
+def gdt_search(spark, sf):
+    c = model.cloud(spark, sf)
+    return compare.gdt_search(c, model.moved(c), (0.01, 0.02, 0.03), ["residue"])
+
+
 @_query()
 def circular_fingerprint(spark, sf):
     a = model.atoms(spark, sf).select(F.col("residue_index").alias("molecule"), F.col("atom_index").alias("atom"), F.col("element_symbol").alias("element"))
@@ -795,7 +812,7 @@ def circular_fingerprint(spark, sf):
 
 @_query()
 def butina(spark, sf):
-    f = read(spark, sf, "lineitem").where("l_orderkey < 1000").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 40).alias("bits"))
+    f = _bit_sets(spark, sf)
     return chemistry.butina(dataset.tanimoto(f, 0.5), f)
 
 
@@ -869,11 +886,11 @@ def hydrogen_bond_energies(spark, sf):
     return _energies(spark, sf).select("donor", "acceptor", F.round("energy", 4).alias("energy"))
 
 
-_HB = "hb as (select l_partkey % 400 as donor, l_suppkey % 100 + l_partkey % 300 as acceptor from lineitem where l_orderkey % 3 = 0 group by 1, 2)"
+_HB = "hb as (select l_partkey % 400 as donor, l_suppkey % 100 + l_partkey % 300 as acceptor from lineitem group by 1, 2)"
 
 
 def _bonds_of_residues(spark, sf):
-    l = read(spark, sf, "lineitem").where("l_orderkey % 3 = 0")  # noqa: E741
+    l = read(spark, sf, "lineitem")  # noqa: E741
     return l.select((F.col("l_partkey") % 400).alias("donor"), (F.col("l_suppkey") % 100 + F.col("l_partkey") % 300).alias("acceptor")).distinct()
 
 
@@ -1047,7 +1064,7 @@ _QW = "case when {d} <= 0.05::double then 1.0::double else exp(-2 * power(({d} -
 @_query(f"with {CLOUD}, {MOVED}, r as (select a.atom as f, b.atom as s, sqrt({D2}) as dr from p a join p b on a.atom < b.atom and {D2} <= 0.0225::double), n as (select a.atom as f, b.atom as s, sqrt({D2}) as dm from m a join m b on a.atom < b.atom and {D2} <= 0.0225::double), j as (select r.dr, n.dm from (select * from r where dr < 0.12::double) r full join (select * from n where dm < 0.12::double) n on r.f = n.f and r.s = n.s), w as (select *, case when dr is not null and dm is not null then {_QW.format(d='least(dr, dm)')} else {_QW.format(d='coalesce(dr, dm)')} end as w from j) select round(sum(case when dr is not null and dm is not null then w * (1 - abs(dr - dm) / 0.12::double) else 0 end) / sum(w), 6) as qs from w")
 def qs_score(spark, sf):
     c = model.cloud(spark, sf)
-    return compare.qs_score(spatial.pairs_within(c, 0.15), spatial.pairs_within(model.moved(c), 0.15), 0.12, 0.05).select(_r("qs"))
+    return compare.qs_score(spatial.pairs_within(c, 0.15), spatial.pairs_within(model.moved(c), 0.15), 0.12, 0.05, 0.12).select(_r("qs"))
 
 
 @_query(f"with {CLOUD}, {PAIRS}, m as (select distinct least(ra, rb) as a, greatest(ra, rb) as b from q where ra <> rb) select round(avg(abs(a - b)) / 10, 6) as relative from m")
@@ -1132,8 +1149,7 @@ def harmonic_similarity(spark, sf):
 
 @_query()
 def agglomerative(spark, sf):
-    d = geometry.distance_matrix(model.cloud(spark, sf).where("residue = 3")).withColumn("set", F.lit(3))
-    return networks.agglomerative(d, ["set"], 0.12)
+    return networks.agglomerative(_by_residue(spark, sf), ["residue"], 0.12)
 
 
 @_query(f"with {CLOUD}, c as (select a.residue as frame, count(*) as n from p a join p b on a.residue = b.residue and a.atom < b.atom and {D2} <= 0.1::double * 0.1::double group by 1) select distinct p.residue as frame, coalesce(n, 0) as contacts from p left join c on p.residue = c.frame")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ def tm_d0(length: Column) -> Column:
 
 
 def tm_score(reference: DataFrame, model: DataFrame) -> DataFrame:
-    """(tm, atoms) of conformations that are superposed already."""
+    """(tm, atoms) of conformations that are superposed already; ``tm_score_search`` looks for the superposition."""
     n = reference.agg(F.count("*").alias("n"))
     d = _both(reference, model).join(F.broadcast(n))
     d0 = tm_d0(F.col("n"))
@@ -28,12 +32,148 @@ def tm_score(reference: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def gdt(reference: DataFrame, model: DataFrame, cutoffs=(1.0, 2.0, 4.0, 8.0)) -> DataFrame:
-    """(cutoff, fraction) of atoms within each cutoff."""
+    """(cutoff, fraction) of atoms within each cutoff as they lie; ``gdt_search`` looks for superpositions."""
     d = _both(reference, model)
     one = d.agg(F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.avg((F.col("d") <= c).cast("double")).alias("fraction")) for c in cutoffs]).alias("r"))
     return one.select(F.explode("r").alias("r")).select("r.*")
 
 
+def _kabsch(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation and translation that bring ``p`` on ``q``."""
+    cp, cq = p.mean(axis=0), q.mean(axis=0)
+    u, _, vt = np.linalg.svd((p - cp).T @ (q - cq))
+    r = (u * [1, 1, np.sign(np.linalg.det(u @ vt)) or 1.0]) @ vt
+    return r, cq - cp @ r
+
+
+def _poses(p: np.ndarray, q: np.ndarray, reach: float, least: int = 4, rounds: int = 20) -> Iterator[np.ndarray]:
+    """Distances after superpositions that start from runs of atoms and are fitted again to what comes within ``reach``."""
+    n, length = len(p), len(p)
+    while True:
+        for start in range(0, n - length + 1, max(1, length // 2)):
+            at = np.arange(start, start + length)
+            for _ in range(rounds):
+                r, t = _kabsch(p[at], q[at])
+                d = np.sqrt((((p @ r + t) - q) ** 2).sum(axis=1))
+                yield d
+                near, wide = np.flatnonzero(d < reach), reach
+                while len(near) < min(3, n):
+                    wide += 0.5
+                    near = np.flatnonzero(d < wide)
+                if len(near) == len(at) and (near == at).all():
+                    break
+                at = near
+        if length <= least:
+            return
+        length = max(least, length // 2)
+
+
+def _matched(reference: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both; an atom that one side lacks has nulls there."""
+    a = reference.select(*keys, "atom", *[F.col(c).cast("double").alias(f"a_{c}") for c in "xyz"])
+    b = model.select(*keys, "atom", *[F.col(c).cast("double").alias(f"b_{c}") for c in "xyz"])
+    return a.join(b, [*keys, "atom"], "full")
+
+
+def _searched(reference: DataFrame, model: DataFrame, keys: list[str], schema: str, score) -> DataFrame:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("atom")
+        if pdf[["a_x", "b_x"]].isna().any().any():
+            raise ValueError(f"{int(pdf[['a_x', 'b_x']].isna().any(axis=1).sum())} atoms have no partner; map them first")
+        q, p = pdf[["a_x", "a_y", "a_z"]].to_numpy(), pdf[["b_x", "b_y", "b_z"]].to_numpy()
+        rows = score(p, q)
+        return pd.DataFrame([[*pdf[keys].iloc[0], *r] for r in rows], columns=[*keys, *(c.split()[0] for c in schema.split(", "))])
+
+    kinds = dict(reference.dtypes)
+    return _matched(reference, model, keys).groupBy(*keys).applyInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema]))
+
+
+def tm_score_search(reference: DataFrame, model: DataFrame, keys=()) -> DataFrame:
+    """(keys, tm, atoms): the highest TM score that a seeded search of superpositions finds.
+
+    A pair of structures is a group of ``keys`` and one task's work. Atoms without a partner are an error.
+    """
+
+    def score(p: np.ndarray, q: np.ndarray) -> list[tuple]:
+        n = len(p)
+        d0 = max(0.5, 1.24 * np.cbrt(n - 15) - 1.8) if n > 21 else 0.5
+        best = max((float((1 / (1 + (d / d0) ** 2)).sum() / n) for d in _poses(p, q, float(np.clip(d0, 4.5, 8.0)))), default=0.0)
+        return [(best, n)]
+
+    return _searched(reference, model, list(keys), "tm double, atoms long", score)
+
+
+#: The cutoffs of the total and of the high-accuracy score.
+GDT_TS, GDT_HA = (1.0, 2.0, 4.0, 8.0), (0.5, 1.0, 2.0, 4.0)
+
+
+def gdt_search(reference: DataFrame, model: DataFrame, cutoffs=GDT_TS, keys=()) -> DataFrame:
+    """(keys, cutoff, fraction, score): for each cutoff the largest share of atoms that a superposition brings within it; score is their mean."""
+
+    def score(p: np.ndarray, q: np.ndarray) -> list[tuple]:
+        best = [0.0] * len(cutoffs)
+        for reach in cutoffs:
+            for d in _poses(p, q, float(reach)):
+                best = [max(b, float((d <= c).mean())) for b, c in zip(best, cutoffs, strict=True)]
+        return [(float(c), b, float(np.mean(best))) for c, b in zip(cutoffs, best, strict=True)]
+
+    return _searched(reference, model, list(keys), "cutoff double, fraction double, score double", score)
+
+
+def map_chains(scores: DataFrame) -> DataFrame:
+    """(reference, model, score): one chain for one, with the largest total of pair scores (pair, reference, model, score), by ``pair``.
+
+    One assignment problem over the chains of a pair of structures, in a task of its own.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = sorted(set(pdf["reference"])), sorted(set(pdf["model"]))
+        value = {(r, c): s for r, c, s in zip(pdf["reference"], pdf["model"], pdf["score"], strict=True)}
+        cost = np.array([[-value.get((r, c), 0.0) for c in cols] for r in rows])
+        turned = len(rows) > len(cols)
+        at = _assignment(cost.T if turned else cost)
+        pairs = [(int(i), int(j)) for j, i in enumerate(at)] if turned else [(i, int(j)) for i, j in enumerate(at)]
+        out = [(pdf["pair"].iloc[0], rows[i], cols[j], value[rows[i], cols[j]]) for i, j in sorted(pairs) if value.get((rows[i], cols[j]), 0.0) > 0]
+        return pd.DataFrame(out, columns=["pair", "reference", "model", "score"])
+
+    kinds = dict(scores.dtypes)
+    return scores.groupBy("pair").applyInPandas(solve, f"pair {kinds['pair']}, reference {kinds['reference']}, model {kinds['model']}, score double")
+
+
+def _assignment(cost: np.ndarray) -> np.ndarray:
+    """Column of each row at least total cost, by shortest augmenting paths with potentials; not more rows than columns."""
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for row in range(n):
+        least, before, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
+        i, j = row, -1
+        while True:
+            open_ = ~done
+            d = cost[i] - u[i] - v
+            better = open_ & (d < least)
+            least[better], before[better] = d[better], j
+            k = int(np.flatnonzero(open_)[np.argmin(least[open_])])
+            delta = least[k]
+            u[row] += delta
+            for c in np.flatnonzero(done):
+                u[owner[c]] += delta
+                v[c] -= delta
+            least[open_] -= delta
+            done[k], j = True, k
+            if owner[k] < 0:
+                break
+            i = owner[k]
+        while j >= 0:
+            back = before[j]
+            owner[j] = row if back < 0 else owner[back]
+            j = back
+    out = np.full(n, -1)
+    for c, r in enumerate(owner):
+        if r >= 0:
+            out[r] = c
+    return out
+
+
 def distance_difference(reference: DataFrame, model: DataFrame, radius: float, minimum: float = 0.0, tolerances=(0.5, 1.0, 2.0, 4.0)) -> DataFrame:
     """(score, pairs): share of reference distances in (minimum, radius] kept within each tolerance, averaged.
 
@@ -89,11 +229,12 @@ def local_distance_test(reference: DataFrame, model: DataFrame, radius: float, t
     return ends.groupBy("residue").agg(F.avg("k").alias("score"), F.count("*").alias("pairs"))
 
 
-def qs_score(reference: DataFrame, model: DataFrame, cutoff: float = 12.0, near: float = 5.0) -> DataFrame:
+def qs_score(reference: DataFrame, model: DataFrame, cutoff: float = 12.0, near: float = 5.0, scale: float = 12.0) -> DataFrame:
     """(qs) of contacts between chains (first, second, distance) strictly closer than ``cutoff``.
 
     A contact weighs 1 within ``near`` and falls as a Gaussian beyond; shared contacts count by how
-    alike the two distances are, contacts of one side alone count against.
+    alike the two distances are, on a scale that is fixed whatever the cutoff; contacts of one side alone
+    count against.
     """
     weight = lambda d: F.when(d <= near, F.lit(1.0)).otherwise(F.exp(-2 * F.pow((d - near) / F.lit(4.28), F.lit(2))))
     r = reference.where(F.col("distance") < cutoff).select("first", "second", F.col("distance").alias("dr"))
@@ -101,7 +242,7 @@ def qs_score(reference: DataFrame, model: DataFrame, cutoff: float = 12.0, near:
     j = r.join(m, ["first", "second"], "full")
     both = F.col("dr").isNotNull() & F.col("dm").isNotNull()
     w = F.when(both, weight(F.least("dr", "dm"))).otherwise(weight(F.coalesce("dr", "dm")))
-    alike = F.when(both, w * (1 - F.abs(F.col("dr") - F.col("dm")) / F.lit(cutoff))).otherwise(0.0)
+    alike = F.when(both, w * (1 - F.abs(F.col("dr") - F.col("dm")) / F.lit(scale))).otherwise(0.0)
     return j.agg(F.try_divide(F.sum(alike), F.sum(w)).alias("qs"))
 
 

@@ -182,10 +182,21 @@ def best_plane(points: DataFrame, keys=()) -> DataFrame:
     return e.select(*keys, F.sqrt(F.greatest(F.lit(0.0), F.col("c"))).alias("deviation"))
 
 
-def distance_matrix(points: DataFrame, limit: int = 5000) -> DataFrame:
-    """(first, second, distance) of all pairs. Quadratic by definition, so sets over ``limit`` are refused."""
-    if points.limit(limit + 1).count() > limit:
-        raise ValueError(f"a distance matrix of more than {limit} points is refused; use pairs_within")
-    a = points.select(F.col("atom").alias("first"), vec("x", "y", "z").alias("p"))
-    b = points.select(F.col("atom").alias("second"), vec("x", "y", "z").alias("q"))
-    return a.join(F.broadcast(b), F.col("first") < F.col("second")).select("first", "second", distance(F.col("p"), F.col("q")).alias("distance"))
+#: Points in a block of a distance matrix.
+BLOCK = 1024
+
+
+def distance_matrix(points: DataFrame, keys=()) -> DataFrame:
+    """(keys, first, second, distance) of all pairs with the same keys, first < second.
+
+    Quadratic by definition, but in blocks: points are dealt to blocks by hash and each pair of blocks is a
+    task's work of bounded size, so a set of any size is spread over the cluster.
+    """
+    keys = list(keys)
+    size = points.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_n"))
+    p = points.select(*keys, "atom", vec("x", "y", "z").alias("p"))
+    p = (p.join(size, keys) if keys else p.join(F.broadcast(size))).withColumn("_b", F.pmod(F.xxhash64("atom"), F.col("_n")))  # one row where there are no keys
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    a = p.select(*keys, F.col("_b").alias("_i"), every.alias("_j"), F.col("atom").alias("first"), F.col("p"))
+    b = p.select(*keys, every.alias("_i"), F.col("_b").alias("_j"), F.col("atom").alias("second"), F.col("p").alias("q"))
+    return a.join(b, [*keys, "_i", "_j"]).where("first < second").select(*keys, "first", "second", distance(F.col("p"), F.col("q")).alias("distance"))

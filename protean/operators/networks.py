@@ -113,8 +113,12 @@ def hausdorff(first: DataFrame, second: DataFrame, coords=("x", "y", "z"), reach
     return one.union(two).agg(F.max("d").alias("hausdorff"))
 
 
-def harmonic_similarity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """(divergence): symmetric Gaussian divergence of two ensembles of wide rows, from their means and covariances."""
+def harmonic_similarity(a: DataFrame, b: DataFrame, columns: list[str], ridge: float = 1e-6) -> DataFrame:
+    """(mean_term, covariance_term, distance, similarity) of two ensembles of wide rows as Gaussians.
+
+    The Bhattacharyya distance of their means and sample covariances, to whose diagonals ``ridge`` is
+    added, and exp(-distance). Moments are one pass of partial sums each.
+    """
 
     def moments(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
@@ -122,12 +126,17 @@ def harmonic_similarity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataF
         m = np.zeros((len(columns), len(columns)))
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"c_{i}_{j}"] or 0.0
-        return np.array([r[f"m_{i}"] for i in range(len(columns))]), m
+        return np.array([r[f"m_{i}"] for i in range(len(columns))]), m + ridge * np.eye(len(columns))
 
     (ma, ca), (mb, cb) = moments(a), moments(b)
-    ia, ib, d = np.linalg.pinv(ca), np.linalg.pinv(cb), ma - mb
-    v = 0.25 * (d @ (ia + ib) @ d + np.trace(ca @ ib + ia @ cb - 2 * np.eye(len(columns))))
-    return a.sparkSession.createDataFrame([(float(v),)], "divergence double")
+    both, d = (ca + cb) / 2, ma - mb
+    dets = [np.linalg.slogdet(x) for x in (both, ca, cb)]
+    if any(sign <= 0 for sign, _ in dets):
+        raise ValueError("a covariance is not positive definite; raise the ridge")
+    mean_term = float(d @ np.linalg.solve(both, d)) / 8
+    covariance_term = 0.5 * (dets[0][1] - (dets[1][1] + dets[2][1]) / 2)
+    distance = float(max(0.0, mean_term + covariance_term))
+    return a.sparkSession.createDataFrame([(mean_term, float(covariance_term), distance, float(np.exp(-distance)))], "mean_term double, covariance_term double, distance double, similarity double")
 
 
 def agglomerative(distances: DataFrame, keys: list[str], threshold: float, method: str = "average", limit: int = 2000) -> DataFrame:

@@ -127,10 +127,12 @@ def dbscan(points: DataFrame, radius: float, minimum: int) -> DataFrame:
     return out.select(F.col("a").alias("atom"), F.col("cluster").isNotNull().alias("core"), F.coalesce("cluster", "near").alias("cluster"))
 
 
-def medoid(distances: DataFrame) -> DataFrame:
-    """(item, total): the item with the least sum of distances (first, second, distance); ties to the smallest."""
-    ends = distances.select(F.explode(F.array(F.struct(F.col("first").alias("item"), "distance"), F.struct(F.col("second").alias("item"), "distance"))).alias("e")).select("e.*")
-    return ends.groupBy("item").agg(F.sum("distance").alias("total")).orderBy(F.round("total", 9), "item").limit(1)
+def medoid(distances: DataFrame, keys=()) -> DataFrame:
+    """(keys, item, total): the item with the least sum of distances (keys, first, second, distance); ties to the smallest."""
+    ends = distances.select(*keys, F.explode(F.array(F.struct(F.col("first").alias("item"), "distance"), F.struct(F.col("second").alias("item"), "distance"))).alias("e")).select(*keys, "e.*")
+    totals = ends.groupBy(*keys, "item").agg(F.sum("distance").alias("total"))
+    best = totals.groupBy(*keys).agg(F.min(F.struct(F.round("total", 9).alias("r"), "item", "total")).alias("b"))
+    return best.where("b is not null").select(*keys, "b.item", "b.total")
 
 
 def population_similarity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -164,20 +166,28 @@ def principal_components(frames: DataFrame, columns: list[str], k: int) -> DataF
     return frames.sparkSession.createDataFrame(out, "component int, variance double, share double, vector array<double>")
 
 
-def diffusion_map(distances: DataFrame, items: list, epsilon: float, k: int, time: float = 1.0, limit: int = 2000) -> DataFrame:
-    """(item, component, value) of exp(-d^2 / epsilon); a small dense problem, so ``limit`` items at most."""
-    if len(items) > limit:
-        raise ValueError(f"more than {limit} items")
-    at = {v: i for i, v in enumerate(items)}
-    m = np.eye(len(items))
-    for r in distances.select("first", "second", "distance").collect():
-        m[at[r.first], at[r.second]] = m[at[r.second], at[r.first]] = np.exp(-(r.distance**2) / epsilon)
-    d = m.sum(axis=1)
-    value, vector = np.linalg.eigh(m / np.sqrt(np.outer(d, d)))
-    order = np.argsort(-value)[1 : k + 1]
-    out = []
-    for c, i in enumerate(order):
-        v = vector[:, i] / np.sqrt(d)
-        v = v * (1 if v[np.argmax(np.abs(v))] >= 0 else -1) * value[i] ** time
-        out += [(item, c, float(x)) for item, x in zip(items, v, strict=True)]
-    return distances.sparkSession.createDataFrame(pd.DataFrame(out, columns=["item", "component", "value"]))
+def diffusion_map(distances: DataFrame, keys: list[str], epsilon: float, k: int, time: float = 1.0, limit: int = 5000) -> DataFrame:
+    """(keys, item, component, value) of exp(-d^2 / epsilon) over distances (keys, first, second, distance).
+
+    One dense eigenproblem for each group, in a task of its own and never on the driver; groups of more
+    than ``limit`` items (200 MB of numbers) are refused.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = np.unique(np.concatenate([pdf["first"].to_numpy(), pdf["second"].to_numpy()]))
+        if len(items) > limit:
+            raise ValueError(f"{len(items)} items are over the limit of {limit}")
+        i, j = np.searchsorted(items, pdf["first"]), np.searchsorted(items, pdf["second"])
+        m = np.eye(len(items))
+        m[i, j] = m[j, i] = np.exp(-(pdf["distance"].to_numpy() ** 2) / epsilon)
+        d = m.sum(axis=1)
+        value, vector = np.linalg.eigh(m / np.sqrt(np.outer(d, d)))
+        out = []
+        for c, e in enumerate(np.argsort(-value)[1 : k + 1]):
+            v = vector[:, e] / np.sqrt(d)
+            v = v * (1 if v[np.argmax(np.abs(v))] >= 0 else -1) * value[e] ** time
+            out.append(pd.DataFrame({**{key: pdf[key].iloc[0] for key in keys}, "item": items, "component": c, "value": v}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "item", "component", "value"])
+
+    kinds = dict(distances.dtypes)
+    return distances.groupBy(*keys).applyInPandas(solve, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f"{', ' if keys else ''}item {kinds['first']}, component int, value double")

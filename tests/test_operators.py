@@ -211,3 +211,103 @@ def test_progressive_msa(spark):
     got = sequence.progressive_msa(spark.createDataFrame(rows, "g int, name string, sequence string"), ["g"]).collect()
     by = {(r.g, r.name): r.aligned for r in got}
     assert by == {(1, "a"): "ACDEFGHIKL", (1, "b"): "-CDEFGHIKL", (1, "c"): "ACDEFG-IKL", (2, "x"): "MMM"}
+
+
+def test_alignment_by_matrix_and_band(spark):
+    matrix = sequence.parse_matrix("# a small table\n   A  C  G  X\nA  4 -1  0 -2\nC -1  5 -3 -2\nG  0 -3  6 -2\nX -2 -2 -2 -1\n")
+    rows = [(1, "ACGGA", "ACGA"), (2, "GATTACA", "GCATGCA"), (3, "A", "A"), (4, "CCC", "GGG"), (5, None, "A")]
+    d = spark.createDataFrame(rows, "id int, s string, t string")
+
+    def gotoh(a, b, score, opening, extend):
+        low = float("-inf")
+        h, f = [0.0] + [-opening - j * extend for j in range(len(b))], [low] * (len(b) + 1)
+        for i, x in enumerate(a):
+            row, e = [-opening - i * extend], low
+            for j, y in enumerate(b, 1):
+                f[j] = max(h[j] - opening, f[j] - extend)
+                e = max(row[j - 1] - opening, e - extend)
+                row.append(max(h[j - 1] + score(x, y), e, f[j]))
+            h = row
+        return h[-1]
+
+    of = lambda x, y: matrix[x if (x, x) in matrix else "X", y if (y, y) in matrix else "X"]
+    got = d.select("id", sequence.align("global", matrix=matrix, opening=5.0, extend=1.0)("s", "t").alias("a"), sequence.global_score(matrix=matrix, opening=5.0, extend=1.0)("s", "t").alias("g"), sequence.align("global", band=4)("s", "t").alias("b"), sequence.global_score()("s", "t").alias("p")).collect()
+    for (_, s, t), r in zip(rows, sorted(got), strict=True):
+        if s is None:
+            assert r.g is None and r.a.score is None
+            continue
+        want = gotoh(s, t, of, 5.0, 1.0)
+        assert r.a.score == want == r.g and (r.a.left.replace("-", ""), r.a.right.replace("-", "")) == (s, t)
+        assert r.p == gotoh(s, t, lambda x, y: 1 if x == y else -1, 2.0, 1.0) == r.b.score
+    w = spark.createDataFrame([("AC",), ("GG",), ("AZ",)], "kmer string")
+    got = [tuple(r) for r in sequence.similar_kmers(w, "ACG", matrix, 5).collect()]
+    want = [(k, a + b, float(matrix[k[0], a] + matrix[k[1], b])) for k in ("AC", "GG") for a in "ACG" for b in "ACG" if matrix[k[0], a] + matrix[k[1], b] >= 5]
+    assert sorted(got) == sorted(want)
+    q = spark.createDataFrame([(1, "TTACGTA"), (2, "GGGG")], "id int, sequence string")
+    r = spark.createDataFrame([(7, "CCACGTC"), (8, "TTTT")], "id int, sequence string")
+    assert [(x.query, x.reference, x.score, x.left) for x in sequence.seed_and_extend(q, r, 4).collect()] == [(1, 7, 4.0, "ACGT")]
+
+
+def test_positions_and_distance_faults(spark):
+    v = spark.createDataFrame([(1, "A"), (2, "C"), (9, "G")], "number int, wild string")
+    c = spark.createDataFrame([(2, "A"), (3, "D")], "number int, letter string")
+    assert {r.number: r.state for r in sequence.map_positions(v, c, 1).collect()} == {1: "matched", 2: "mismatched", 9: "absent"}
+    d = spark.createDataFrame([(1, 1, 0.0), (1, 2, 3.0), (2, 1, 3.5), (2, 2, 1.0), (1, 3, -1.0), (3, 1, float("nan")), (4, 1, 2.0)], "first int, second int, distance double")
+    assert {(r.first, r.second): r.fault for r in sequence.distance_faults(d).collect()} == {(1, 2): "asymmetric", (2, 1): "asymmetric", (2, 2): "diagonal", (1, 3): "negative", (3, 1): "not finite", (4, 1): "missing"}
+
+
+def test_superposition_searches(spark):
+    rng = np.random.default_rng(4)
+    p = np.cumsum(rng.normal(size=(60, 3)) * 2.2, axis=0)
+    a = 0.9
+    turn = np.array([[math.cos(a), -math.sin(a), 0], [math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    moved = p @ turn + [5, -3, 2]
+    bent = moved.copy()
+    bent[45:] += [40, 0, 0]
+    ref, whole, part = cloud(spark, p), cloud(spark, moved), cloud(spark, bent)
+    assert compare.tm_score(ref, whole).first().tm < 0.5
+    r = compare.tm_score_search(ref, whole).first()
+    assert r.tm == pytest.approx(1.0) and r.atoms == 60
+    assert 0.74 < compare.tm_score_search(ref, part).first().tm < 0.85
+    g = compare.gdt_search(ref, part, compare.GDT_HA).collect()
+    assert all(x.fraction >= 0.75 for x in g) and g[0].score == pytest.approx(np.mean([x.fraction for x in g]))
+    with pytest.raises(Exception, match="no partner"):
+        compare.tm_score_search(ref, part.where("atom > 0")).collect()
+    keyed = compare.tm_score_search(ref.withColumn("k", F.lit("x")).union(ref.withColumn("k", F.lit("y"))), whole.withColumn("k", F.lit("x")).union(part.withColumn("k", F.lit("y"))), ["k"]).collect()
+    assert {x.k for x in keyed} == {"x", "y"}
+
+
+def test_chain_assignment_against_all_permutations(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, f"r{i}", f"m{j}", float(v)) for s, (n, m) in enumerate([(4, 4), (3, 5), (5, 3)]) for i in range(n) for j, v in enumerate(rng.random(m))]
+    got = compare.map_chains(spark.createDataFrame(rows, "pair int, reference string, model string, score double")).collect()
+    for s, (n, m) in enumerate([(4, 4), (3, 5), (5, 3)]):
+        v = {(r[1], r[2]): r[3] for r in rows if r[0] == s}
+        few, many = min(n, m), max(n, m)
+        best = max(sum(v[(f"r{i}", f"m{j}") if n <= m else (f"r{j}", f"m{i}")] for i, j in enumerate(c)) for c in itertools.permutations(range(many), few))
+        mine = [r for r in got if r.pair == s]
+        assert sum(r.score for r in mine) == pytest.approx(best) and len({r.reference for r in mine}) == len({r.model for r in mine}) == few
+
+
+def test_distance_matrix_in_blocks(spark, monkeypatch):
+    p = np.random.default_rng(0).normal(size=(50, 3))
+    d = cloud(spark, p).withColumn("k", F.col("atom") % 3)
+    monkeypatch.setattr(geometry, "BLOCK", 5)
+    got = {(r.first, r.second): r.distance for r in geometry.distance_matrix(d, ["k"]).collect()}
+    assert got == {(i, j): pytest.approx(math.dist(p[i], p[j])) for i, j in itertools.combinations(range(50), 2) if i % 3 == j % 3}
+    assert geometry.distance_matrix(d).count() == 50 * 49 // 2
+    m = {r.k: r.item for r in trajectory.medoid(geometry.distance_matrix(d, ["k"]), ["k"]).collect()}
+    assert m == {k: min(range(k, 50, 3), key=lambda i: sum(math.dist(p[i], p[j]) for j in range(k, 50, 3))) for k in range(3)}
+
+
+def test_harmonic_similarity_is_the_bhattacharyya_one(spark):
+    from protean.operators import networks
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 3)), rng.normal(size=(150, 3)) @ np.diag([1, 2, 0.5]) + [1, 0, 0]
+    r = networks.harmonic_similarity(cloud(spark, x), cloud(spark, y), ["x", "y", "z"], 0.01).first()
+    ca, cb = np.cov(x.T) + 0.01 * np.eye(3), np.cov(y.T) + 0.01 * np.eye(3)
+    m, d = (ca + cb) / 2, x.mean(0) - y.mean(0)
+    want = d @ np.linalg.inv(m) @ d / 8 + 0.5 * math.log(np.linalg.det(m) / math.sqrt(np.linalg.det(ca) * np.linalg.det(cb)))
+    assert r.distance == pytest.approx(want) and r.similarity == pytest.approx(math.exp(-want))
+    assert networks.harmonic_similarity(cloud(spark, x), cloud(spark, x), ["x", "y", "z"]).first().similarity == pytest.approx(1.0)

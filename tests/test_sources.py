@@ -115,3 +115,66 @@ def test_binary_containers(spark, tmp_path):
     assert binary.mtz_table((tmp_path / "a.mtz").read_bytes())[2] == (10, 20, 30, 90, 90, 90)
     with pytest.raises(Exception, match="DCD|records|lengths"):
         binary.read_dcd(spark, str(tmp_path / "a.mrc")).count()
+
+
+def test_exchange_odd_values_and_frames(spark):
+    from protean.sources import exchange
+    from protean.sources.structures import ATOMS
+    from pyspark.sql import functions as F
+
+    rows = [("s", 1, 0, "O5'", "it's \"odd\"", None), ("s", 1, 1, "C A", "data_x", ""), ("s", 1, 2, "_n", "a;b", "#"), ("s", 2, 0, "N", ";x", "?")]
+    a = spark.createDataFrame([(*r, 1.0 + i, 2.5, -3.25) for i, r in enumerate(rows)], "structure_id string, model int, atom_index long, atom_name string, label_comp_id string, altloc string, x double, y double, z double")
+    got = exchange.parsed(exchange.text_of(a, "cif"), "cif").orderBy("model", "atom_index").collect()
+    assert [(r.model, r.atom_index, r.atom_name, r.label_comp_id, r.x, r.y, r.z) for r in got] == [(r[1], r[2], r[3], r[4], 1.0 + i, 2.5, -3.25) for i, r in enumerate(rows)]
+    assert got[2].altloc == "#" and got[0].occupancy is None and got[0].element_symbol == ""
+    plain = a.withColumn("atom_name", F.lit("C")).withColumn("label_comp_id", F.lit("ALA"))
+    for kind in ("gro", "history", "txyz", "lammpstrj", "cif"):
+        r = exchange.parsed(exchange.text_of(plain, kind), kind).orderBy("model", "atom_index").collect()
+        assert [(x.model, x.atom_index, round(x.x, 3)) for x in r] == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 0, 4.0)]
+    one = plain.where("model = 1")
+    r = exchange.parsed(exchange.text_of(one, "mdcrd"), "mdcrd", atoms=3).orderBy("atom_index").collect()
+    assert [(x.x, x.y, x.z) for x in r] == [(1.0, 2.5, -3.25), (2.0, 2.5, -3.25), (3.0, 2.5, -3.25)]
+    assert exchange.text_of(plain.limit(0), "cif").count() == 0 and len(ATOMS) > 0
+    with pytest.raises(ValueError, match="unknown"):
+        exchange.text_of(plain, "nothing")
+
+
+def test_topologies_and_tables(spark, tmp_path):
+    from protean.sources import exchange
+
+    psf = "PSF\n\n       2 !NATOM\n 1 SEG 5 ALA N NH1 -0.47 14.007 0\n 2 SEG 5 ALA CA CT1 0.07 12.011 0\n\n       1 !NBOND\n 1 2\n"
+    top = "%VERSION x\n%FLAG POINTERS\n%FORMAT(10I8)\n       2       1\n%FLAG ATOM_NAME\n%FORMAT(20a4)\nN   CA  \n%FLAG CHARGE\n%FORMAT(5E16.8)\n  1.82223000E+01 -1.82223000E+01\n%FLAG RESIDUE_LABEL\n%FORMAT(20a4)\nALA \n%FLAG RESIDUE_POINTER\n%FORMAT(10I8)\n       1\n"
+    data = "title\n\n2 atoms\n\nAtoms # charge\n\n1 1 0.5 1.0 2.0 3.0\n2 1 -0.5 4.0 5.0 6.0\n\nVelocities\n\n1 0 0 0\n"
+    itp = "[ moleculetype ]\nX 3\n[ atoms ]\n; nr type resnr res atom cgnr charge\n1 C 1 ALA CA 1 0.25 12.0\n[ bonds ]\n1 2\n"
+    trc = "TIMESTEP\n1 0.5\nEND\nPOSITIONRED\n0.1 0.2 0.3\n#1\n0.4 0.5 0.6\nEND\n"
+    aims = "lattice_vector 2 0 0\nlattice_vector 0 2 0\nlattice_vector 0 0 2\natom_frac 0.5 0.5 0 Si # x\n"
+    t = lambda text: spark.createDataFrame([("a", text)], "structure_id string, value string")
+    names = lambda kind, text: [(r.atom_name, r.label_comp_id, r.charge) for r in exchange.parsed(t(text), kind).orderBy("atom_index").collect()]
+    assert names("psf", psf) == [("N", "ALA", -0.47), ("CA", "ALA", 0.07)] and list(exchange.psf_bonds(psf)) == [(0, 1)]
+    assert names("prmtop", top) == [("N", "ALA", pytest.approx(1.0)), ("CA", "ALA", pytest.approx(-1.0))]
+    assert [(r.x, r.charge) for r in exchange.parsed(t(data), "lammps").orderBy("atom_index").collect()] == [(1.0, 0.5), (4.0, -0.5)]
+    assert names("itp", itp) == [("CA", "ALA", 0.25)]
+    assert [round(r.y, 6) for r in exchange.parsed(t(trc), "trc").orderBy("atom_index").collect()] == [2.0, 5.0]
+    assert [(r.x, r.z, r.element_symbol) for r in exchange.parsed(t(aims), "aims").collect()] == [(1.0, 0.0, "SI")]
+    (tmp_path / "a.xvg").write_text("# c\n@ title\n0 1.5\n1 -2e3 4\n")
+    assert [list(r["values"]) for r in exchange.read_xvg(spark, str(tmp_path / "a.xvg")).orderBy("row").collect()] == [[0.0, 1.5], [1.0, -2000.0, 4.0]]
+    v = spark.createDataFrame([("m", i, float(i), 0.0, 1.0) for i in range(3)], "mesh string, vertex long, x double, y double, z double")
+    f = spark.createDataFrame([("m", 0, 1, 2)], "mesh string, a long, b long, c long")
+    assert exchange.obj_text(v, f).first().value.splitlines() == ["v 0.000000 0.000000 1.000000", "v 1.000000 0.000000 1.000000", "v 2.000000 0.000000 1.000000", "f 1 2 3"]
+    assert exchange.cif_table(t(CIF), "_entry").first()["items"] == {"id": "X"}
+
+
+def test_alignment_texts_and_variants(spark, tmp_path):
+    rows = [("f", 0, "one", "ACD-E"), ("f", 1, "two", "A-DGE")]
+    d = spark.createDataFrame(rows, "file string, at int, name string, sequence string")
+    for kind in ("clustal", "stockholm", "phylip", "a2m", "a3m"):
+        (tmp_path / f"x.{kind}").write_text(sequences.sequences_text(d, kind).first().value)
+        got = sequences.read_sequences(spark, str(tmp_path / f"x.{kind}"), kind).collect()
+        assert sorted((r.name, r.sequence) for r in got) == [("one", "ACD-E"), ("two", "A-DGE")]
+    for kind, bad in (("clustal", "A-DG"), ("a3m", "A-DG"), ("a2m", "A1DGE")):
+        with pytest.raises(Exception, match="differ|symbol"):
+            sequences.sequences_text(d.union(spark.createDataFrame([("f", 2, "x", bad)], d.schema)), kind).collect()
+    (tmp_path / "v.csv").write_text('variant,score,"a, b"\nA12G,0.5,1\nAla3Val:C4D,x,2\n\n')
+    v = sequences.read_variants(spark, str(tmp_path / "v.csv")).orderBy("row").collect()
+    assert [(r.wild, r.number, r.mutant, r.substitutions) for r in v] == [("A", 12, "G", 1), (None, None, None, 2)]
+    assert v[0]["values"] == {"score": 0.5, "a, b": 1.0} and v[1]["values"] == {"score": None, "a, b": 2.0}
