@@ -124,10 +124,16 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     return src.mapInArrow(trimmed(sketch), "id long, n long, k1 long, k2 long, bands array<long>")
 
 
+#: Bucket rows that one task makes; it counts them by key in memory.
+TASK_ROWS = 1 << 20
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
     """(key, node, n, lead, rows): rows of buckets with two nodes or more; lead is the bucket's smallest node."""
     pair = f"flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence({SIDE}, {2 * SIDE - 1}), j -> xxhash64(bands[i], bands[j]))))"
-    rows = nodes.select("node", "n", F.explode(F.expr(pair)).alias("key"))
+    # a reader gives a small table few tasks, each of which becomes SIDE * SIDE as large and would spill
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * SIDE * SIDE // TASK_ROWS)
+    rows = nodes.select("node", "n", "bands").repartition(tasks, "node").select("node", "n", F.explode(F.expr(pair)).alias("key"))
     many = rows.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("rows")).where("rows > 1")
     return rows.join(many.hint("merge"), "key")  # sizes are underrated behind an explode: not to be broadcast
 
