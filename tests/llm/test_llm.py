@@ -100,6 +100,77 @@ def test_pii_is_a_permutation(spark):
     assert all(datetime.date.fromisoformat(t) for t in out)
 
 
+def _pii_hash(key, kind, r, value):
+    return int(hashlib.sha256(f"{key}:{kind}:{r}:{value}".encode()).hexdigest()[:15], 16)
+
+
+def _pii_pair(key, kind, x, a, b):
+    left, right = divmod(x, b)
+    for r in range(1, 11):
+        if r % 2:
+            left = (left + _pii_hash(key, kind, r, right)) % a
+        else:
+            right = (right + _pii_hash(key, kind, r, left)) % b
+    return left * b + right
+
+
+def _pii_digits(key, kind, s):
+    half = len(s) // 2
+    move = lambda x, h: "".join(str((int(c) + _spark_hash(h, (j,))) % 10) for j, c in enumerate(x, 1))
+    for r in range(1, 11):
+        left, right = s[:half], s[half:]
+        s = move(left, _pii_hash(key, kind, r, right)) + right if r % 2 else left + move(right, _pii_hash(key, kind, r, left))
+    return s
+
+
+def _pii_twin(key, kind, t):
+    """The pseudonym by plain Python."""
+    import datetime
+
+    d = re.sub(r"\D", "", t)
+    if kind == "ip":
+        b = _pii_pair(key, kind, int.from_bytes(bytes(map(int, t.split(".")))), 65536, 65536)
+        return ".".join(map(str, b.to_bytes(4)))
+    if kind == "date":
+        day = datetime.date(int(t[:4]) % 400 + 2000, int(t[5:7]), int(t[8:])) - datetime.date(2000, 1, 1)
+        new = datetime.date(2000, 1, 1) + datetime.timedelta(_pii_pair(key, kind, day.days, 189, 773))
+        return f"{new.year - 2000 + 400 * (int(t[:4]) // 400):04d}{new:-%m-%d}"
+    if kind == "ssn":
+        area = int(d[:3])
+        b = _pii_pair(key, kind, ((area - 1 - (area > 666)) * 99 + int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, 898 * 99, 9999)
+        area = b // 989901 + 1
+        return f"{area + (area >= 666):03d}-{b // 9999 % 99 + 1:02d}-{b % 9999 + 1:04d}"
+    body = d[0] + _pii_digits(key, kind, d[1:-1])
+    return next(body + str(c) for c in range(10) if _luhn(body + str(c)))
+
+
+def test_pii_twin_and_odd_rows(spark):
+    values = [("ip", "10.1.2.3"), ("ip", "255.0.0.255"), ("date", "2001-02-03"), ("date", "1600-12-31"), ("ssn", "123-45-6789"), ("ssn", "899-01-0001"), ("card", "4111111111111111"), ("card", "378282246310005")]
+    rows = [(i, f"<{t}>") for i, (_, t) in enumerate(values)] + [(None, "x 10.1.2.3"), (0, "<10.1.2.3>"), (0, "<10.1.2.3>")]
+    got = pii.pseudonymise(docs(spark, rows), "k").collect()
+    assert len(got) == len(rows)
+    want = Counter((i, f"<{_pii_twin('k', kind, t)}>") for i, (kind, t) in enumerate(values))
+    want += Counter({(None, "x " + _pii_twin("k", "ip", "10.1.2.3")): 1, (0, f"<{_pii_twin('k', 'ip', '10.1.2.3')}>"): 2})
+    assert Counter((r.doc_id, r.text) for r in got) == want and pii.pseudonymise(docs(spark, rows).limit(0), "k").count() == 0
+
+
+def test_pii_written_forms(spark):
+    """Values in other written forms: found, valid again, linked where they are of one kind; what is none stays."""
+    forms = ["GB82 WEST 1234 5698 7654 32", "gb82west12345698765432", "GB82WEST12345698765432", "(212) 555-0134", "+1 212 555 0134", "212-555-0134", "+49 30 901820", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a",
+             "SSN 123456789", "123 45 6789", "4111.1111.1111.1111", "01/02/1990", "31/12/1999", "02.01.1990", "Feb 3, 1991", "3 Feb 1991", "1990/01/02"]
+    plain = ["std::vector a::b", "10:30:45", "123456789", "99/99/1990", "30/02/1990", "1234.5678"]
+    r = {x.doc_id: x for x in pii.pseudonymise(docs(spark, list(enumerate(forms + plain))), "k").collect()}
+    t = [r[i].text for i in range(len(forms))]
+    assert all(r[i].n_found == 1 and t[i] != f and len(re.findall(r"\w", t[i])) == len(re.findall(r"\w", f)) for i, f in enumerate(forms) if f[:3] not in ("Feb", "3 F"))
+    assert all(r[len(forms) + i].text == p and r[len(forms) + i].n_found == 0 for i, p in enumerate(plain))
+    bare = [re.sub(r"\W", "", x).upper() for x in t]
+    assert bare[0] == bare[1] == bare[2] and t[1].islower() and int("".join(str(int(c, 36)) for c in bare[0][4:] + bare[0][:4])) % 97 == 1
+    assert bare[3] == bare[5] == bare[4][1:] and bare[3][0] in "23456789" and bare[3][3] in "23456789" and t[6].startswith("+49 ")
+    assert bare[9] == "SSN" + bare[10] and _luhn(t[11])
+    assert (t[12][6:], t[12][:2], t[12][3:5]) == (t[14][6:], t[14][3:5], t[14][:2]) == (t[17][:4], t[17][5:7], t[17][8:]) and int(t[13][:2]) > 12
+    assert re.match(r"[A-Z][a-z]{2} \d{1,2}, \d{4}$", t[15]) and sorted(re.findall(r"\w+", t[15])) == sorted(re.findall(r"\w+", t[16]))
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -565,3 +636,27 @@ def test_pipeline_against_brute_force(spark):
     want = Counter((r.doc_id, len(tok.encode(r.text, add_special_tokens=False).ids)) for r in stage.collect())
     got = Counter((r.doc_id, r.n_tokens) for r in c.run(spark, SF).collect())
     assert got == want
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, a clashing column; nothing labelled; an empty table."""
+    import corpus_pipeline as c
+
+    some = spark.read.parquet(SF + "/documents.parquet").limit(60)
+    first = some.orderBy("doc_id").first()
+    odd = [(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " 12 ", None, None, 4), (9004, first.text, None, None, 1), (9004, first.text, None, None, 1), (9005, " ".join(sorted(r.text for r in some.where("lang = 'en'").collect())), "en", None, 1), (None, "some other words of an english kind that nobody else has written here", "en", "src0", 1)]
+    d = some.unionByName(spark.createDataFrame(odd, some.schema)).withColumn("id", F.lit(7)).withColumn("copy", F.lit("x"))
+    for name, table, empty in (("odd", d, False), ("none", d.withColumn("lang", F.lit(None).cast("string")), True), ("empty", d.limit(0), True)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        stage = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        columns = stage.columns
+        if name != "odd":
+            assert c.run(spark, str(tmp_path / name)).count() == 0
+            continue
+        for k, (_, f) in enumerate(c.STAGES):
+            f(spark, stage, SF).write.parquet(str(tmp_path / f"{name}-{k}"))
+            stage = spark.read.parquet(str(tmp_path / f"{name}-{k}"))
+            assert k == 4 or stage.columns == columns
+            ids = Counter(r.doc_id for r in stage.select("doc_id").collect())
+            assert not {9001, 9002, 9003} & set(ids) and (k == 0 or 9004 not in ids) and (k != 2 or max(ids.values()) == 1)
+        assert stage.count() > 0 and 9005 in ids and not empty
