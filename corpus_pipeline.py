@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but
 the last return the columns of ``documents``.
+
+Defined results, from the operators: null, empty and letterless texts are rejected by language ID, as are
+all texts where nothing is labelled; repeated rows become one at exact dedup, and rows that share an
+identifier one component at near dedup; null identifiers are kept last by exact dedup, linked with nothing
+and mixed after the others; null sources are one source; very long texts are treated whole; an empty table
+gives an empty result; further columns of any name are carried up to the last stage. Near dedup takes
+five words here, as near-duplicate stages do unless told otherwise; the query of the operator takes four.
 """
 
 from __future__ import annotations
