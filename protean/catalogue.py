@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, networks, sequence, spatial, surface, trajectory, validation
+from .operators import audit, backbone, chemistry, compare, crystal, dataset, ensemble, geometry, interactions, networks, secondary, sequence, spatial, surface, trajectory, validation
 from .plans import model, policy, selection
 from .plans.model import ATOMS, BONDS, CLOUD, FRAMES, MOVED, read
 from .sources import exchange
@@ -904,6 +904,27 @@ def bridges(spark, sf):
     return backbone.bridges(_bonds_of_residues(spark, sf))
 
 
+def _chains(spark, sf):
+    """Backbones of 40 residues; torsions stay in one basin for ten of them and vary with the embedding."""
+    e, at = F.col("embedding"), (F.col("vec_id") / 10).cast("long")
+    basin = lambda *v: F.element_at(F.array(*map(F.lit, v)), (at % 4 + 1).cast("int"))
+    t = read(spark, sf, "embeddings").select(
+        (F.col("vec_id") / 40).cast("long").alias("model"), F.lit("A").alias("chain"), (F.col("vec_id") % 40).alias("resid"), F.when(F.col("label") == 0, "PRO").otherwise("ALA").alias("name"),
+        (basin(-57.0, -120.0, -60.0, -75.0) + 5 * e[0]).alias("phi"), (basin(-47.0, 130.0, -27.0, 145.0) + 5 * e[1]).alias("psi"), F.lit(180.0).alias("omega"),
+    )
+    return secondary.backbone_positions(t, ["model", "chain"])
+
+
+@_query()
+def secondary_structure(spark, sf):
+    return secondary.assign(_chains(spark, sf), ["model"])
+
+
+@_query()
+def backbone_positions(spark, sf):
+    return _chains(spark, sf).select("model", "chain", "resid", *[F.round(F.col(p)[c], 4).alias(f"{p}_{c}") for p in ("n", "ca", "c", "o") for c in "xyz"])
+
+
 _STATES = f"with {FRAMES}, s as (select series, frame, event_type as state, row_number() over (partition by series, event_type order by frame) as k from f)"
 
 

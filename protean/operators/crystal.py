@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +59,34 @@ def unique_reflections(reflections: DataFrame) -> DataFrame:
     return reflections.groupBy(*[(F.col(c) * s).alias(c) for c in "hkl"]).agg(F.avg("amplitude").alias("amplitude"), F.count("*").alias("n"))
 
 
-def structure_factors(atoms: DataFrame, reflections: DataFrame, scatter: str = "occupancy") -> DataFrame:
+def structure_factors(atoms: DataFrame, reflections: DataFrame, scatter: str = "occupancy", limit: int = 1_000_000) -> DataFrame:
     """(h, k, l, re, im) of fractional atoms (u, v, w) at a list of reflections.
 
-    The list is small beside the atoms: it travels as one literal array, and every atom adds to
-    partial sums of all of them in its own partition.
+    The list is small beside the atoms, 24 bytes a reflection: it is refused beyond ``limit``, travels with the
+    kernel, and every partition of atoms gives one partial sum for each reflection. Atoms without a number take no part.
     """
-    hkl = [tuple(r) for r in reflections.select("h", "k", "l").distinct().collect()]
-    if len(hkl) > 100_000:
-        raise ValueError("more than 100,000 reflections; give them in parts")
-    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("hkl", t, strict=True)]) for t in hkl])
-    a = atoms.select("u", "v", "w", F.col(scatter).alias("f"), F.explode(listed).alias("r")).select("*", "r.*")
-    phase = 2 * F.pi() * (F.col("h") * F.col("u") + F.col("k") * F.col("v") + F.col("l") * F.col("w"))
-    return a.groupBy("h", "k", "l").agg(F.sum(F.col("f") * F.cos(phase)).alias("re"), F.sum(F.col("f") * F.sin(phase)).alias("im"))
+    hkl = [tuple(r) for r in reflections.select(*[F.col(c).cast("long").alias(c) for c in "hkl"]).distinct().limit(limit + 1).collect()]
+    if len(hkl) > limit:
+        raise ValueError(f"more than {limit} reflections; give them in parts")
+    index = np.array(sorted(hkl), dtype=float).reshape(-1, 3)
+
+    def partial(batches):
+        total = np.zeros((len(index), 2))
+        for pdf in batches:
+            at = pdf.dropna().to_numpy(float)
+            for lo in range(0, len(at), 256):
+                part = at[lo : lo + 256]
+                for first in range(0, len(index), 4096):  # at most 256 x 4,096 phases at a time
+                    phase = 2 * np.pi * (index[first : first + 4096] @ part[:, :3].T)
+                    total[first : first + 4096, 0] += np.cos(phase) @ part[:, 3]
+                    total[first : first + 4096, 1] += np.sin(phase) @ part[:, 3]
+        for first in range(0, len(index), 65_536):
+            some = slice(first, first + 65_536)
+            yield pd.DataFrame({**{c: index[some, i].astype("int64") for i, c in enumerate("hkl")}, "re": total[some, 0], "im": total[some, 1]})
+
+    sums = atoms.select(*[F.col(c).cast("double") for c in ("u", "v", "w", scatter)]).mapInPandas(partial, "h long, k long, l long, re double, im double")
+    kinds = dict(reflections.dtypes)
+    return sums.groupBy("h", "k", "l").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).select(*[F.col(c).cast(kinds[c]).alias(c) for c in "hkl"], "re", "im")
 
 
 def map_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
