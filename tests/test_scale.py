@@ -22,3 +22,16 @@ def test_search_of_superpositions_is_dealt_to_tasks(spark, monkeypatch):
     whole = sorted(map(tuple, compare.gdt_search(c, m, (0.01, 0.02), ["residue"]).collect()))
     monkeypatch.setattr(compare, "_ATOMS_A_TASK", 5)
     assert sorted(map(tuple, compare.gdt_search(c, m, (0.01, 0.02), ["residue"]).collect())) == whole
+
+
+def test_dense_cells_are_met_block_by_block(spark, monkeypatch):
+    from protean.operators import interactions, spatial
+
+    c = _cloud(spark, 150).withColumns({f"v{k}": F.col(k) + 1.5 for k in "xyz"})
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    every = lambda: [rows(spatial.pairs_within(c, 0.2)), rows(spatial.cross_pairs(c, c, 0.1)), rows(spatial.pairs_within_periodic(c, 0.1, (0.4, 0.4, 0.4))), rows(interactions.pi_stacking(c, 0.2, 0.6, 1.0, 0.05, 0.15, 0.15))]
+    whole = every()
+    assert "_i" not in spatial.pairs_within(c, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(spatial, "BLOCK", 7)
+    assert "_i" in spatial.pairs_within(c, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert every() == whole and all(whole)
