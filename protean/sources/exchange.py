@@ -2,12 +2,13 @@
 
 A writer is one Column for an atom's record, a head and a tail; a structure's records are put
 together in order of its models and atoms, one row a file. Readers parse whole texts in Arrow
-batches. Lengths are angstroms in tables; formats in nanometres are converted.
+batches. Structures of any size are written as parts, each a file of its own, and read back from them. Lengths are angstroms in tables; formats in nanometres are converted.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -101,14 +102,16 @@ _MOST = {"sdf": 999}
 KINDS = ("gro", "pqr", "aims", "crd", "config", "history", "txyz", "sdf", "mol2", "lammpstrj", "cif", "rst7", "mdcrd")
 
 
-def text_of(atoms: DataFrame, kind: str) -> DataFrame:
-    """(structure_id, value): the text of each structure; models follow each other."""
+#: Atoms of a part of a structure's text.
+PART = 5000
+
+
+def _bodies(atoms: DataFrame, kind: str, keys: list[str], more=()) -> DataFrame:
+    """(keys, n, more, t): records in order of atoms between the head and the tail, a row for each group of ``keys``."""
     if kind not in KINDS:
         raise ValueError(f"unknown format {kind!r}")
     records, heads, tails = _spec()
-    full = atoms.select(*[(F.col(c) if c in atoms.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in ATOMS.split(", "))])
-    full = full.withColumn("model", F.coalesce("model", F.lit(1)))
-    g = full.groupBy("structure_id", "model").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("atom_index", records[kind].alias("l")))), lambda a: a["l"]).alias("lines"))
+    g = atoms.groupBy(*keys).agg(F.count("*").alias("n"), *more, F.transform(F.array_sort(F.collect_list(F.struct("atom_index", records[kind].alias("l")))), lambda a: a["l"]).alias("lines"))
     if kind in _MOST:
         g = g.withColumn("n", F.when(F.col("n") > _MOST[kind], F.raise_error(F.concat(F.lit(f"more than {_MOST[kind]} atoms in "), "structure_id"))).otherwise(F.col("n")))
     if kind in _FLOWS:
@@ -116,11 +119,38 @@ def text_of(atoms: DataFrame, kind: str) -> DataFrame:
         body = F.regexp_replace(F.array_join("lines", ""), f"(.{{{wide}}})(?=.)", "$1" + NL)
     else:
         body = F.array_join("lines", NL)
-    text = F.concat_ws(NL, heads.get(kind, F.lit(None)), body, tails.get(kind, F.lit(None)))
-    m = g.select("structure_id", "model", text.alias("t")).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("model", "t"))).alias("m"))
+    return g.withColumn("t", F.concat_ws(NL, heads.get(kind, F.lit(None)), body, tails.get(kind, F.lit(None)))).drop("lines")
+
+
+def _full(atoms: DataFrame) -> DataFrame:
+    full = atoms.select(*[(F.col(c) if c in atoms.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in ATOMS.split(", "))])
+    return full.withColumn("model", F.coalesce("model", F.lit(1)))
+
+
+def text_of(atoms: DataFrame, kind: str) -> DataFrame:
+    """(structure_id, value): the text of each structure; models follow each other.
+
+    A structure's text is one value, so it takes an executor's memory; ``text_parts`` is for structures of any size.
+    """
+    m = _bodies(_full(atoms), kind, ["structure_id", "model"]).groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("model", "t"))).alias("m"))
     return m.select("structure_id", F.concat(F.array_join(F.transform("m", lambda a: a["t"]), NL), F.lit(NL)).alias("value"))
 
 
+def text_parts(atoms: DataFrame, kind: str, most: int = PART) -> DataFrame:
+    """(structure_id, number, begin, value): texts of at most ``most`` atoms each, whole files of their own with one model.
+
+    ``number`` is the model and ``begin`` the index of a part's first atom; ``parsed`` puts both back. Indexes are places
+    from 0 on in the model, and gaps are an error.
+    """
+    full = _full(atoms).withColumn("number", F.col("model")).withColumn("model", F.lit(1))
+    part = F.floor(F.col("atom_index") / min(most, _MOST.get(kind, most))).alias("part")
+    low, high = F.min("atom_index").alias("begin"), F.max("atom_index").alias("end")
+    g = _bodies(full.select("*", part), kind, ["structure_id", "number", "model", "part"], (low, high))
+    sound = F.col("end") - F.col("begin") + 1 == F.col("n")
+    value = F.when(sound, F.concat("t", F.lit(NL))).otherwise(F.raise_error(F.concat(F.lit("atom indexes are not places in "), "structure_id")))
+    return g.select("structure_id", "number", "begin", value.alias("value"))
+
+
 def _atom(model: int, i: int, name: str, xyz, **more) -> dict:
     x, y, z = map(float, xyz)
     return {"model": model, "atom_index": i, "atom_name": name, "x": x, "y": y, "z": z, **more}
@@ -288,24 +318,32 @@ PARSERS = _FORMATS | {
 
 
 def parsed(texts: DataFrame, kind: str, atoms: int | None = None, box: bool = False) -> DataFrame:
-    """Atoms of texts (structure_id, value). An AMBER trajectory (``mdcrd``) needs the number of atoms."""
+    """Atoms of texts (structure_id, value), or of the parts of ``text_parts``. An AMBER trajectory (``mdcrd``) needs the number of atoms."""
     parse = (lambda t: amber_frames(t, atoms, box)) if kind == "mdcrd" else PARSERS[kind]
     if kind == "mdcrd" and not atoms:
         raise ValueError("an AMBER trajectory does not tell its number of atoms")
+    parts = {"number", "begin"} <= set(texts.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for sid, text in zip(b.column("structure_id").to_pylist(), b.column("value").to_pylist(), strict=True):
-                rows: list[dict] = []
-                for r in parse(text):
-                    rows.append({"structure_id": sid, **r})
-                    if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-    return texts.select("structure_id", "value").mapInArrow(run, ATOMS)
+            for k in range(b.num_rows):
+                sid, text = b.column("structure_id")[k].as_py(), b.column("value")[k].as_py()
+                if parts:
+                    number, begin = b.column("number")[k].as_py(), b.column("begin")[k].as_py()
+                    for r in parse(text):
+                        yield {"structure_id": sid, **r, "model": number, "atom_index": begin + r["atom_index"]}
+                else:
+                    for r in parse(text):
+                        yield {"structure_id": sid, **r}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # batches of rows run over texts: many texts have few atoms
+        rows = read(batches)
+        while some := list(itertools.islice(rows, 10_000)):
+            there = set().union(*some)  # the format's own columns; the others are null
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c.name) for r in some], c.type) if c.name in there else pa.nulls(len(some), c.type) for c in _ARROW], schema=_ARROW)
+
+    return texts.select("structure_id", "value", *(("number", "begin") if parts else ())).mapInArrow(run, ATOMS)
 
 
 def read_text(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:

@@ -35,3 +35,17 @@ def test_dense_cells_are_met_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(spatial, "BLOCK", 7)
     assert "_i" in spatial.pairs_within(c, 0.2)._jdf.queryExecution().optimizedPlan().toString()
     assert every() == whole and all(whole)
+
+
+def test_structures_are_written_and_read_in_parts(spark):
+    import pytest
+    from protean.sources import exchange
+
+    a = spark.range(50).select(F.lit("A").alias("structure_id"), (F.col("id") % 25).alias("atom_index"), (F.col("id") / 25 + 1).cast("int").alias("model"), F.lit("CA").alias("atom_name"), F.lit("C").alias("element_symbol"), F.lit("ALA").alias("label_comp_id"), F.lit("A").alias("auth_asym_id"), F.lit(7).alias("auth_seq_id"), *[(F.col("id") / k).alias(c) for k, c in ((1, "x"), (2, "y"), (4, "z"))])
+    want = sorted((r.model, r.atom_index, r.x, r.y, r.z) for r in a.collect())
+    for kind in ("gro", "history", "rst7", "lammpstrj", "sdf", "cif"):
+        parts = exchange.text_parts(a, kind, 10).cache()
+        assert parts.count() == 6
+        assert sorted((r.model, r.atom_index, r.x, r.y, r.z) for r in exchange.parsed(parts, kind).select("model", "atom_index", *[F.round(c, 3).alias(c) for c in "xyz"]).collect()) == [(m, i, *(pytest.approx(v, abs=0.06) for v in xyz)) for m, i, *xyz in want]
+    with pytest.raises(Exception, match="not places"):
+        exchange.text_parts(a.where("atom_index <> 3"), "gro", 10).collect()
