@@ -49,3 +49,12 @@ def test_structures_are_written_and_read_in_parts(spark):
         assert sorted((r.model, r.atom_index, r.x, r.y, r.z) for r in exchange.parsed(parts, kind).select("model", "atom_index", *[F.round(c, 3).alias(c) for c in "xyz"]).collect()) == [(m, i, *(pytest.approx(v, abs=0.06) for v in xyz)) for m, i, *xyz in want]
     with pytest.raises(Exception, match="not places"):
         exchange.text_parts(a.where("atom_index <> 3"), "gro", 10).collect()
+
+
+def test_hydrogens_may_have_the_numbers_of_acceptors(spark):
+    from protean.operators import interactions
+
+    at = lambda *rows: spark.createDataFrame(rows, "atom long, x double, y double, z double")
+    h = at((11, 0.05, 0.0, 0.0)).withColumn("donor", F.lit(1).cast("long"))
+    r = interactions.hydrogen_bonds(at((1, 0.0, 0.0, 0.0)), at((11, 0.1, 0.0, 0.0)), h, 0.11, 2.0).collect()
+    assert [(x.donor, x.hydrogen, x.acceptor) for x in r] == [(1, 11, 11)]
