@@ -72,6 +72,14 @@ def single_linkage(distances: DataFrame, items: DataFrame, threshold: float) ->
     return items.select("item").join(c.withColumnRenamed("node", "item"), "item", "left").select("item", F.coalesce("comp", "item").alias("cluster"))
 
 
+def single_linkage_of(points: DataFrame, threshold: float) -> DataFrame:
+    """``single_linkage`` of points (atom, x, y, z) by their distances, which are not made."""
+    from .spatial import radius_components
+
+    c = radius_components(points, threshold).withColumnRenamed("node", "item")
+    return points.select(F.col("atom").alias("item")).join(c, "item", "left").select("item", F.coalesce("comp", "item").alias("cluster"))
+
+
 def time_windows(events: DataFrame, size: str, keys=("event_type",)) -> DataFrame:
     """(start, keys, n, total) of windows that do not overlap."""
     d = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", size).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import cross_pairs, pairs_within
+from .spatial import cross_pairs, pairs_within, radius_components
 
 
 def _typed(df: DataFrame, keys) -> str:
@@ -63,9 +63,7 @@ def anisotropic_fluctuations(points: DataFrame, cutoff: float, keys: tuple[str,
 
 def leaflets(heads: DataFrame, cutoff: float) -> DataFrame:
     """(atom, leaflet): head groups joined by chains of neighbours; leaflets are ranked by size, then by their smallest atom."""
-    from ..functions.graph import components
-
-    c = components(pairs_within(heads, cutoff).select(F.col("first").alias("a"), F.col("second").alias("b")))
+    c = radius_components(heads, cutoff)
     named = heads.select("atom").join(c.withColumnRenamed("node", "atom"), "atom", "left").withColumn("comp", F.coalesce("comp", "atom"))
     # a window over leaflets, not atoms
     rank = named.groupBy("comp").agg(F.count("*").alias("n")).select("comp", (F.row_number().over(Window.orderBy(F.desc("n"), "comp")) - 1).alias("leaflet"))

@@ -8,6 +8,10 @@ work is bounded however dense the points are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,7 +153,8 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, start: float, keys: tupl
     """The k nearest targets of each query: (query, rank, target, distance); ties by target.
 
     Queries that find fewer than k within ``start`` are asked again with twice the radius, so each
-    round is a fixed-radius join of the queries that are left.
+    round is a fixed-radius join of the queries that are left. Where targets are dense the first radius is
+    less than ``start``: about 8 k of them to a cube of its width, as points see it.
     """
     from ..functions.graph import cut
 
@@ -158,6 +163,10 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, start: float, keys: tupl
     far = sum((v or 0.0) ** 2 for v in ends) ** 0.5  # no target is farther
     order = Window.partitionBy(*keys, "first").orderBy("distance", "second")
     out, radius, left = None, float(start), q
+    n = F.count("*").cast("double")
+    dense = _cells(t, radius).groupBy(*keys, "cx", "cy", "cz").agg(n.alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    while dense > 8 * max(1, k):
+        radius, dense = radius / 2, dense / 8
     while True:
         met = cross_pairs(left, t, radius, keys)
         if exclude_self:
@@ -176,6 +185,136 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, start: float, keys: tupl
         radius *= 2
 
 
+class _Grid:
+    """Points of one task in small cells, of which two points are always within the radius; neighbours are up to two cells away."""
+
+    STEPS = sorted(((a, b, c) for a in range(-2, 3) for b in range(-2, 3) for c in range(-2, 3)), key=lambda o: sum(v * v for v in o))
+
+    def __init__(self, xyz: np.ndarray, radius: float) -> None:
+        at = np.floor((xyz - xyz.min(axis=0)) / (radius / 3**0.5 * (1 - 1e-9))).astype(np.int64)
+        side = at.max(axis=0) + 5
+        self.turn = np.array([side[1] * side[2], side[2], 1])
+        code = (at + 2) @ self.turn
+        self.order = np.argsort(code, kind="stable")
+        self.code, begin = np.unique(code[self.order], return_index=True)
+        self.ends = np.append(begin, len(code))
+        self.xyz, self.r2 = xyz[self.order], radius * radius
+
+    def rows(self, cell: int) -> slice:
+        return slice(self.ends[cell], self.ends[cell + 1])
+
+    def beside(self, step) -> np.ndarray:
+        """The cell that is ``step`` away from each, -1 where there is none."""
+        want = self.code + np.array(step) @ self.turn
+        k = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+        return np.where(self.code[k] == want, k, -1)
+
+    def near(self, a: int, b: int) -> bool:
+        """Whether any points of two cells are within the radius: a few first, then all in blocks."""
+        p, q = self.xyz[self.rows(a)], self.xyz[self.rows(b)]
+        close = lambda u, v: bool((((u[:, None] - v[None]) ** 2).sum(axis=2) <= self.r2).any())
+        if len(p) * len(q) > 4096 and close(p[:32], q[:32]):
+            return True
+        k = max(1, 1_000_000 // len(q))
+        return any(close(p[i : i + k], q) for i in range(0, len(p), k))
+
+
+def _tiles(points: DataFrame, radius: float, behind: bool) -> DataFrame:
+    """Points by tiles of four radii, each with those up to a radius ahead of it (and behind): every pair within the radius shares a tile."""
+    width, reach = 4 * radius, radius * (1 + 1e-9)
+    p = _finite(points).select("atom", "x", "y", "z")
+    for c in "xyz":
+        low, high = F.floor((F.col(c) - F.lit(reach)) / width), F.floor((F.col(c) + F.lit(reach if behind else 0.0)) / width)
+        p = p.withColumn(f"t{c}", F.explode(F.sequence(low, high)))
+    own = F.lit(True)
+    for c in "xyz":
+        own = own & (F.floor(F.col(c) / width) == F.col(f"t{c}"))
+    return spread(p.withColumn("own", own), "tx", "ty", "tz")
+
+
+def radius_components(points: DataFrame, radius: float) -> DataFrame:
+    """(node, comp) of all points with coordinates, joined by chains of points within ``radius``; comp is the smallest atom.
+
+    Points of one small cell belong together, so tiles join cells and give one label a point; pairs are never made.
+    """
+    from ..functions.graph import components
+
+    r = _checked(radius)
+    atom = dict(points.dtypes)["atom"]
+    if r == 0:
+        same = _finite(points).groupBy("x", "y", "z").agg(F.min("atom").alias("b"), F.collect_list("atom").alias("a")).select(F.explode("a").alias("a"), "b")
+        labels = same
+    else:
+
+        def joined(t: pa.Table) -> pa.Table:
+            atoms = t["atom"].to_numpy()
+            g = _Grid(np.stack([t[c].to_numpy() for c in "xyz"], axis=1), r)
+            up = np.arange(len(g.code))
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            for step in g.STEPS:
+                if step > (0, 0, 0):
+                    to = g.beside(step)
+                    for a in np.flatnonzero(to >= 0):
+                        i, j = top(a), top(to[a])
+                        if i != j and g.near(a, to[a]):
+                            up[max(i, j)] = min(i, j)
+            root = np.array([top(i) for i in range(len(up))])[np.repeat(np.arange(len(up)), np.diff(g.ends))]
+            least = np.full(len(up), np.iinfo(np.int64).max)
+            np.minimum.at(least, root, atoms[g.order])
+            return pa.table({"a": pa.array(atoms[g.order]), "b": pa.array(least[root].astype(atoms.dtype))})
+
+        labels = _tiles(points, r, False).groupBy("tx", "ty", "tz").applyInArrow(joined, f"a {atom}, b {atom}")
+    found = components(labels)
+    return _finite(points).select(F.col("atom").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+
+def crowded(points: DataFrame, radius: float, minimum: int) -> DataFrame:
+    """(atom) of points with at least ``minimum`` points within ``radius``, themselves included; pairs are never made."""
+    r = _checked(radius)
+    atom = dict(points.dtypes)["atom"]
+
+    def counted(t: pa.Table) -> pa.Table:
+        own = t["own"].to_numpy(zero_copy_only=False).astype(bool)
+        g = _Grid(np.stack([t[c].to_numpy() for c in "xyz"], axis=1), r)
+        have = np.diff(g.ends)
+        core = np.repeat(have >= minimum, have)
+        beside = np.stack([g.beside(s) for s in g.STEPS])
+        for a in np.flatnonzero(have < minimum):
+            p, n = g.xyz[g.rows(a)], np.zeros(have[a], dtype=int)
+            for b in beside[:, a][beside[:, a] >= 0]:
+                n += (((p[:, None] - g.xyz[g.rows(b)][None]) ** 2).sum(axis=2) <= g.r2).sum(axis=1)
+                if (n >= minimum).all():
+                    break
+            core[g.rows(a)] = n >= minimum
+        return pa.table({"atom": pa.array(t["atom"].to_numpy()[g.order][core & own[g.order]])})
+
+    return _tiles(points, r, True).groupBy("tx", "ty", "tz").applyInArrow(counted, f"atom {atom}")
+
+
+def first_few(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """Rows with the ``k`` least (``order``) of each group of ``keys``: each Arrow batch keeps its own few, so not all rows are shuffled."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.lexsort([b.column(c).to_numpy(zero_copy_only=False) for c in (*reversed(order), *reversed(keys))])
+            new = np.zeros(len(at), dtype=bool)
+            for c in keys:
+                v = b.column(c).to_numpy(zero_copy_only=False)[at]
+                new[1:] |= v[1:] != v[:-1]
+            new[:1] = True
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            yield b.take(pa.array(at[place < k]))
+
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.mapInArrow(few, rows.schema).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def contact_map(points: DataFrame, cutoff: float, min_separation: int = 0) -> DataFrame:
     """Least distance of each residue pair: (res_a, res_b, min_distance, pairs).
 
