@@ -68,9 +68,6 @@ def bond_length_deviations(bonds: DataFrame, points: DataFrame, radii: dict[str,
 
 def clashes(points: DataFrame, bonds: DataFrame, max_radius: float, tolerance: float, radius: str = "radius") -> DataFrame:
     """(first, second, overlap): radii less distance over the tolerance, not bonded within three bonds."""
-    p = pairs_within(points, 2 * max_radius, extra=(radius,))
-    over = F.col(f"first_{radius}") + F.col(f"second_{radius}") - F.col("distance")
-    hit = p.withColumn("overlap", over).where(F.col("overlap") > tolerance)
     e = bonds.select(F.col("atom_a").alias("u"), F.col("atom_b").alias("v"))
     e = e.union(e.select("v", "u")).distinct()
     reach = e
@@ -78,8 +75,12 @@ def clashes(points: DataFrame, bonds: DataFrame, max_radius: float, tolerance: f
     for _ in range(2):
         path = path.join(e.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v")).distinct()
         reach = reach.union(path)
-    near = reach.where("u < v").select(F.col("u").alias("first"), F.col("v").alias("second")).distinct()
-    return hit.join(near, ["first", "second"], "left_anti").select("first", "second", "overlap")
+    # an atom takes what it is bonded with along, so that the pairs are not shuffled to meet the bonds
+    near = reach.where("u != v").groupBy(F.col("u").alias("atom")).agg(F.collect_set("v").alias("bonded"))
+    p = pairs_within(points.join(near, "atom", "left"), 2 * max_radius, extra=(radius, "bonded"))
+    over = F.col(f"first_{radius}") + F.col(f"second_{radius}") - F.col("distance")
+    hit = p.withColumn("overlap", over).where(F.col("overlap") > tolerance)
+    return hit.where(~F.coalesce(F.array_contains("first_bonded", F.col("second")), F.lit(False))).select("first", "second", "overlap")
 
 
 def clash_score(n_clashes: DataFrame, atoms: DataFrame) -> DataFrame:

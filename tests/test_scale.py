@@ -58,3 +58,49 @@ def test_hydrogens_may_have_the_numbers_of_acceptors(spark):
     h = at((11, 0.05, 0.0, 0.0)).withColumn("donor", F.lit(1).cast("long"))
     r = interactions.hydrogen_bonds(at((1, 0.0, 0.0, 0.0)), at((11, 0.1, 0.0, 0.0)), h, 0.11, 2.0).collect()
     assert [(x.donor, x.hydrogen, x.acceptor) for x in r] == [(1, 11, 11)]
+
+
+def test_components_and_cores_of_points_make_no_pairs(spark):
+    from protean.operators import ensemble, networks, spatial, trajectory
+
+    c = _cloud(spark, 90, copies=2)
+    x = np.array([[r.x, r.y, r.z] for r in c.orderBy("atom").collect()])
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.07**2
+    want = list(range(len(x)))
+    for _ in x:
+        want = [min(want[j] for j in np.flatnonzero(near[i])) for i in range(len(x))]
+    assert dict(map(tuple, spatial.radius_components(c, 0.07).collect())) == dict(enumerate(want)) == dict(map(tuple, ensemble.single_linkage_of(c, 0.07).collect()))
+    assert {r.atom for r in spatial.crowded(c, 0.07, 4).collect()} == set(np.flatnonzero(near.sum(1) >= 4).tolist())
+    assert spatial.radius_components(c, 0.0).where("comp <> node").count() == 45
+    assert len({r.leaflet for r in networks.leaflets(c, 0.07).collect()}) == len(set(want))
+    assert trajectory.dbscan(c, 0.07, 4).where("core").count() == int((near.sum(1) >= 4).sum())
+
+
+def test_clusters_may_take_many_rounds(spark):
+    from protean.operators import trajectory
+
+    at = (2.0 ** -np.arange(1, 40)).tolist()
+    p = spark.createDataFrame([(i, v) for i, v in enumerate(at)], "atom long, x double")
+    assert trajectory.kmeans.__defaults__[-1] >= 1000 and trajectory.kmeans(p, [[0.0], [0.6]], ("x",)).count() == 39
+
+
+def test_nearest_few_are_chosen_before_the_shuffle(spark):
+    from protean.operators import spatial
+
+    rows = spark.range(2000).select((F.col("id") % 3).alias("k"), F.pmod(F.col("id") * 7919, F.lit(101)).cast("double").alias("d"), "id").coalesce(1)
+    got = spatial.first_few(rows, ["k"], ["d", "id"], 2)
+    every = sorted((r.k, r.d, r.id) for r in rows.collect())
+    assert sorted(map(tuple, got.collect())) == [r for k in range(3) for r in [x for x in every if x[0] == k][:2]]
+
+
+def test_pairs_take_both_conformations_along(spark):
+    from protean.operators import compare, spatial
+
+    a = _cloud(spark, 80)
+    b = a.where("atom <> 5").withColumn("x", F.col("x") * 1.2)
+    pairs = lambda d, r: spatial.pairs_within(d, r)
+    one = compare.contact_similarity(pairs(a, 0.1), pairs(b, 0.1)).first().jaccard
+    assert compare.contact_similarity_of(a, b, 0.1).first().jaccard == one
+    two = compare.qs_score(pairs(a, 0.15), pairs(b, 0.15), 0.12, 0.05, 0.12).first().qs
+    assert abs(compare.qs_score_of(a, b, 0.12, 0.05, 0.12).first().qs - two) < 1e-12
+    assert compare.contact_similarity_of(a.limit(0), b.limit(0), 0.1).first().jaccard == 1.0
