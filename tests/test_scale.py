@@ -104,3 +104,18 @@ def test_pairs_take_both_conformations_along(spark):
     two = compare.qs_score(pairs(a, 0.15), pairs(b, 0.15), 0.12, 0.05, 0.12).first().qs
     assert abs(compare.qs_score_of(a, b, 0.12, 0.05, 0.12).first().qs - two) < 1e-12
     assert compare.contact_similarity_of(a.limit(0), b.limit(0), 0.1).first().jaccard == 1.0
+
+
+def test_equal_sets_of_bits_are_compared_once(spark):
+    from protean.operators import chemistry, dataset
+
+    r = np.random.default_rng(3)
+    sets = [sorted(set(r.integers(0, 12, r.integers(1, 7)).tolist())) for _ in range(25)] + [list(range(30)), list(range(1, 31)), []]
+    rows = [(3 * i + k, s) for i, s in enumerate(sets) for k in range(2)]
+    f = spark.createDataFrame(rows, "id long, bits array<bigint>")
+    like = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for i, a in rows for j, b in rows if i < j and a and b}
+    got = {(x.first, x.second): x.similarity for x in (r.asDict() and type("R", (), r.asDict()) for r in dataset.tanimoto(f, 0.6).collect())}
+    assert got == {k: v for k, v in like.items() if v >= 0.6}
+    plain = spark.createDataFrame([k for k, v in like.items() if v >= 0.5], "first long, second long")
+    assert sorted(map(tuple, chemistry.butina_of(f, 0.5).collect())) == sorted(map(tuple, chemistry.butina(plain, f).collect()))
+    assert dataset.bit_classes(f).where("id = rep").count() < len(sets)
