@@ -119,3 +119,17 @@ def test_equal_sets_of_bits_are_compared_once(spark):
     plain = spark.createDataFrame([k for k, v in like.items() if v >= 0.5], "first long, second long")
     assert sorted(map(tuple, chemistry.butina_of(f, 0.5).collect())) == sorted(map(tuple, chemistry.butina(plain, f).collect()))
     assert dataset.bit_classes(f).where("id = rep").count() < len(sets)
+
+
+def test_single_pairs_are_not_shuffled_for_edges(spark):
+    from protean.operators import dataset
+
+    p = spark.createDataFrame([(2, 1), (3, 1)], "first long, second long")
+    d = dataset.graph_edges(p, True, True)
+    assert "Aggregate" not in d._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, d.collect())) == [(1, 2), (1, 3), (2, 1), (3, 1)]
+
+
+def test_anisotropic_networks_of_over_a_thousand_points(spark):
+    from protean.operators import networks
+
+    assert networks.anisotropic_fluctuations(_cloud(spark, 1010).withColumn("one", F.lit(1)), 0.1, ("one",)).count() == 1010
